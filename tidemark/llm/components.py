@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
 
 SALTS = 8
+ROWS_A_FILE = 200_000
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -21,21 +24,20 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     """(id, comp) of each id in the links a, b, where comp is the least id of its component.
 
     Each round writes its edges to the shared folder and rereads them. The edges turn into stars around least ids in
-    O(log^2 n) rounds; a round that changes no edge ends it. The hub of a star is dealt out over salted keys.
+    O(log^2 n) rounds; they end once every edge leads to the centre of a star. The hub of a star is dealt out over
+    salted keys. Ids that are in no link, and least ids, have no row.
     """
     edges = work.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    digest = lambda e: tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-    before = digest(edges)
-    while before[0]:
+    while True:
+        n, sources = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        few = math.ceil(n / ROWS_A_FILE) or 1  # small tables aren't scattered over many files
+        inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+        if n == sources and inner.isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = work.save(large, "large")
+        large = work.save(large.coalesce(few), "large")
         small = _least_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = work.save(small, "small")
-        after = digest(edges)
-        if after == before:
-            break
-        before = after
-    star = edges.groupBy("u").agg(F.min("v").alias("comp"))
-    return star.select(F.col("u").alias("id"), "comp")
+        edges = work.save(small.coalesce(few), "small")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))

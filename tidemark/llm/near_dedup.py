@@ -167,12 +167,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp")
     spread = spread.join(texts.select(F.col("id").alias("doc"), "text").hint("merge"), "doc")
     more = work.save(spread.groupBy("bucket", "i", "j").applyInArrow(_search(shingle, num, den), "a long, b long"), "more")
-    if not more.isEmpty():
-        grouped = components(links.unionByName(more), work)
+    # The components that such links join are few; only their ids are grouped anew.
+    end = lambda side: grouped.select(F.col("id").alias(side), F.col("comp").alias(f"root_{side}"))
+    joined = more.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    joined = joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    merged = components(joined, work).select(F.col("id").alias("root"), F.col("comp").alias("above"))
 
     member = _members(signed, classes)
-    comp = member.join(grouped.withColumnRenamed("id", "doc"), "doc", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "doc", "id"))
+    rooted = member.join(grouped.withColumnRenamed("id", "doc"), "doc", "left").withColumn("root", F.coalesce("comp", "doc"))
+    comp = rooted.join(merged, "root", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("above", "root"))
     out = comp.select("id", "n", component.alias("component_id"))
     return work.finish(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
