@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,8 +19,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by byte-level BPE and decoded again."""
+    from .byte_bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written to sorted-string-table shards and listed from them."""
+    from .sstable import roundtrip
+
+    return roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op8_byte_bpe, op9_token_sstable)}
 
 
 def oracle_sql() -> dict[str, str]:
