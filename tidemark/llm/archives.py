@@ -229,3 +229,15 @@ def archive(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", ur
     path = scratch(spark, "warc")
     write_warc(with_revisits(convert(pages, id_col=id_col, url_col=url_col, html_col=html_col), min_bytes=min_bytes), path)
     return read_warc(spark, path, id_col=id_col)
+
+
+#: The listing for DuckDB, whose SHA-1 gives hexadecimal digits: five hex digits make four digits in base 32.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS least FROM p),
+b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1), '' ORDER BY i) AS payload_digest
+      FROM x, (SELECT unnest(range(0, 32)) AS i) GROUP BY page_id)
+SELECT x.page_id, x.payload_bytes, b.payload_digest, CASE WHEN x.page_id = x.least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN x.page_id <> x.least THEN x.least END AS refers_to, CASE WHEN coalesce(pages.url, '') = '' THEN 'unknown:' ELSE pages.url END AS uri
+FROM x JOIN b USING (page_id) JOIN pages USING (page_id)
+"""

@@ -12,7 +12,7 @@ The lexicon is held as a bitmap of fixed size over 64-bit term hashes. By the ba
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Workspace
@@ -25,6 +25,8 @@ SLOTS = 21
 SUBSETS, LEVELS = 8, 3
 #: With fewer lexicon terms a document is fingerprinted by all its terms.
 FEW = 4
+#: What xxhash64 makes of an empty array: its seed.
+NOTHING = 42
 
 
 def term_hashes(text: Column) -> Column:
@@ -33,39 +35,37 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, work: Workspace, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row, ``bits``: the bitmap as 64-bit words, of a size that doesn't depend on the documents."""
+def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> Column:
+    """The bitmap as an array of 64-bit words, a constant whose size doesn't depend on the documents."""
     n = docs.count()
     terms = docs.select(F.explode(term_hashes(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
     band = terms.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)))
-    words = 1 << (SLOTS - 6)
     slot = F.col("h").bitwiseAND(F.lit((1 << SLOTS) - 1))
     marked = band.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    empty = docs.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
-    filled = marked.unionByName(empty).groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    row = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bit"))), lambda x: x["bit"]).alias("bits"))
-    return work.save(row, "lexicon")
+    words = [0] * (1 << (SLOTS - 6))
+    for word, bits in marked.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():  # len(words) rows at most
+        words[word] = bits
+    constant = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return F.concat(constant, F.array().cast("array<bigint>"))  # folds to one packed array
 
 
-def _subset_hash(terms: Column, subset: Column, level: Column) -> Column:
-    """Hash of the sorted terms in a subset whose share of the lexicon is 2^-level; null without any."""
+def _subset(terms: Column, subset: Column, level: Column) -> Column:
+    """The terms in a subset whose share of the lexicon is 2^-level."""
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int")) - 1
-    held = F.filter(terms, lambda t: F.xxhash64(t, subset).bitwiseAND(mask) == 0)
-    return F.when(F.size(held) > 0, F.lpad(F.lower(F.hex(F.xxhash64(held).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")).otherwise(F.lit("-"))
+    return F.filter(terms, lambda t: F.xxhash64(t, subset).bitwiseAND(mask) == 0)
 
 
-def fingerprint(df: DataFrame, text: Column, bits: DataFrame, name: str) -> DataFrame:
+def fingerprint(df: DataFrame, text: Column, bits: Column, name: str) -> DataFrame:
     """Adds a fingerprint column: level, hash of all terms, and LEVELS x SUBSETS hashes, joined by dots."""
     word = lambda t: F.shiftright(t.bitwiseAND(F.lit((1 << SLOTS) - 1)), 6).cast("int") + 1
-    known = lambda t: F.call_function("getbit", F.element_at(bits.scalar(), word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+    known = lambda t: F.call_function("getbit", F.element_at(bits, word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
     df = df.withColumn("_all", term_hashes(text))
     df = df.withColumn("_band", F.filter("_all", known))
     df = df.withColumn("_terms", F.array_sort(F.when(F.size("_band") >= FEW, F.col("_band")).otherwise(F.col("_all")))).drop("_all", "_band")
     df = df.withColumn("_level", F.floor(F.log2(F.greatest(F.size("_terms"), F.lit(1)))).cast("int"))
-    parts = F.transform(
-        F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)),
-        lambda k: _subset_hash(F.col("_terms"), k % SUBSETS + SUBSETS * (F.col("_level") + F.floor(k / SUBSETS).cast("int")), F.col("_level") + F.floor(k / SUBSETS).cast("int")),
-    )
+    level = lambda k: F.col("_level") + F.floor(k / SUBSETS).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda k: F.xxhash64(_subset(F.col("_terms"), k % SUBSETS + SUBSETS * level(k), level(k))))
+    parts = F.transform(hashes, lambda h: F.when(h == NOTHING, F.lit("-")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
     whole = F.lpad(F.lower(F.hex(F.xxhash64("_terms"))), 16, "0")
     return df.withColumn(name, F.concat_ws(".", F.col("_level").cast("string"), whole, F.array_join(parts, "."))).drop("_terms", "_level")
 
@@ -81,3 +81,51 @@ def likeness(a: Column, b: Column) -> Column:
     told = F.filter(pairs, lambda z: (z["p"] != "-") | (z["q"] != "-"))
     same = F.filter(told, lambda z: z["p"] == z["q"])
     return F.when(a == b, F.lit(1.0)).when((n > 0) & (F.size(told) > 0), F.size(same) / F.size(told)).otherwise(F.lit(0.0)).cast("double")
+
+
+def neighbours(docs: DataFrame, work: Workspace) -> DataFrame:
+    """``row``, ``next_row`` of rows (row, id, n): the next in descending order of ids, and the first after the last.
+
+    Only ids are sorted. Each task of the sort finds the neighbours of its range; what is next to a range is found
+    from one row for each range.
+    """
+    order = [F.desc_nulls_last("id"), F.desc("row")]
+    ranged = docs.select("row", "id").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = work.save(ranged, "ranged")
+    within = Window.partitionBy("part").orderBy(*order)
+    near = ranged.withColumn("next_row", F.lead("row").over(within)).withColumn("place", F.row_number().over(within))
+    first = near.where("place = 1").select("part", F.col("row").alias("first_row"))
+    over = Window.orderBy("part")
+    following = first.select("part", F.coalesce(F.lead("first_row").over(over), F.first("first_row").over(over)).alias("following"))
+    return near.join(following, "part").select("row", F.coalesce("next_row", "following").alias("next_row"))
+
+
+def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """The id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next`` of each row.
+
+    The edited text has the last floor(n/3) code points replaced by the first as many of the next document's text, in
+    descending order of ids; after the last comes the first. Null counts as empty. Rows that repeat an id follow each
+    other in the order in which they are read; null ids come last. A row alone is next to itself. A text without terms
+    has level 0 and no subset's hash, and is like equal fingerprints only. Other columns are not read; an empty table
+    gives no rows.
+    """
+    work = Workspace(docs.sparkSession, "imatch")
+    bits = lexicon(docs, text_col=text_col, low=low, high=high)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("n", F.length("text").cast("long"))
+    following = work.save(neighbours(rows, work), "following")
+    prints = fingerprint(rows, F.col("text"), bits, "fingerprint").select("row", "id", "n", "fingerprint")
+    prints = work.save(prints, "fingerprints")
+    cuts = prints.select("row", F.floor(F.col("n") / 3).cast("int").alias("cut")).join(following, "row")
+    cuts = work.save(cuts.select(F.col("row").alias("from"), F.col("next_row").alias("row"), "cut"), "cuts")
+    texts = rows.select("row", "text")  # both joins below read one shuffle of it
+    heads = texts.join(cuts.hint("merge"), "row").select(F.col("from").alias("row"), F.expr("substring(text, 1, cut)").alias("head"))
+    edited = texts.join(heads.hint("merge"), "row")
+    edited = edited.select("row", F.concat(F.expr("substring(text, 1, CAST(length(text) - floor(length(text) / 3) AS INT))"), "head").alias("edited"))
+    edited = edited.withColumn("edited_sha256", F.sha2("edited", 256))
+    edited = work.save(fingerprint(edited, F.col("edited"), bits, "edited_fingerprint").drop("edited"), "edited")
+    out = prints.join(edited, "row")
+    prints = prints.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
+    near = out.join(following, "row").join(prints, "next_row")
+    near = near.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint")))
+    return work.finish(near.select(F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"))

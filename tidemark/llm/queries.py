@@ -33,9 +33,76 @@ def op9_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of the text with its last third replaced from the next document."""
+    from .imatch import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that documents hold."""
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most 1 MiB of text by extendible hashing."""
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), byte_limit=1 << 20)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of whole texts, and of their lines."""
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text, learnt from labels that aren't held out."""
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), modulus=4, held_out=2), modulus=4, held_out=2)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by way of ARC to WARC files and back."""
+    from .archives import archive
+
+    return archive(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text, learnt from labels that aren't held out."""
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), modulus=5, held_out=0), modulus=5, held_out=0)
+
+
+_ALL = (
+    op1_imatch_fingerprints,
+    op2_decontamination,
+    op3_minhash_near_dedup,
+    op4_sharding,
+    op5_license_scan,
+    op6_toxicity,
+    op7_warc,
+    op8_byte_bpe,
+    op9_token_sstable,
+    op10_quality,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op8_byte_bpe, op9_token_sstable)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import archives, licences, sharding
+
+    return {"op4_sharding": sharding.ORACLE, "op5_license_scan": licences.oracle(), "op7_warc": archives.ORACLE}
