@@ -1,20 +1,33 @@
-"""The registered queries over the driver's tables, each beside the SQL that gives the same rows."""
+"""The registered queries over the driver's tables, each beside the SQL that gives the same rows.
+
+The tables are stand-ins for sessions, blobs, frames and transfers; each query runs one operator over a whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import crypto, numbers, predicates, strings
+from ..operators import folds, integrity, lookup, mutations, transfer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL where there is one."""
+    """Registers a function of the tables it names under its own name, with its SQL where there is one."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        names = f.__code__.co_varnames[: f.__code__.co_argcount]
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -22,7 +35,342 @@ def query(sql: str | None = None):
     return add
 
 
+def _sessions_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Orders as sessions that refer to their lines' orders."""
+    return lineitem.select(F.array(F.struct(F.col("l_orderkey").alias("gridfsId"))).alias("files"))
+
+
+# Scans, lookups and joins
+
+
 @query("SELECT o.* FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
-def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
-    return orders.join(lines.select("l_orderkey"), orders.o_orderkey == lines.l_orderkey, "left_anti")
+def orphan_files(orders, lineitem):
+    return integrity.orphan_files(orders.withColumnRenamed("o_orderkey", "_id"), _sessions_of(orders, lineitem)).withColumnRenamed("_id", "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
+def referenced_semi(orders, lineitem):
+    return integrity.referenced_files(orders.select(F.col("o_orderkey").alias("_id")), _sessions_of(orders, lineitem)).withColumnRenamed("_id", "o_orderkey")
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_chunks(documents, labels):
+    return integrity.orphan_chunk_ids(documents.select(F.col("doc_id").alias("files_id")), labels.select(F.col("doc_id").alias("_id"))).withColumnRenamed("files_id", "doc_id")
+
+
+@query("SELECT count(*) FILTER (ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-15') AS expired, count(*) FILTER (ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-15') AS rescheduled FROM events")
+def expiry_partition(events):
+    sessions = events.select((F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"))
+    return integrity.expiry_partition(sessions, F.lit("2024-01-15 00:00:00").cast("timestamp"))
+
+
+@query("SELECT CAST(sum(length(text)) AS BIGINT) AS data_size, count(*) AS objects FROM documents")
+def store_stats(documents):
+    return integrity.store_stats(documents.select(F.length("text").cast("bigint").alias("length")))
+
+
+@query("""SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_linenumber = 1) AND bool_or(l_returnflag = 'R')""")
+def token_lookup_dotted(lineitem):
+    """A file id and a token that may be of different files."""
+    nested = lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("gridfsId"), F.col("l_returnflag").alias("token"))).alias("files"))
+    later = nested.withColumn("expires_at", F.timestamp_seconds(F.lit(1)))
+    return lookup.find_by_file(later, F.lit(1), F.lit("R"), F.timestamp_seconds(F.lit(0))).select("l_orderkey")
+
+
+@query("SELECT doc_id AS code, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'stored' WHEN doc_id IN (SELECT item_id FROM benchmark) THEN 'live_session' ELSE 'not_found' END AS mode FROM documents")
+def resolve_stored_else_live(documents, labels, benchmark):
+    code = lambda df, c: df.select(F.col(c).alias("code"))
+    return lookup.resolve(code(documents, "doc_id"), code(labels, "doc_id"), code(benchmark, "item_id"))
+
+
+@query("SELECT doc_id AS code FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT item_id FROM benchmark)")
+def free_codes(documents, labels, benchmark):
+    code = lambda df, c: df.select(F.col(c).alias("code"))
+    return lookup.free_codes(code(documents, "doc_id"), code(labels, "doc_id"), code(benchmark, "item_id"))
+
+
+@query("""
+SELECT s.conv_id AS code, u."to", 'ready' AS type, r.turn AS "peerId"
+FROM conversations s JOIN conversations r ON s.conv_id = r.conv_id AND s.role = 'system' AND r.role <> 'system'
+CROSS JOIN LATERAL (SELECT unnest(['publisher', CAST(r.turn AS VARCHAR)]) AS "to") u
+""")
+def ready_fanout(conversations):
+    """System turns as publishers, the other turns of a conversation as waiting recipients."""
+    publishers = conversations.where("role = 'system'").select(F.col("conv_id").alias("code"), F.col("role").alias("publisher"))
+    recipients = conversations.where("role <> 'system'").groupBy(F.col("conv_id").alias("code")).agg(F.collect_list(F.struct(F.col("turn").alias("id"))).alias("recipients"))
+    return lookup.ready_pairs(publishers.join(recipients, "code"))
+
+
+@query("""
+SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, lang, n_chars FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.lang = d.lang AND e.n_chars = d.n_chars)
+""")
+def suppress_duplicates(documents):
+    """Even ids as the files already chosen, odd ones as the new selection."""
+    rows = documents.select("doc_id", "lang", "n_chars")
+    return lookup.suppress_duplicates(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), ["lang", "n_chars"])
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def attach_labels(documents, labels):
+    rows = documents.select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
+    return lookup.attach(rows, labels, "doc_id", ["quality", "toxic"])
+
+
+@query("""
+SELECT c.conv_id AS code, c.turn,
+       CASE WHEN s.n IS NULL THEN 'Session not found' WHEN c.role = 'system' AND c.turn = 0 THEN 'Recipient not found'
+            WHEN c.role = 'system' AND NOT list_contains(s.ids, c.turn) THEN 'Recipient not found' WHEN c.role <> 'system' AND NOT s.p THEN 'Publisher not connected' END AS error
+FROM conversations c LEFT JOIN (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS p, coalesce(list(turn) FILTER (role <> 'system'), []) AS ids FROM conversations GROUP BY 1) s USING (conv_id)
+""")
+def relay_route(conversations):
+    """Turns as frames: system turns are sent by a publisher to the turn of the same number."""
+    publisher = F.max(F.when(F.col("role") == "system", F.struct(F.lit("publisher").alias("id")))).alias("publisher")
+    waiting = F.collect_list(F.when(F.col("role") != "system", F.struct(F.col("turn").alias("id")))).alias("recipients")
+    sessions = conversations.groupBy(F.col("conv_id").alias("code")).agg(publisher, waiting)
+    role = F.when(F.col("role") == "system", F.lit("publisher")).otherwise(F.lit("recipient"))
+    frames = conversations.select(F.col("conv_id").alias("code"), role.alias("role"), F.col("turn").alias("sender"), F.col("turn").alias("peer_id"), "turn")
+    return lookup.route_frames(frames, sessions).select("code", "turn", "error")
+
+
+@query("""
+SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 400 WHEN l.doc_id IS NULL THEN 404 WHEN toxic = 1 AND n_chars % 2 = 0 THEN 401 WHEN quality = 0 THEN 410 ELSE 200 END AS status
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def retrieve_outcome(documents, labels):
+    """Documents as requests, labels as stored sessions: toxic ones are locked, poor ones expired."""
+    code = lambda: F.when(F.col("n_chars") % 7 == 0, F.lit("bad")).otherwise(strings.pad_code(F.col("doc_id")))
+    asked = documents.select("doc_id", code().alias("code"), (F.col("n_chars") % 2 == 1).alias("password_ok"))
+    at = F.timestamp_seconds(F.lit(100))
+    stored = labels.select(strings.pad_code(F.col("doc_id")).alias("code"), F.when(F.col("toxic") == 1, F.lit("x")).alias("password"), F.timestamp_seconds(F.col("quality") * 200).alias("expires_at"))
+    none = labels.select(F.lit("none").alias("code")).where(F.lit(False))
+    return lookup.retrieve_outcome(asked, stored, none, at).select("doc_id", "status")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_wins_merge(events):
+    return mutations.latest_by(events, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+# Scalars
+
+
+@query(r"SELECT page_id, regexp_replace(html, '<script\b[^>]*>([\s\S]*?)</script>', '', 'gi') AS text FROM pages")
+def script_strip(pages):
+    return pages.select("page_id", strings.strip_scripts(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, CAST(ceil(strlen(text) / 1024) AS BIGINT) AS chunks FROM documents")
+def text_bytes(documents):
+    n = strings.utf8_bytes(F.col("text"))
+    return documents.select("doc_id", n.cast("bigint").alias("bytes"), transfer.chunk_count(n, 1024).alias("chunks"))
+
+
+@query("SELECT CASE WHEN strlen(text) <= 4096 THEN 'stored' ELSE 'live' END AS mode, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def route_mode(documents):
+    n = strings.utf8_bytes(F.col("text"))
+    return documents.select(numbers.route_mode(n, limit=4096).alias("mode"), n.alias("b")).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE ((n_chars + 512) // 1024) || ' KB' END AS shown FROM documents")
+def format_bytes(documents):
+    return documents.select("doc_id", numbers.format_bytes(F.col("n_chars")).alias("shown"))
+
+
+@query("SELECT event_id, CASE WHEN b < 1048576 THEN ((b + 512) // 1024) || ' KB' ELSE (t // 10) || '.' || (t % 10) || ' MB' END AS shown FROM (SELECT event_id, b, (b * 10 + 524288) // 1048576 AS t FROM (SELECT event_id, event_id * 1048 + 1048576 AS b FROM events))")
+def format_mb(events):
+    return events.select("event_id", numbers.format_bytes(F.col("event_id") * 1048 + 1_048_576).alias("shown"))
+
+
+@query("SELECT event_id, CASE WHEN b > 1048576 THEN (m // 10) || '.' || (m % 10) || ' MB/s' WHEN b > 1024 THEN (k // 10) || '.' || (k % 10) || ' KB/s' ELSE b || ' B/s' END AS shown FROM (SELECT event_id, b, (b * 10 + 524288) // 1048576 AS m, (b * 10 + 512) // 1024 AS k FROM (SELECT event_id, event_id * 311 AS b FROM events))")
+def format_speed(events):
+    return events.select("event_id", numbers.format_speed(F.col("event_id") * 311).alias("shown"))
+
+
+@query("SELECT event_id, CASE WHEN s > 3600 THEN (s // 3600) || 'h ' || ((s % 3600) // 60) || 'm' WHEN s > 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS shown FROM (SELECT event_id, event_id * 7 % 9000 AS s FROM events)")
+def format_remaining(events):
+    return events.select("event_id", numbers.format_remaining(F.col("event_id") * 7 % 9000).alias("shown"))
+
+
+@query("SELECT event_id, CASE WHEN s < 3600 THEN CAST(floor(s / 60 + 0.5) AS BIGINT) || ' min' WHEN s % 3600 = 0 THEN (s // 3600) || ' hr' ELSE (t // 10) || '.' || (t % 10) || ' hr' END AS shown FROM (SELECT event_id, s, CAST(floor(s / 360 + 0.5) AS BIGINT) AS t FROM (SELECT event_id, event_id * 60 % 36000 + 60 AS s FROM events))")
+def format_ttl(events):
+    return events.select("event_id", numbers.format_ttl(F.col("event_id") * 60 % 36_000 + 60).alias("shown"))
+
+
+@query("SELECT event_id, CASE WHEN ms <= 0 THEN 'Expired' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || ((s % 3600) // 60) || 'm' END AS shown FROM (SELECT event_id, ms, ms // 1000 AS s FROM (SELECT event_id, event_id * 977 % 9000000 AS ms FROM events))")
+def format_countdown(events):
+    return events.select("event_id", numbers.format_countdown(F.col("event_id") * 977 % 9_000_000).alias("shown"))
+
+
+@query("SELECT event_id, least(greatest(event_id * 1000, 60000), 3600000) AS server_ms, least(greatest(event_id * 10, 60), 36000) AS client_s FROM events")
+def ttl_clamp(events):
+    return events.select("event_id", numbers.clamp_stored_ttl_ms(F.col("event_id") * 1000).alias("server_ms"), numbers.clamp_client_ttl_s(F.col("event_id") * 10).alias("client_s"))
+
+
+@query("SELECT event_id, c // 3600 AS hours, CAST(floor((c % 3600) / 60 + 0.5) AS BIGINT) AS minutes FROM (SELECT event_id, least(greatest(event_id * 11, 60), 36000) AS c FROM events)")
+def split_ttl(events):
+    return events.select("event_id", numbers.split_ttl(F.col("event_id") * 11).alias("t")).select("event_id", "t.hours", "t.minutes")
+
+
+@query(r"SELECT event_id, least(greatest(coalesce(TRY_CAST(nullif(regexp_extract(v, '^([+-]?[0-9]+)', 1), '') AS BIGINT), 3600000), 60000), 3600000) AS ttl_ms FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'soon' ELSE event_id * 500 || 'ms' END AS v FROM events)")
+def parse_ttl(events):
+    text = F.when(F.col("event_id") % 3 == 0, F.lit("soon")).otherwise(F.concat((F.col("event_id") * 500).cast("string"), F.lit("ms")))
+    return events.select("event_id", numbers.stored_ttl_ms(text).alias("ttl_ms"))
+
+
+@query("SELECT page_id, CASE WHEN n = '' THEN 'file' ELSE n END AS name FROM (SELECT page_id, substr(replace(list_last(string_split(replace(url, chr(92), '/'), '/')), '..', ''), 1, 255) AS n FROM pages)")
+def sanitise_filename(pages):
+    return pages.select("page_id", strings.sanitise_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS code, o_orderkey % 5 <> 0 AS valid FROM orders")
+def code_filter(orders):
+    """Every fifth code gets a line end, and so is none."""
+    code = strings.pad_code(F.col("o_orderkey"))
+    given = F.when(F.col("o_orderkey") % 5 == 0, F.concat(code, F.lit("\n"))).otherwise(code)
+    return orders.select("o_orderkey", code.alias("code"), strings.is_code(given).alias("valid"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_payload(events):
+    return events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+
+
+@query("SELECT page_id, base64(encode(url)) AS url64 FROM pages")
+def base64_text(pages):
+    return pages.select("page_id", strings.base64_plain(F.encode("url", "UTF-8")).alias("url64"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE 'https%' THEN regexp_replace(url, '^https', 'wss') ELSE regexp_replace(url, '^http', 'ws') END AS url FROM pages")
+def socket_url(pages):
+    return pages.select("page_id", strings.socket_url(F.col("url")).alias("url"))
+
+
+@query("SELECT event_id, CASE WHEN a < 5 THEN CAST(least(1000 * pow(2, a), 30000) AS BIGINT) END AS delay_ms FROM (SELECT event_id, event_id % 7 AS a FROM events)")
+def backoff(events):
+    return events.select("event_id", numbers.backoff_ms(F.col("event_id") % 7).alias("delay_ms"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'join' WHEN 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'relay' ELSE 'Send join first' END ELSE CASE WHEN user_id % 2 = 0 THEN 'Unknown type: ' || event_type ELSE 'Send join first' END END AS route FROM events")
+def message_route(events):
+    kind = F.when(F.col("event_type") == "click", F.lit("join")).when(F.col("event_type") == "view", F.lit("offer")).otherwise(F.col("event_type"))
+    return events.select("event_id", predicates.message_route(kind, F.col("user_id") % 2 == 0).alias("route"))
+
+
+# Transfers
+
+
+@query("SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(least(1024, strlen(text) - seq * 1024) AS BIGINT) AS byte_len FROM (SELECT doc_id, text, unnest(range(CAST(ceil(strlen(text) / 1024) AS BIGINT))) AS seq FROM documents)")
+def chunk_split(documents):
+    return transfer.split(documents.select("doc_id", F.col("text").alias("data")), chunk_bytes=1024).select("doc_id", "seq", "byte_len")
+
+
+@query("SELECT doc_id, md5(text) AS digest, CAST(ceil(strlen(text) / 1024) AS BIGINT) AS chunks FROM documents WHERE strlen(text) > 0")
+def reassemble(documents):
+    chunks = transfer.split(documents.select("doc_id", F.col("text").alias("data")), chunk_bytes=1024)
+    return transfer.reassemble(chunks, ["doc_id"]).select("doc_id", F.md5("data").alias("digest"), "chunks")
+
+
+@query("""
+SELECT doc_id, source, CAST(sum(n_chars) OVER w AS BIGINT) AS bytes_done, count(*) OVER w AS chunks_done, CAST(floor(sum(n_chars) OVER w / sum(n_chars) OVER (PARTITION BY source) * 100 + 0.5) AS BIGINT) AS percent
+FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)
+""")
+def progress(documents):
+    chunks = documents.select("source", "doc_id", F.col("n_chars").alias("byte_len"))
+    totals = chunks.groupBy("source").agg(F.sum("byte_len").alias("bytes_total"))
+    return transfer.progress(chunks, totals, "source", seq="doc_id").select("doc_id", "source", "bytes_done", "chunks_done", "percent")
+
+
+@query("SELECT source, CAST(sum(n_chars) AS BIGINT) AS bytes_total, CAST(sum(ceil(n_chars / 1024)) AS BIGINT) AS chunks_total FROM documents GROUP BY 1")
+def transfer_totals(documents):
+    return transfer.totals(documents.select("source", F.col("n_chars").alias("size")), "source", chunk_bytes=1024)
+
+
+@query("""
+WITH f AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS e FROM documents),
+c AS (SELECT source, doc_id, e - n_chars + 1024 * unnest(range(CAST(ceil(n_chars / 1024) AS BIGINT))) AS at FROM f)
+SELECT c.source, CAST(c.at AS BIGINT) AS at, f.doc_id AS file_index FROM c JOIN f ON c.source = f.source AND c.at >= f.e - f.n_chars AND c.at < f.e
+""")
+def attribute_chunks(documents):
+    """Sources as transfers of their documents in order of ids; chunks of 1 KiB cut at document ends."""
+    files = documents.select("source", F.col("doc_id").alias("file_index"), F.col("n_chars").alias("size"))
+    ranges = transfer.sender_files(files, "source")
+    cut = ranges.where("size > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / 1024) - 1)))
+    chunks = cut.select("source", (F.col("start") + F.col("k") * 1024).alias("at"), F.least(F.lit(1024), F.col("size") - F.col("k") * 1024).alias("byte_len"))
+    return transfer.attribute(chunks, files, "source", seq="at").select("source", "at", "file_index")
+
+
+# Ordered rules
+
+_ANCHORED = """
+WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+f AS (SELECT event_id, event_type, r, ms AS opened, CAST(1 AS BIGINT) AS n FROM e WHERE r = 1
+      UNION ALL SELECT e.event_id, e.event_type, e.r, CASE WHEN e.ms - f.opened > 21600000 THEN e.ms ELSE f.opened END, CASE WHEN e.ms - f.opened > 21600000 THEN 1 ELSE f.n + 1 END
+      FROM f JOIN e ON e.event_type = f.event_type AND e.r = f.r + 1)
+SELECT event_id, n, n > 10 AS over FROM f
+"""
+
+
+@query(_ANCHORED)
+def rate_limit_anchored(events):
+    return folds.rate_limit(events.select("event_id", "event_type", "ts"), ["event_type"], order=["event_id"], most=10, length_ms=6 * 3_600_000).select("event_id", "n", "over")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS k, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error'),
+f AS (SELECT event_id, k, r, ms + 43200000 AS until, CAST(1 AS BIGINT) AS n, false AS blocked FROM e WHERE r = 1
+      UNION ALL SELECT e.event_id, e.k, e.r, CASE WHEN e.ms > f.until THEN e.ms + 43200000 ELSE f.until END,
+             CASE WHEN e.ms > f.until THEN 1 WHEN f.n >= 5 THEN f.n ELSE f.n + 1 END, e.ms <= f.until AND f.n >= 5
+      FROM f JOIN e ON e.k = f.k AND e.r = f.r + 1)
+SELECT event_id, blocked, n AS failures FROM f
+""")
+def lockout(events):
+    wrong = events.where("event_type = 'error'").select("event_id", (F.col("user_id") % 3).alias("k"), "ts")
+    return folds.lockout(wrong, ["k"], order=["event_id"], limit=5, length_ms=12 * 3_600_000).select("event_id", "blocked", "failures")
+
+
+@query("""
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n
+FROM (SELECT *, sum(CASE WHEN ts - p <= INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, g
+""")
+def gap_sessions(events):
+    out = folds.inactivity(events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", gap="6 hours")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query()
+def membership_fold(events):
+    """Users as sessions; an event's type and number say who joins or leaves. A fold over ordered events: no SQL."""
+    role = F.when(F.col("event_id") % 5 == 0, F.lit("publisher")).otherwise(F.lit("recipient"))
+    peer = F.when(F.col("event_id") % 5 == 0, F.lit("publisher")).otherwise((F.col("event_id") % 8).cast("string"))
+    kind = F.when(F.col("event_type") == "error", F.lit("leave")).otherwise(F.lit("join"))
+    rows = events.select("event_id", F.col("user_id").alias("code"), "ts", kind.alias("kind"), role.alias("role"), peer.alias("peer"))
+    return folds.membership(rows, order=["event_id"], most=4).select("event_id", "code", "outcome", "n_recipients")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 AND o_orderdate + INTERVAL 3 DAY <= t THEN 'deleted' WHEN o_orderkey % 5 = 0 AND o_orderdate + INTERVAL 2 DAY <= t THEN 'burned' WHEN o_orderdate + INTERVAL 9 DAY <= t THEN 'expired' ELSE 'active' END AS state
+FROM orders, (SELECT TIMESTAMP '1995-06-17' AS t)
+""")
+def stored_lifecycle(orders):
+    at = F.col("o_orderdate").cast("timestamp")
+    rows = orders.select("o_orderkey", (at + F.expr("INTERVAL 9 DAY")).alias("expires_at"), F.when(F.col("o_orderkey") % 5 == 0, at + F.expr("INTERVAL 2 DAY")).alias("delete_at"), F.when(F.col("o_orderkey") % 7 == 0, at + F.expr("INTERVAL 3 DAY")).alias("deleted_at"))
+    return folds.lifecycle(rows, F.lit("1995-06-17 00:00:00").cast("timestamp")).select("o_orderkey", "state")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS code, min(ts) + INTERVAL 3 SECOND AS delete_at FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 GROUP BY 1")
+def burn_on_read(events):
+    reads = events.where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("code"), F.col("ts").cast("timestamp").alias("ts"), F.lit(200).alias("status"))
+    users = events.select(F.col("user_id").cast("string").alias("code"), (F.col("user_id") % 2 == 0).alias("burn_on_read")).distinct()
+    return folds.burn_times(reads, users).select("code", F.col("delete_at").cast("timestamp_ntz").alias("delete_at"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, strlen(text) + 44 AS sealed_bytes FROM documents")
+def envelope_roundtrip(documents):
+    """Each text sealed and opened again; the key is derived once for each language."""
+    salts = documents.select("lang").distinct().withColumn("salt", F.unhex(F.md5("lang")))
+    keys = salts.withColumn("key", crypto.derive_key(F.col("lang"), F.col("salt")))
+    iv = F.substring(F.unhex(F.md5(F.col("doc_id").cast("string"))), 1, 12)
+    sealed = documents.join(F.broadcast(keys), "lang").withColumn("envelope", crypto.seal(F.encode("text", "UTF-8"), F.col("key"), F.col("salt"), iv))
+    return sealed.select("doc_id", F.md5(crypto.open_(F.col("envelope"), F.col("key"))).alias("digest"), F.octet_length("envelope").cast("bigint").alias("sealed_bytes"))
