@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -39,32 +40,66 @@ FOOTER = struct.Struct("<QQQQQQQQQqqIIB3xI9s")
 #: Aims for the size of a block, and of the documents in a shard, in bytes. A larger document is alone in its block.
 BLOCK_BYTES, SHARD_BYTES = 1 << 15, 8 << 20
 BITS_A_KEY, PROBES = 10, 7
-REMEMBERED = 300_000
+#: Runs, and pre-tokens, whose ids a worker remembers. Frequent ones come early, so nothing is forgotten for later ones.
+RUNS, PIECES = 300_000, 800_000
 
 _tokenizers: dict[str, Words] = {}
 
 
+class Pieces(dict):
+    """ids of pre-tokens by the tokenizer's own model, as little-endian 32-bit bytes, remembered within a bound."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join(_BYTE_LETTERS[b] for b in piece.encode())
+        ids = struct.pack(f"<{len(t := self.model.tokenize(mapped))}I", *(x.id for x in t))
+        if len(self) < PIECES and len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers put for each byte: printable Latin-1 stays, the rest follow U+0100 in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    odd = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(odd)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+#: The characters of which runs are split here: those of Latin scripts, which are the same in all Unicode forms.
+_LATIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x180))]
+_of = lambda kind: "".join(c for c in _LATIN if unicodedata.category(c)[0] == kind)
+_OTHER = "".join(c for c in _LATIN if unicodedata.category(c)[0] not in "LN")
+
+
 class Words(dict):
     """ids of runs between white space, as little-endian 32-bit bytes, remembered within a bound.
 
     The tokenizer's pre-tokens hold no white space and its normaliser works within runs, so a text's ids are those of
-    its runs. Texts for which Python and the tokenizer may see other runs, or with a special token, are encoded whole.
+    its runs. A run of Latin characters is lower-cased and split by the tokenizer's pattern, and its pre-tokens go to
+    the tokenizer's model; any other run goes through the whole tokenizer. Texts for which Python and the tokenizer
+    may see other runs, or with a special token, are encoded whole.
     """
 
     aside = re.compile(r"[\x1c-\x1f]|<\|").search
+    latin = re.compile(f"[{re.escape(''.join(_LATIN))}]+").fullmatch
+    #: Fixed value: the tokenizer's own pattern, over these characters.
+    split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[{re.escape(_OTHER)}]+").findall
 
     def __init__(self, definition: bytes):
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(definition)
+        self.pieces = Pieces(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        ids = self.whole(run)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(run) <= 64:
+        ids = b"".join(map(self.pieces.__getitem__, self.split(run.lower()))) if self.latin(run) else self.whole(run)
+        if len(self) < RUNS and len(run) <= 64:
             self[run] = ids
         return ids
 
