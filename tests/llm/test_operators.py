@@ -1,0 +1,363 @@
+"""Each operator against a plainer version, and on odd tables."""
+
+import base64
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidemark.llm import archives, byte_bpe, decontaminate, imatch, licences, near_dedup, quality, sharding, sstable, text, toxicity
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice(["th", "an", "er", "on", "re", "sh", "le"]) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def shingles(t, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_groups(rows, k, num, den):
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and den * len(x & y) >= num * len(x | y):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return sorted((i, len(s), find(i), find(i) == i) for i, s in sets)
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 85, 100), (5, 4, 5)])
+def test_near_duplicates(spark, k, num, den):
+    rnd = random.Random(5)
+    rows, texts = [], []
+    for _ in range(40):
+        t = prose(rnd, rnd.choice([2, 8, 40, 200]))
+        for _ in range(rnd.randint(1, 5)):
+            w = t.split()
+            for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+                w[rnd.randrange(len(w))] = prose(rnd, 1)
+            texts.append(" ".join(w))
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=k, num=num, den=den)
+    assert sorted(tuple(r) for r in got.collect()) == brute_groups(rows, k, num, den)
+
+
+def test_near_duplicates_in_one_bucket_of_many(spark, monkeypatch):
+    """Texts that share a bucket but not the link to its centre still find their own links."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rnd = random.Random(2)
+    base = prose(rnd, 60).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in rnd.sample(range(60), 3):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+        if i % 6 == 0:
+            rows.append((100 + i, " ".join([*w[:-1], "end"])))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, num=85, den=100)
+    assert sorted(tuple(r) for r in got.collect()) == brute_groups(rows, 3, 85, 100)
+
+
+def test_near_duplicates_odd(odd, none, clashing):
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()}
+    assert got[(1, 0)] == (1, True) and got[(2, 0)] == (2, True) and got[(3, 0)] == (3, True)
+    assert got[(4, 29996)] == (4, True) and got[(5, 29997)] == (4, False)
+    assert got[(6, 1)] == (6, True) and got[(7, 1)] == (6, False) and got[(None, 1)] == (None, True)
+    assert {v for k, v in got.items() if k[0] == 8} == {(8, True)}
+    assert near_dedup.near_duplicates(odd).count() == 11
+    assert near_dedup.near_duplicates(none).count() == 0
+    assert near_dedup.near_duplicates(clashing).count() == 6
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_round_trip(spark, odd, none, clashing, encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CHUNK", 500)
+    monkeypatch.setattr(byte_bpe, "OVERLAP", 60)
+    extra = spark.createDataFrame([(20, "a  b\n\n" * 300 + "x" * 3000 + " y" * 400), (21, "'ll it's" * 200 + " " * 900 + "z")], "doc_id long, text string")
+    rows = odd.select("doc_id", "text").unionByName(extra)
+    encoded = byte_bpe.encode(rows, RANKS, PATTERN)
+    want = sorted(((r.doc_id, encoding.encode_ordinary(r.text or "")) for r in rows.collect()), key=str)
+    assert sorted(((r.doc_id, r.ids) for r in encoded.collect()), key=str) == want
+    back = byte_bpe.decode(encoded, RANKS, PATTERN)
+    assert sorted(((r.doc_id, bytes(r.bytes).decode()) for r in back.collect()), key=str) == sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=str)
+    told = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in byte_bpe.digests(rows, RANKS, PATTERN).collect()}
+    assert told == {(d, len(i), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest()) for d, i in want}
+    assert byte_bpe.digests(none, RANKS, PATTERN).count() == 0
+    assert byte_bpe.encode(clashing, RANKS, PATTERN).count() == 6
+
+
+@given(st.text(alphabet="ab'lst .\n\t 12é中!", min_size=1, max_size=300), st.integers(8, 60), st.integers(6, 20))
+@settings(max_examples=200, deadline=None)
+def test_stitching(t, chunk, overlap):
+    with open(RANKS, "rb") as f:
+        vocabulary = byte_bpe.Vocabulary.of(f.read(), PATTERN)
+    bases = list(range(0, max(1, len(t) - overlap), chunk))
+    scans = [byte_bpe.chunk_scan(t[b : b + chunk + overlap], b + chunk + overlap >= len(t), vocabulary) for b in bases]
+    assert byte_bpe.stitch(bases, scans) in (None, vocabulary.encode(t))
+
+
+def brute_ids(rows):
+    t, out, start = Tokenizer.from_file(WORDS), [], 0
+    for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        out.append((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out
+
+
+def test_sstable(spark, odd, none, clashing, tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 200)
+    extra = [(-5, "<|endoftext|> x\x1cy"), (10**12, "It's ÀÉ 12² naïve Ａ İ ǅ ́ ½"), *[(i, f"text {i} " * (i % 9)) for i in range(100, 160)]]
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = sorted((tuple(r) for r in sstable.roundtrip(rows, WORDS).collect()), key=lambda r: r[1])
+    assert got == brute_ids([tuple(r) for r in rows.collect()])
+    path = str(tmp_path / "shards")
+    sstable.write(rows, path, WORDS)
+    found = {r.doc_id: r.ids for r in sstable.lookup(spark, path, [120, 100, 99999]).collect()}
+    t = Tokenizer.from_file(WORDS)
+    assert found == {i: [*t.encode(f"text {i} " * (i % 9), add_special_tokens=False).ids, 1] for i in (100, 120)}
+    assert sstable.roundtrip(none, WORDS).count() == 0
+    assert sstable.roundtrip(clashing, WORDS).count() == 6
+
+
+@given(st.lists(st.text(max_size=30), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_runs_encode_as_whole_texts(parts):
+    with open(WORDS, "rb") as f:
+        words = sstable.Words.of(f.read())
+    t = " ".join(parts)
+    assert words.encode(t) == words.whole(t)
+
+
+def test_shard_checks_its_bytes():
+    data = bytearray(sstable.build([(sstable.key_of(1), struct.pack("<I", 70000))], 0, 0) + b"\n")
+    assert [ids.tolist() for _, ids in sstable.Shard(bytes(data))] == [[70000]]
+    data[0] ^= 1
+    with pytest.raises(ValueError):
+        sstable.Shard(bytes(data))
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_files(version):
+    records = [archives.ArcRecord(f"http://x/{i}", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\n" + b"a\n\nb" * i) for i in range(4)]
+    data = archives.write_arc(iter(records), version)
+    assert list(archives.read_arc(data)) == records
+    with pytest.raises(ValueError):
+        list(archives.read_arc(data[:-3]))
+    with pytest.raises(ValueError):
+        list(archives.read_arc(data.replace(b"%d 0 tidemark" % version, b"7 0 tidemark")))
+    assert archives.timestamp("20010203040506") == "2001-02-03T04:05:06Z"
+
+
+def test_archive(spark):
+    rows = [(3, "http://a b", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "u", None), (5, "u", ""), (4, "u", "WARC/1.1\r\n\r\n\r\nx" * 3), (None, "u", "<p>same</p>"), (6, "u", "é中")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = sorted((tuple(r) for r in archives.archive(pages).collect()), key=str)
+
+    def want(i, u, h):
+        same = [j for j, _, g in rows if (g or "") == (h or "") and j is not None]
+        other = i is not None and min(same) != i
+        url = {"http://a b": "http://a%20b", None: "unknown:"}.get(u, u)
+        return (i, len((h or "").encode()), archives.sha1((h or "").encode()), "revisit" if other else "response", min(same) if other else None, url)
+
+    assert got == sorted((want(*r) for r in rows), key=str)
+    assert archives.archive(pages, min_bytes=1).where("payload_bytes = 0 AND record_type = 'revisit'").count() == 0
+    assert archives.archive(pages.where("page_id > 99")).count() == 0
+
+
+def test_sharding(spark, odd, none, clashing):
+    rnd = random.Random(4)
+    rows = [(i, "x" * rnd.choice([0, 10, 100, 900])) for i in range(500)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), byte_limit=2000).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
+    size = dict(rows)
+    by = {}
+    for r in got:
+        bits = f"{int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16):060b}"
+        assert bits.startswith(r.shard) and len(r.shard) == r.depth and r.fits
+        by.setdefault(r.shard, []).append(r)
+    for shard, rs in by.items():
+        assert sum(len(size[r.doc_id]) for r in rs) == rs[0].shard_bytes <= 2000
+        parent = sum(len(t) for i, t in rows if f"{int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16):060b}".startswith(shard[:-1]))
+        assert shard == "" or parent > 2000
+    hot = spark.createDataFrame([(1, "x" * 100)] * 50 + [(2, "y" * 5000)], "doc_id long, text string")
+    got = sharding.assign(hot, byte_limit=1000).collect()
+    assert len(got) == 51 and all(r.fits for r in got if r.doc_id == 1) and [r.fits for r in got if r.doc_id == 2] == [False]
+    assert sharding.assign(odd, byte_limit=1000).count() == 11
+    assert sharding.assign(none).count() == 0 and sharding.assign(clashing).count() == 6
+
+
+def test_licences(spark, odd, none, clashing):
+    mit = licences.KNOWN["MIT"][2]
+    rows = [(1, "Copyright (c) 2020 Some Body\n" + mit.upper().replace(" ", "  ")), (2, "a text\nLICENSED under the Apache Licence - version 2.0\nrest"), (3, "All rights reserved\n© 2021 x\nReleased under the MIT license"), (4, "nothing")]
+    got = {r.doc_id: (r.license, r.notices, r.n_notices, r.n_copyright) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", "", 0, 1), 2: (None, "Apache-2.0", 1, 0), 3: (None, "All-Rights-Reserved,MIT", 2, 1), 4: (None, "", 0, 0)}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    want = con.execute(licences.oracle())
+    columns = [c[0] for c in want.description]
+    mine = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).select(*columns).collect()
+    assert sorted((tuple(r) for r in mine), key=str) == sorted(want.fetchall(), key=str)
+    assert licences.scan(odd).count() == 11 and licences.scan(none).count() == 0 and licences.scan(clashing).count() == 6
+
+
+def test_fingerprints(spark, odd, none, clashing):
+    rnd = random.Random(9)
+    rows = [(i, prose(rnd, 120)) for i in range(30)] + [(99, "")]
+    rows.append((98, rows[3][1]))
+    got = {r.doc_id: r for r in imatch.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), high=0.5).collect()}
+    order, src = sorted(dict(rows), reverse=True), dict(rows)
+    for k, i in enumerate(order):
+        following = order[(k + 1) % len(order)]
+        cut = len(src[i]) // 3
+        edited = src[i][: len(src[i]) - cut] + src[following][:cut]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(src[i]), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        assert (got[i].near_edited == 1.0) >= (got[i].fingerprint == got[i].edited_fingerprint)
+    assert got[98].fingerprint == got[3].fingerprint
+    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.1
+    assert imatch.edited_fingerprints(odd).count() == 11
+    assert imatch.edited_fingerprints(none).count() == 0 and imatch.edited_fingerprints(clashing).count() == 6
+
+
+def brute_bm25(index, hashes):
+    units = {}
+    for t in set(hashes):
+        if t in index.lists:
+            for k, x in zip(*index.lists[t], strict=True):
+                units[int(k)] = units.get(int(k), 0.0) + float(x)
+    return {k: x for k, x in units.items() if x >= decontaminate.THRESHOLD - 1e-9}
+
+
+def test_block_max_wand_gives_all_above_the_threshold():
+    rnd = random.Random(8)
+    items = [(i, prose(rnd, rnd.randint(5, 150)) + ". " + prose(rnd, 3) + ".") for i in range(120)]
+    index = decontaminate.Index(items)
+    for _ in range(150):
+        words = prose(rnd, 80).split()
+        for _ in range(rnd.randint(0, 3)):
+            t = items[rnd.randrange(120)][1].split()
+            at, a = rnd.randrange(40), rnd.randrange(len(t))
+            words[at:at] = t[a : a + rnd.choice([10, 30, 64])]
+        passage = decontaminate._word_hashes([" ".join(words)])[0].tolist()
+        found = index.search(sorted(set(passage)))
+        assert len(found) == len(dict(found))
+        want = brute_bm25(index, passage)
+        assert set(dict(found)) == set(want)
+        assert all(abs(want[k] - x) < 1e-9 for k, x in found)
+
+
+def test_decontamination(spark, odd, none, clashing):
+    rnd = random.Random(6)
+    items = [(i, prose(rnd, rnd.choice([3, 20, 60, 150])).capitalize() + ". " + prose(rnd, 4) + ".") for i in range(60)] + [(None, None), (61, "")]
+    docs, want = [], set()
+    for d in range(200):
+        words = [prose(rnd, rnd.choice([5, 90, 400]))]
+        if d % 4 == 0:
+            k = rnd.randrange(60)
+            words.insert(rnd.randrange(2), items[k][1].upper() if d % 8 else items[k][1])
+        docs.append((d, " ".join(words)))
+    held = [(i, " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " ") for i, t in items]
+    for d, t in docs:
+        body = " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+        want |= {(d, i) for i, x in held if x.strip() and x in body}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
+    assert got >= want and len(got - want) <= 2
+    kept = decontaminate.keep_uncontaminated(table, bench)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
+    assert decontaminate.contaminated(odd, bench).count() == 0 and decontaminate.keep_uncontaminated(odd, bench).count() == 11
+    assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(clashing, bench.limit(0)).count() == 0
+
+
+def test_indexes_of_many_items_come_in_blocks(spark):
+    bench = spark.createDataFrame([(i, f"item number {i} " * 20) for i in range(40)], "item_id long, text string")
+    blocks = list(decontaminate.indexes(bench, block_bytes=4000))
+    assert len(blocks) > 1 and sorted(i for b in blocks for i in b.ids) == list(range(40))
+
+
+def test_factorisation_machine_identity():
+    rng = np.random.default_rng(0)
+    present, stats = rng.random((5, quality.BUCKETS)) < 0.05, rng.random((5, len(quality.STATISTICS))).astype(np.float32)
+    width = quality.BUCKETS + 3 * len(quality.STATISTICS)
+    m = quality.Machine(np.zeros(len(quality.STATISTICS)), np.ones(len(quality.STATISTICS)), 0.1, rng.normal(size=width) * 0.1, rng.normal(size=(width, 3)) * 0.1)
+    x = m.matrix(present, stats, m.mean, m.scale)
+    for row, got in zip(x, m.score(present, stats), strict=True):
+        i, j = np.triu_indices(width, 1)
+        y = m.w0 + row @ m.w + ((m.v[i] * m.v[j]).sum(axis=1) * row[i] * row[j]).sum()
+        assert abs(1 / (1 + np.exp(-y)) - got) < 1e-4
+
+
+def labelled_table(spark, rnd, bad, n=400, column="quality", value=0):
+    docs, labels = [], []
+    for i in range(n):
+        odd_one = i % 4 == 0
+        docs.append((i, bad(prose(rnd, 60)) if odd_one else prose(rnd, 60)))
+        labels.append((i, value if odd_one else 1 - value))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, f"doc_id long, {column} int")
+
+
+def test_quality(spark, odd, none, clashing):
+    docs, labels = labelled_table(spark, random.Random(1), lambda t: " ".join(w.upper() + "!!" for w in t.split()))
+    machine = quality.train(docs, labels)
+    rows = quality.score(docs, machine).join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 40 and sum(r.predicted == r.quality for r in rows) >= 0.97 * len(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in quality.score(docs, machine).collect())
+    assert quality.keep_good(docs, machine).count() == quality.score(docs, machine).where("predicted = 1").count()
+    assert quality.score(odd, machine).count() == 11 and quality.score(none, machine).count() == 0
+    assert quality.keep_good(clashing, machine).columns == clashing.columns
+    empty = quality.train(none, labels)
+    assert quality.score(odd, empty).where("score = 0.5").count() == 11
+
+
+def test_toxicity(spark, odd, none, clashing):
+    rnd = random.Random(3)
+    docs, labels = labelled_table(spark, rnd, lambda t: t.replace(" ", f" {rnd.choice(['idiot', 'worthless'])} ", 2), column="toxic", value=1)
+    lexicon = toxicity.train(docs, labels)
+    assert lexicon.terms == ["idiot", "worthless"]
+    rows = toxicity.score(docs, lexicon).join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 40 and sum(r.predicted == r.toxic for r in rows) >= 0.97 * len(rows)
+    reader = toxicity.Reader(lexicon)
+    part = next(text.slices(toxicity.lowered(pa.array(["you Idiot", "you idiott", "the word “idiot” is said", "nothing", None]))))[1]
+    x = reader.features(part)
+    assert x[0, 0] > 0 and x[0, 5] > 0 and x[1, 2] > 0 and x[1, 0] == 0 and x[2, 4] > 0 and x[2, 0] == 0 and not x[3:].any()
+    assert toxicity.score(odd, lexicon).count() == 11 and toxicity.score(none, lexicon).count() == 0
+    assert toxicity.keep_clean(clashing, lexicon).columns == clashing.columns
+    unlearnt = toxicity.train(none, labels)
+    assert unlearnt.terms == [] and toxicity.score(odd, unlearnt).count() == 11
