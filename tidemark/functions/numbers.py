@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..limits import LIMITS
 from .strings import js_trim
@@ -66,7 +67,7 @@ def format_speed(bps: Column) -> Column:
     return F.when(bps > 1_048_576, mb).when(bps > 1024, kb).otherwise(F.concat(bps.cast("string"), F.lit(" B/s")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def format_speed_exact(bps: pd.Series) -> pd.Series:
     """For fractions of bytes a second: decimals round half up on the exact binary value."""
 

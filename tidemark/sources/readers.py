@@ -19,8 +19,20 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_env(spark: SparkSession, path: str) -> DataFrame:
-    """``key``, ``value`` of an environment file: no blanks, no comments, split at the first ``=``, first definition wins."""
-    lines = spark.read.text(path).select(js_trim(F.col("value")).alias("line"), F.monotonically_increasing_id().alias("at"))
+    """``key``, ``value`` of an environment file: no blanks, no comments, split at the first ``=``, first definition wins.
+
+    Spark's own readers skip files whose names begin with a dot, so the file, which is small, is opened on its file
+    system and its lines are numbered here.
+    """
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        content = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    numbered = spark.createDataFrame(list(enumerate(content.split("\n"))), "at long, value string")
+    lines = numbered.select(js_trim(F.col("value")).alias("line"), "at")
     kept = lines.where((F.length("line") > 0) & ~F.col("line").startswith("#") & F.col("line").contains("="))
     parts = F.split("line", "=", 2)
     named = kept.select(js_trim(parts[0]).alias("key"), js_trim(parts[1]).alias("value"), "at")
