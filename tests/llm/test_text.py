@@ -53,10 +53,10 @@ def test_shingle_sets(texts):
 
 def test_minhash_estimates_likeness():
     rng = np.random.default_rng(1)
-    a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
-    b = np.unique(np.concatenate([a[:2400], rng.integers(0, 2**63, 600).astype(np.uint64)]))
-    few = a[:20]
-    fewer = np.unique(np.concatenate([few[:18], rng.integers(0, 2**63, 2).astype(np.uint64)]))
+    a = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[:2400], rng.integers(0, 2**64, 600, dtype=np.uint64)]))
+    few = np.sort(rng.choice(a, 20, replace=False))
+    fewer = np.unique(np.concatenate([few[:18], rng.integers(0, 2**64, 2, dtype=np.uint64)]))
     for x, y in ((a, b), (few, fewer)):
         sig = minhash.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), 512)
         true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))

@@ -49,25 +49,24 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
     return F.concat(constant, F.array().cast("array<bigint>"))  # folds to one packed array
 
 
-def _subset(terms: Column, subset: Column, level: Column) -> Column:
-    """The terms in a subset whose share of the lexicon is 2^-level."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int")) - 1
-    return F.filter(terms, lambda t: F.xxhash64(t, subset).bitwiseAND(mask) == 0)
-
-
 def fingerprint(df: DataFrame, text: Column, bits: Column, name: str) -> DataFrame:
     """Adds a fingerprint column: level, hash of all terms, and LEVELS x SUBSETS hashes, joined by dots."""
     word = lambda t: F.shiftright(t.bitwiseAND(F.lit((1 << SLOTS) - 1)), 6).cast("int") + 1
     known = lambda t: F.call_function("getbit", F.element_at(bits, word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
     df = df.withColumn("_all", term_hashes(text))
     df = df.withColumn("_band", F.filter("_all", known))
-    df = df.withColumn("_terms", F.array_sort(F.when(F.size("_band") >= FEW, F.col("_band")).otherwise(F.col("_all")))).drop("_all", "_band")
+    df = df.withColumn("_terms", F.sort_array(F.when(F.size("_band") >= FEW, F.col("_band")).otherwise(F.col("_all")))).drop("_all", "_band")
     df = df.withColumn("_level", F.floor(F.log2(F.greatest(F.size("_terms"), F.lit(1)))).cast("int"))
-    level = lambda k: F.col("_level") + F.floor(k / SUBSETS).cast("int")
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda k: F.xxhash64(_subset(F.col("_terms"), k % SUBSETS + SUBSETS * level(k), level(k))))
+    # Subset j of a level has the terms whose j-th hash ends in so many zero bits, so that of a level is within that of
+    # the level before; the masks are columns of their own lest they be worked out for every term.
+    one = F.lit(1).cast("long")
+    df = df.withColumns({f"_mask{i}": F.call_function("shiftleft", one, F.col("_level") + i) - 1 for i in range(LEVELS)})
+    held = lambda terms, j, i: F.filter(terms, lambda t: F.xxhash64(t, F.lit(j)).bitwiseAND(F.col(f"_mask{i}")) == 0)
+    df = df.withColumns({f"_held{j}": held("_terms", j, 0) for j in range(SUBSETS)})
+    hashes = F.array(*[F.xxhash64(f"_held{j}" if i == 0 else held(f"_held{j}", j, i)) for i in range(LEVELS) for j in range(SUBSETS)])
     parts = F.transform(hashes, lambda h: F.when(h == NOTHING, F.lit("-")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
     whole = F.lpad(F.lower(F.hex(F.xxhash64("_terms"))), 16, "0")
-    return df.withColumn(name, F.concat_ws(".", F.col("_level").cast("string"), whole, F.array_join(parts, "."))).drop("_terms", "_level")
+    return df.withColumn(name, F.concat_ws(".", F.col("_level").cast("string"), whole, F.array_join(parts, "."))).drop("_terms", "_level", *[f"_mask{i}" for i in range(LEVELS)], *[f"_held{j}" for j in range(SUBSETS)])
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -79,21 +79,18 @@ class Automaton:
                     out[child] = cost
         return self._named(out)
 
-    def match(self, word: str) -> tuple[int, int] | None:
+    def match(self, word: str, anew: bool = False) -> tuple[int, int] | None:
         """(edits, number of the term), or None."""
-        state, steps = self.start, self.steps
+        state = self.start
         for c in word:
             key = (state, c if c in self.alphabet else "")
-            after = steps.get(key)
+            after = self.steps.get(key)
             if after is None:
-                if len(steps) >= REMEMBERED:
-                    return self._match_anew(word)
-                after = steps[key] = self._step(state, key[1])
+                if len(self.steps) >= REMEMBERED and not anew:
+                    self.reset()
+                    return self.match(word, anew=True)
+                after = self.steps[key] = self._step(state, key[1])
             if not after:
                 return None
             state = after
         return self.ends[state]
-
-    def _match_anew(self, word: str) -> tuple[int, int] | None:
-        self.reset()
-        return self.match(word)
