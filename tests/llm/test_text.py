@@ -51,6 +51,11 @@ def test_shingle_sets(texts):
             assert n == len(want)
 
 
+def test_punctuation_parts_words():
+    plain, marked = hashed(["un idiot là ici"], accept=text.ALNUM), hashed(["«un» “idiot”—là、ici…"], accept=text.ALNUM)
+    assert plain == marked and len(plain[0]) == 4
+
+
 def test_minhash_estimates_likeness():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))

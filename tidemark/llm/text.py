@@ -25,7 +25,7 @@ _ASCII_LOWER[65:91] += 32
 #: Everything but the six ASCII white-space characters.
 NON_SPACE = np.ones(256, dtype=bool)
 NON_SPACE[[32, 9, 10, 11, 12, 13]] = False
-#: ASCII letters and digits, and every byte of a character beyond ASCII.
+#: ASCII letters and digits, and every byte of a character beyond ASCII; ``words`` leaves out punctuation among those.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
@@ -84,9 +84,22 @@ class Words:
         self.start, self.end, self.hash, self.doc, self.first = start, end, hash_, doc, first
 
 
+def _part_punctuation(data: np.ndarray, inside: np.ndarray) -> None:
+    """Takes punctuation beyond ASCII out of words: that of Latin-1 but its letters, U+2000 to 206F and U+3000 to 303F."""
+    at = np.flatnonzero(data[:-1] == 0xC2)
+    at = at[~np.isin(data[at + 1], (0xAA, 0xB5, 0xBA))]
+    inside[at] = inside[at + 1] = False
+    for first, seconds in ((0xE2, (0x80, 0x81)), (0xE3, (0x80,))):
+        at = np.flatnonzero(data[:-2] == first)
+        at = at[np.isin(data[at + 1], seconds)]
+        inside[at] = inside[at + 1] = inside[at + 2] = False
+
+
 def words(texts: Texts, accept: np.ndarray = NON_SPACE, ascii_lower: bool = True) -> Words:
     data, n = texts.data, len(texts.data)
     inside = accept[data]
+    if accept is ALNUM:
+        _part_punctuation(data, inside)
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
