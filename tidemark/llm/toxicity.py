@@ -2,7 +2,7 @@
 
 1. A lexicon is learnt from a bounded sample of labelled rows: words whose rate of toxic texts is so high that chance
    would not bring it about for any of the words tried (a likelihood ratio against the sample's rate, held against the
-   number of words). Words of untoxic sample texts that resemble a term are noted as no misspellings.
+   number of words), both by texts and by the words before them, which copies don't multiply. Words of untoxic sample texts that resemble a term are noted as no misspellings.
 2. Every word of every text runs through the automata of the terms intersected with their trie.
 3. A window around each hit tells quotation (quotation marks around it, words of reporting) from abuse (words that
    address someone). A logistic model over exact, misspelt and quoted hits, fitted on the same sample, gives the score.
@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, text
@@ -32,6 +32,8 @@ WINDOW, MARKS = 8, 80
 REMEMBERED = 400_000
 REPORTING = frozenset("said says say called calls quote quoted wrote writes word term dit écrit mot sagte sagt schrieb wort dijo dice escribió palabra".split())
 ADDRESSING = frozenset("you your youre u du dich dein dir ihr tu te toi ton vous votre tú ti usted ustedes vosotros".split())
+#: A word as the readers take it: runs of ASCII letters and digits and of characters beyond ASCII that aren't punctuation.
+_WORD = r"[a-z0-9\u00aa\u00b5\u00ba\u00c0-\u1fff\u2070-\u2fff\u3040-\x{10FFFF}]+"
 _OPEN = [x.encode() for x in ("“", "„", "«", "‹")]
 _CLOSE = [x.encode() for x in ("”", "“", "»", "›")]
 FEATURES = 7
@@ -125,6 +127,17 @@ def choose_terms(counts: pa.Table, toxic: int, clean: int) -> tuple[list[str], l
     return [w for w, _ in picked], [x for _, x in picked]
 
 
+def _contexts(drawn: DataFrame, found: Column, likely: list[str], tried: int) -> pa.Table:
+    """Counts of the likely terms by the word before them: a passage that edited copies repeat counts once."""
+    spark = drawn.sparkSession
+    terms = F.broadcast(spark.createDataFrame([(w,) for w in likely], "word string"))
+    rows = drawn.select("label", found.alias("word")).withColumn("before", F.concat(F.array(F.lit("")), "word"))
+    pairs = rows.select("label", F.inline(F.arrays_zip("word", "before")))
+    places = pairs.join(terms, "word").select("label", "word", F.xxhash64("before").alias("before")).distinct()
+    counts = places.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
+    return counts.withColumn("tried", F.lit(tried).cast("long")).toArrow()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, list[float]]:
     """Newton's method with a small ridge."""
     x1 = np.concatenate([np.ones((len(x), 1)), x], axis=1)
@@ -149,12 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int
     drawn = labelled.with_texts(labelled.sample(labels, "toxic", modulus=modulus, held_out=held_out, at_most=at_most, id_col=id_col), docs, id_col=id_col, text_col=text_col)
     drawn = drawn.persist()
     totals = drawn.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9\u0080-\x{10FFFF}]+"), F.lit(0)))
-    words = drawn.select("label", F.explode(found).alias("word")).where(F.octet_length("word") <= 80)
+    found = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    words = drawn.select("label", F.explode(F.array_distinct(found)).alias("word")).where(F.octet_length("word") <= 80)
     counts = words.groupBy("word").agg(F.sum("label").cast("long").alias("n1"), F.sum(1 - F.col("label")).cast("long").alias("n0"))
     tried = counts.where("n1 + n0 >= 3").count()
     table = counts.where("n1 >= 3 AND n1 > n0").withColumn("tried", F.lit(tried).cast("long")).toArrow()
-    lexicon = Lexicon(*choose_terms(table, totals[0], totals[1]))
+    likely, _ = choose_terms(table, totals[0], totals[1])
+    lexicon = Lexicon(*choose_terms(_contexts(drawn, found, likely, tried), totals[0], totals[1]))
     if lexicon.terms:
         shared = spark.sparkContext.broadcast(lexicon)  # bounded by the sample
 
