@@ -167,3 +167,13 @@ def ice_servers(static: DataFrame, fetched: DataFrame) -> DataFrame:
 def server_urls(urls: Column) -> Column:
     """A text or a list of texts, as a list; ``urls`` is a VARIANT."""
     return F.coalesce(F.try_variant_get(urls, "$", "array<string>"), F.array(F.try_variant_get(urls, "$", "string")))
+
+
+def rewrite_files(sessions: DataFrame, field: str, make) -> DataFrame:
+    """Sessions whose files have one field made anew from its old value, and the others as they were."""
+    return sessions.withColumn("files", F.transform("files", lambda f: f.withField(field, make(f[field]))))
+
+
+def live_counts(sessions: DataFrame) -> DataFrame:
+    """Recipients of each live session, and whether its publisher is there."""
+    return sessions.select("code", F.col("publisher").isNotNull().alias("has_publisher"), F.coalesce(F.size("recipients"), F.lit(0)).alias("n_recipients"))

@@ -303,7 +303,7 @@ def attribute_chunks(documents):
 # Ordered rules
 
 _ANCHORED = """
-WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
 f AS (SELECT event_id, event_type, r, ms AS opened, CAST(1 AS BIGINT) AS n FROM e WHERE r = 1
       UNION ALL SELECT e.event_id, e.event_type, e.r, CASE WHEN e.ms - f.opened > 21600000 THEN e.ms ELSE f.opened END, CASE WHEN e.ms - f.opened > 21600000 THEN 1 ELSE f.n + 1 END
       FROM f JOIN e ON e.event_type = f.event_type AND e.r = f.r + 1)
@@ -317,7 +317,7 @@ def rate_limit_anchored(events):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS k, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error'),
+WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS k, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error'),
 f AS (SELECT event_id, k, r, ms + 43200000 AS until, CAST(1 AS BIGINT) AS n, false AS blocked FROM e WHERE r = 1
       UNION ALL SELECT e.event_id, e.k, e.r, CASE WHEN e.ms > f.until THEN e.ms + 43200000 ELSE f.until END,
              CASE WHEN e.ms > f.until THEN 1 WHEN f.n >= 5 THEN f.n ELSE f.n + 1 END, e.ms <= f.until AND f.n >= 5
@@ -374,3 +374,138 @@ def envelope_roundtrip(documents):
     iv = F.substring(F.unhex(F.md5(F.col("doc_id").cast("string"))), 1, 12)
     sealed = documents.join(F.broadcast(keys), "lang").withColumn("envelope", crypto.seal(F.encode("text", "UTF-8"), F.col("key"), F.col("salt"), iv))
     return sealed.select("doc_id", F.md5(crypto.open_(F.col("envelope"), F.col("key"))).alias("digest"), F.octet_length("envelope").cast("bigint").alias("sealed_bytes"))
+
+
+# Mutations, and more lookups
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events WHERE user_id % 2 = 1) WHERE r = 1")
+def insert_sessions(events):
+    """Even users are taken; of the events of the others the first is inserted."""
+    rows = events.select(F.col("user_id").alias("code"), F.col("ts").alias("created_at"), F.col("event_type").alias("text"), F.col("props").alias("password"), "event_id")
+    return mutations.insert_sessions(rows.where("code % 2 = 0"), rows).select(F.col("code").alias("user_id"), "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_by_ids(documents, labels):
+    return mutations.delete_by(documents.select("doc_id"), labels.where("toxic = 1"), "doc_id")
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1")
+def cascade_delete(orders, lineitem):
+    """Orders as sessions and blobs, lines as chunks: finished orders go, and their lines with them."""
+    sessions = orders.select(F.col("o_orderkey").alias("code"), F.array(F.struct(F.col("o_orderkey").alias("gridfsId"))).alias("files"), "o_orderstatus")
+    files, chunks = orders.select(F.col("o_orderkey").alias("_id")), lineitem.withColumnRenamed("l_orderkey", "files_id")
+    left, _, _ = mutations.cascade_delete(sessions, files, chunks, sessions.where("o_orderstatus = 'F'"))
+    return left.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id AS code, bool_or(role = 'system') AS has_publisher, CAST(count(*) FILTER (role <> 'system') AS INTEGER) AS n_recipients FROM conversations GROUP BY 1")
+def live_counts(conversations):
+    publisher = F.max(F.when(F.col("role") == "system", F.struct("turn"))).alias("publisher")
+    waiting = F.collect_list(F.when(F.col("role") != "system", F.struct("turn"))).alias("recipients")
+    return lookup.live_counts(conversations.groupBy(F.col("conv_id").alias("code")).agg(publisher, waiting))
+
+
+@query("SELECT r_name AS urls FROM region UNION ALL SELECT n_name FROM nation")
+def ice_servers(region, nation):
+    return lookup.ice_servers(region.select(F.col("r_name").alias("urls")), nation.select(F.col("n_name").alias("urls")))
+
+
+@query("SELECT o_orderkey, replace(o_orderpriority, '..', '') AS name FROM orders")
+def rename_files(orders):
+    sessions = orders.select("o_orderkey", F.array(F.struct(F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("size"))).alias("files"))
+    return lookup.rewrite_files(sessions, "name", strings.sanitise_filename).select("o_orderkey", F.col("files")[0]["name"].alias("name"))
+
+
+# More scalars and predicates
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 1 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS http, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS socket FROM customer")
+def origin_blocked(customer):
+    """Segments as origins; odd customers post, even ones get."""
+    allowed, method = F.array(F.lit("BUILDING"), F.lit("MACHINERY")), F.when(F.col("c_custkey") % 2 == 1, F.lit("POST")).otherwise(F.lit("GET"))
+    return customer.select("c_custkey", predicates.http_blocked(method, F.col("c_mktsegment"), allowed).alias("http"), predicates.socket_blocked(F.col("c_mktsegment"), allowed).alias("socket"))
+
+
+@query("SELECT doc_id, strlen(text) > 4096 AS frame, n_chars > 2000 AS payload, n_chars > 100000 AS live FROM documents")
+def size_limits(documents):
+    n = F.col("n_chars")
+    return documents.select("doc_id", predicates.frame_too_big(F.col("text"), 4096).alias("frame"), predicates.payload_too_big(n, 2000).alias("payload"), predicates.live_file_too_big(n, 100_000).alias("live"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE lpad(CAST(page_id AS VARCHAR), 6, '0') END AS code FROM pages")
+def code_of_path(pages):
+    end = F.when(F.col("page_id") % 3 == 0, F.lit("x")).otherwise(F.lit(""))
+    return pages.select("page_id", strings.code_of_path(F.concat(F.lit("https://host/"), strings.pad_code(F.col("page_id")), end)).alias("code"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS name FROM pages")
+def attachment_name(pages):
+    return pages.select("page_id", strings.encode_component(F.col("url")).alias("name"))
+
+
+@query("SELECT page_id, substr(regexp_replace(url, '[^0-9]', '', 'g'), 1, 6) AS digits FROM pages")
+def digits_only(pages):
+    return pages.select("page_id", strings.digits_only(F.col("url")).alias("digits"))
+
+
+@query("""
+SELECT event_id, CASE WHEN s = 'lost' THEN 'Session Lost' WHEN s LIKE 'reconnecting%' THEN 'Reconnecting...' WHEN s = 'connected' THEN 'Connected' ELSE s END AS label,
+       CASE WHEN s = 'lost' THEN 'error' WHEN s LIKE 'reconnecting%' THEN 'warning' WHEN s = 'connected' THEN 'success' ELSE 'dim' END AS color
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'lost' WHEN 1 THEN 'reconnecting ' || event_id WHEN 2 THEN 'connected' ELSE event_type END AS s FROM events)
+""")
+def signal_state(events):
+    k = F.col("event_id") % 4
+    s = F.when(k == 0, F.lit("lost")).when(k == 1, F.concat(F.lit("reconnecting "), F.col("event_id").cast("string"))).when(k == 2, F.lit("connected")).otherwise(F.col("event_type"))
+    return events.select("event_id", strings.signal_label(s).alias("label"), strings.signal_color(s).alias("color"))
+
+
+# More ordered rules
+
+
+@query("SELECT user_id, max_by(epoch_us(ts) // 1000, event_id) AS ms FROM events GROUP BY 1")
+def expiry_timers(events):
+    """The last set timer of each user; all are in the future of the moment asked for."""
+    rows = events.select(F.col("user_id").alias("code"), F.col("ts").cast("timestamp").alias("expires_at"), F.col("event_id").alias("updated_at"))
+    return folds.expiry_timers(rows, F.timestamp_seconds(F.lit(0))).select(F.col("code").alias("user_id"), F.unix_millis("fires_at").alias("ms"))
+
+
+@query("""
+SELECT event_id, CASE WHEN r IS NULL THEN NULL ELSE greatest(epoch_us(ts) // 1000, r) END AS ms
+FROM events LEFT JOIN (SELECT user_id, min(epoch_us(ts) // 1000) AS r FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (user_id) WHERE event_type = 'click'
+""")
+def flush_times(events):
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = folds.flush_times(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), "user_id")
+    return out.select("event_id", F.unix_millis("applied_at").alias("ms"))
+
+
+@query("SELECT user_id AS conn_id FROM events GROUP BY 1 HAVING max(epoch_us(ts) // 1000) < epoch_us(TIMESTAMP '2024-01-30') // 1000 - 30000")
+def unresponsive(events):
+    rows = events.select(F.col("user_id").alias("conn_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return folds.unresponsive(rows, F.lit("2024-01-30 00:00:00").cast("timestamp")).select("conn_id")
+
+
+@query("SELECT user_id, CASE max_by(event_type, event_id) WHEN 'view' THEN 'error' ELSE max_by(event_type, event_id) END AS state FROM events GROUP BY 1")
+def channel_state(events):
+    """Views stand for failed connections."""
+    rows = events.select("user_id", "event_id", F.when(F.col("event_type") == "view", F.lit("failed")).otherwise(F.col("event_type")).alias("state"))
+    return folds.channel_state(rows, "user_id", seq="event_id")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS o, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM events),
+f AS (SELECT event_id, o, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, g ORDER BY ts ROWS UNBOUNDED PRECEDING) AS a FROM e)
+SELECT event_id, CASE WHEN NOT o AND a <= 5 THEN CAST(least(1000 * pow(2, a - 1), 30000) AS BIGINT) END AS delay_ms, NOT o AND a > 5 AS gave_up FROM f
+""")
+def reconnects(events):
+    """Purchases stand for connections that open, all else for losses."""
+    rows = events.select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.lit("open")).otherwise(F.lit("lost")).alias("kind"))
+    return folds.reconnects(rows, "user_id").select("event_id", "delay_ms", "gave_up")
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1")
+def first_end(events):
+    kind = F.when(F.col("event_type") == "purchase", F.lit("done")).when(F.col("event_type") == "error", F.lit("abort")).otherwise(F.lit("chunk"))
+    return folds.first_end(events.select("user_id", "event_id", kind.alias("type")), "user_id", seq="event_id").select("user_id", "event_id")
