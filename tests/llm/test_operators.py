@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import pathlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import duckdb
@@ -236,6 +238,39 @@ def test_licences(spark, odd, none, clashing):
     assert licences.scan(odd).count() == 11 and licences.scan(none).count() == 0 and licences.scan(clashing).count() == 6
 
 
+def test_whole_licences_and_headers(spark):
+    """Texts as they are found in files: titled, wrapped, without their appendix, and headers in comments."""
+    folder = pathlib.Path(licences.__file__).parent / "licence_texts"
+    rows, want = [], {}
+
+    def add(body, name):
+        rows.append((len(rows), body))
+        want[rows[-1][0]] = name
+
+    for f in sorted(folder.glob("*.txt")):
+        body, name = f.read_text(encoding="utf-8"), f.stem.split("~")[0]
+        add(body, name)
+        add("Copyright (c) 2024 A. Person\n\n" + body.replace("\n", "\r\n"), name)
+        add("\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", body)), name) if "BSD" not in name else None
+    mit = licences.KNOWN["MIT"][2].replace("\n", "\n\n")
+    bsd = (folder / "BSD-3-Clause.txt").read_text()
+    gpl = (folder / "GPL-3.0.txt").read_text()
+    for width in (66, 72, 78, 80):
+        add("# The MIT License (MIT)\n\nCopyright (c) 2020 Some Body\n\n" + "\n\n".join(textwrap.fill(p, width) for p in mit.split("\n\n")), "MIT")
+    add("MIT License\n\nCopyright (c) 2020 Some Body\nAll rights reserved.\n\n" + mit, "MIT")
+    add("BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd.replace("* ", "1. ", 1).replace("* ", "2. ", 1).replace("* ", "3. ", 1), "BSD-3-Clause")
+    add(gpl[: gpl.index("How to Apply")], "GPL-3.0")
+    add("MIT License\nand some other words", None)
+    rows.append((len(rows), '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use\n// SPDX-License-Identifier: GPL-2.0-or-later\n * License, v. 2.0. If a copy of the MPL was not distributed with this'))
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k].license for k in want} == want
+    assert (got[len(rows) - 1].notices, got[len(rows) - 1].n_notices) == ("Apache-2.0,GPL-2.0,MPL-2.0", 3)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    told = {r[0]: r[2:5] for r in con.execute(licences.oracle()).fetchall() if "\r" not in rows[r[0]][1]}
+    assert told == {k: (got[k].license, got[k].notices, got[k].n_notices) for k in told}
+
+
 def test_fingerprints(spark, odd, none, clashing):
     rnd = random.Random(9)
     rows = [(i, prose(rnd, 120)) for i in range(30)] + [(99, "")]

@@ -3,12 +3,18 @@
 A text's canonical form has lower case, no copyright lines, one spelling for words that licences spell in several ways,
 and words parted by single spaces without punctuation. Whole texts are hash-joined on the digest of that form with the
 digests of known licences. Each line of a text is looked up as a text of its own as well, which finds notices.
+
+The known texts are those of ``NOTICES`` and of the files in ``licence_texts``. Each also counts with a title or "All
+rights reserved." before it, without its appendix, with and without numbers before its items, and wrapped otherwise, as
+a line that begins with "copyright" or "(c)" by its wrapping is left out of the canonical form.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +34,25 @@ SPELLINGS = (
     (r"\bv\.? ?([0-9])", "v$1"),
 )
 #: Notices of well-known licences, and the shorter licences whole.
-KNOWN = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License 2.0"),
+NOTICES = {
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License 2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License");',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "The ASF licenses this file to You under the Apache License, Version 2.0",
+        "to you under the Apache License, Version 2.0 (the",
+        "Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or",
+        """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -42,12 +65,51 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."),
+    "AGPL-3.0": ("it under the terms of the GNU Affero General Public License as published by", "Licensed under the GNU Affero General Public License, version 3."),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.",),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
+    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "it under the terms of the GNU General Public License version 2 as", "under the terms of the GNU General Public License version 2 as published"),
+    "MPL-2.0": (
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "License, v. 2.0. If a copy of the MPL was not distributed with this",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
     "CC0-1.0": ("Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     "All-Rights-Reserved": ("All rights reserved.",),
 }
+#: The whole texts given in NOTICES, by place.
+WHOLE = {"MIT": 2, "ISC": 0}
+#: Title lines that stand before a licence's text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License", "The BSD License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Wordings that a licence's text is also written in, as patterns and replacements.
+WORDINGS = {
+    "ISC": ((r"THE AUTHOR\b", "THE COPYRIGHT HOLDER"),),
+    "BSD-2-Clause": ((r"COPYRIGHT\s+HOLDER\s+OR", "COPYRIGHT OWNER OR"),),
+    "BSD-3-Clause": ((r"COPYRIGHT\s+HOLDER\s+OR", "COPYRIGHT OWNER OR"),),
+    "Apache-2.0": ((r"(?m)^\s*\([a-z]\)\s+", ""),),
+    "GPL-3.0": ((r"licenses/why-not-lgpl", "philosophy/why-not-lgpl"),),
+}
+#: The names whose SPDX lines are notices, besides those of NOTICES.
+SPDX = tuple(f"{x}{y}" for x in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for y in ("", "-only", "-or-later"))
+#: Where an appendix begins; texts of more characters aren't wrapped otherwise than as one line a paragraph.
+APPENDIX, SHORT = r"(?im)^.*\bEND OF TERMS AND CONDITIONS\b.*$|^Exhibit A -", 5_000
 
 
 def canonical(text: Column) -> Column:
@@ -67,6 +129,44 @@ def canonical_text(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", out).strip(" ")
 
 
+def _forms(name: str, body: str) -> list[str]:
+    """The ways in which a whole text is written down, each canonical form once."""
+    short, bodies = len(body) <= SHORT, [body]
+    if short:
+        unnumbered = re.sub(r"(?m)^\s*(?:[0-9]+\.|\*|-)\s+", "* ", body)
+        numbers = iter(range(1, 10))
+        bodies += [unnumbered, *(re.sub(r"(?m)^\* ", lambda _: mark % next(numbers), unnumbered) for mark in ("%d. ", "(%d) ") if (numbers := iter(range(1, 10))))]
+    elif cut := re.search(APPENDIX, body):
+        bodies += [body[: cut.start()], body[: cut.start()] + cut[0] if not cut[0].startswith("Exhibit") else body[: cut.start()]]
+    wrapped = list(bodies)
+    for b in bodies:
+        paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n|\n(?=\s*(?:\*|\(?[0-9]+[.)]) )", b)]
+        wrapped.append("\n".join(paragraphs))
+        if short:
+            wrapped += ["\n".join(textwrap.fill(p, width) for p in paragraphs) for width in range(60, 101)]
+    distinct = list({canonical_text(w): w for w in reversed(wrapped)}.values())
+    heads = [h for t in ("", *TITLES.get(name, ())) for h in ((t, f"{t}\nAll rights reserved.") if short else (t,))]
+    return [f"{h}\n{w}" for h in heads for w in distinct]
+
+
+def _known() -> dict[str, tuple[str, ...]]:
+    out = {name: list(texts) for name, texts in NOTICES.items()}
+    whole = [(name, NOTICES[name][k].replace("\n", "\n\n")) for name, k in WHOLE.items()]
+    whole += [(f.stem.split("~")[0], f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    for name, body in whole:
+        bodies = dict.fromkeys((body, *(re.sub(p, w, body) for p, w in WORDINGS.get(name, ()))))
+        out.setdefault(name, []).extend(t for b in bodies for t in _forms(name, b))
+    for name in dict.fromkeys((*out, *SPDX)):
+        base = re.sub("-only$|-or-later$", "", name)
+        if name != "All-Rights-Reserved":
+            out.setdefault(base, []).append(f"SPDX-License-Identifier: {name}")
+    return {name: tuple(texts) for name, texts in out.items()}
+
+
+#: Notices and whole texts by licence.
+KNOWN = _known()
+
+
 def known_digests(known: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
     """Digest to licence; the first licence in order where two have the same canonical text."""
     out: dict[str, str] = {}
@@ -88,10 +188,11 @@ def scan(docs: DataFrame, *, known: dict[str, tuple[str, ...]] | None = None, id
     longest = max(len(canonical_text(t)) for ts in (known or KNOWN).values() for t in ts)
     table = spark.createDataFrame(sorted(digests.items()), "canonical_sha256 string, license string")
     lookup = F.from_json(F.lit(_json(digests)), "map<string,string>")
+    hashes = F.filter(F.transform("lines", lambda x: F.sha2(x, 256)), lambda x: x.isin(sorted(digests)))  # a hash set; few get to the map
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
     rows = rows.select("id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), lines.alias("lines"), F.regexp_count("text", F.lit("(?m)" + COPYRIGHT)).cast("long").alias("n_copyright"))
-    rows = rows.withColumn("found", F.filter(F.transform("lines", lambda x: F.try_element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull()))
+    rows = rows.withColumn("found", F.transform(hashes, lambda x: F.try_element_at(lookup, x)))
     rows = rows.join(F.broadcast(table), "canonical_sha256", "left")
     return rows.select(F.col("id").alias(id_col), "canonical_sha256", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"), "n_copyright")
 
