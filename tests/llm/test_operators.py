@@ -396,3 +396,18 @@ def test_toxicity(spark, odd, none, clashing):
     assert toxicity.keep_clean(clashing, lexicon).columns == clashing.columns
     unlearnt = toxicity.train(none, labels)
     assert unlearnt.terms == [] and toxicity.score(odd, unlearnt).count() == 11
+
+
+def test_terms_of_a_set_phrase_are_learnt_and_words_of_copies_are_not(spark):
+    rnd = random.Random(11)
+    docs, labels = labelled_table(spark, rnd, lambda t: t.replace(" ", " such zzvermin ", 1), column="toxic", value=1)
+    copied = prose(rnd, 60).split()
+    copies = []
+    for i in range(60):
+        w = list(copied)
+        w[rnd.randrange(60)], w[rnd.randrange(60)] = prose(rnd, 1), "qqcopied"
+        copies.append((1000 + i, " ".join(w)))
+    docs = docs.union(spark.createDataFrame(copies, docs.schema))
+    labels = labels.union(spark.createDataFrame([(i, 1) for i, _ in copies], labels.schema))
+    terms = toxicity.train(docs, labels).terms
+    assert "zzvermin" in terms and "qqcopied" not in terms

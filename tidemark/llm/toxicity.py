@@ -2,7 +2,8 @@
 
 1. A lexicon is learnt from a bounded sample of labelled rows: words whose rate of toxic texts is so high that chance
    would not bring it about for any of the words tried (a likelihood ratio against the sample's rate, held against the
-   number of words), both by texts and by the words before them, which copies don't multiply. Words of untoxic sample texts that resemble a term are noted as no misspellings.
+   number of words). Near copies in the sample are one class, and a class has one vote for each label it bears, so copies
+   don't multiply a word. Words of untoxic sample texts that resemble a term are noted as no misspellings.
 2. Every word of every text runs through the automata of the terms intersected with their trie.
 3. A window around each hit tells quotation (quotation marks around it, words of reporting) from abuse (words that
    address someone). A logistic model over exact, misspelt and quoted hits, fitted on the same sample, gives the score.
@@ -17,15 +18,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, text
 from .levenshtein import Automaton
+from .near_dedup import near_duplicates
 from .shared import ship
 
 #: The bound of the sample of labelled rows.
 AT_MOST = 40_000
+#: Sample texts alike in this share of their shingles are near copies, edited ones too, and have one vote together.
+COPY_SHINGLE, COPY_NUM, COPY_DEN = 3, 1, 2
 #: Words on either side of a hit that make its window, and the bytes on either side searched for quotation marks.
 WINDOW, MARKS = 8, 80
 #: Words whose verdict a worker remembers.
@@ -115,7 +119,7 @@ def lowered(column: pa.Array) -> pa.Array:
 
 
 def choose_terms(counts: pa.Table, toxic: int, clean: int) -> tuple[list[str], list[float]]:
-    """The words far more toxic than chance allows, and their weights, from counts of texts by word."""
+    """The words far more toxic than chance allows, and their weights, from counts of classes of near copies by word."""
     if not toxic or not clean or not counts.num_rows:
         return [], []
     n1, n0 = (counts[c].to_numpy().astype(float) for c in ("n1", "n0"))
@@ -127,15 +131,17 @@ def choose_terms(counts: pa.Table, toxic: int, clean: int) -> tuple[list[str], l
     return [w for w, _ in picked], [x for _, x in picked]
 
 
-def _contexts(drawn: DataFrame, found: Column, likely: list[str], tried: int) -> pa.Table:
-    """Counts of the likely terms by the word before them: a passage that edited copies repeat counts once."""
-    spark = drawn.sparkSession
-    terms = F.broadcast(spark.createDataFrame([(w,) for w in likely], "word string"))
-    rows = drawn.select("label", found.alias("word")).withColumn("before", F.concat(F.array(F.lit("")), "word"))
-    pairs = rows.select("label", F.inline(F.arrays_zip("word", "before")))
-    places = pairs.join(terms, "word").select("label", "word", F.xxhash64("before").alias("before")).distinct()
-    counts = places.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
-    return counts.withColumn("tried", F.lit(tried).cast("long")).toArrow()
+def _votes(drawn: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """``word``, ``n1``, ``n0``: classes of near copies that have the word in a toxic text, in a clean one; and how many
+    classes have a toxic text, a clean one. Texts without words are classes of their own."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    groups = near_duplicates(drawn, id_col="row", shingle=COPY_SHINGLE, num=COPY_NUM, den=COPY_DEN).select(F.col("row"), F.col("component_id").alias("class"))
+    rows = drawn.join(groups, "row")
+    totals = rows.select("label", "class").distinct().agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    words = rows.select("label", "class", F.explode(F.array_distinct(found)).alias("word")).where(F.octet_length("word") <= 80)
+    by_class = words.groupBy("word", "class").agg(F.max("label").alias("any1"), F.max(1 - F.col("label")).alias("any0"))
+    votes = by_class.groupBy("word").agg(F.sum("any1").cast("long").alias("n1"), F.sum("any0").cast("long").alias("n0"))
+    return votes.persist(), tuple(totals)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, list[float]]:
@@ -160,15 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int
     spark = docs.sparkSession
     ship(spark)
     drawn = labelled.with_texts(labelled.sample(labels, "toxic", modulus=modulus, held_out=held_out, at_most=at_most, id_col=id_col), docs, id_col=id_col, text_col=text_col)
-    drawn = drawn.persist()
-    totals = drawn.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    found = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
-    words = drawn.select("label", F.explode(F.array_distinct(found)).alias("word")).where(F.octet_length("word") <= 80)
-    counts = words.groupBy("word").agg(F.sum("label").cast("long").alias("n1"), F.sum(1 - F.col("label")).cast("long").alias("n0"))
-    tried = counts.where("n1 + n0 >= 3").count()
-    table = counts.where("n1 >= 3 AND n1 > n0").withColumn("tried", F.lit(tried).cast("long")).toArrow()
-    likely, _ = choose_terms(table, totals[0], totals[1])
-    lexicon = Lexicon(*choose_terms(_contexts(drawn, found, likely, tried), totals[0], totals[1]))
+    drawn = drawn.withColumn("row", F.xxhash64("text")).persist()
+    votes, classes = _votes(drawn)
+    tried = votes.where("n1 + n0 >= 3").count()
+    table = votes.where("n1 >= 3 AND n1 > n0").withColumn("tried", F.lit(tried).cast("long")).toArrow()
+    lexicon = Lexicon(*choose_terms(table, *classes))
     if lexicon.terms:
         shared = spark.sparkContext.broadcast(lexicon)  # bounded by the sample
 
@@ -178,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int
                 keep = [bool((m := reader.match(x)) and m[0]) for x in batch.column(0).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        near = counts.where("n0 >= 1").select("word").mapInArrow(resembling, "word string").toArrow()
+        near = votes.where("n0 >= 1").select("word").mapInArrow(resembling, "word string").toArrow()
         lexicon.spared = frozenset(near["word"].to_pylist())
         shared = spark.sparkContext.broadcast(lexicon)
 
@@ -195,9 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int
         y = rows["label"].to_numpy().astype(float)
         order = np.lexsort((*x.T, y))
         lexicon.intercept, lexicon.coefficients = logistic(x[order], y[order])
-    elif sum(totals):
+    elif sum(totals := drawn.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()):
         share = min(max(totals[0] / sum(totals), 0.01), 0.99)
         lexicon.intercept = math.log(share / (1 - share))
+    votes.unpersist()
     drawn.unpersist()
     return lexicon
 
