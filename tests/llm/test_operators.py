@@ -411,3 +411,14 @@ def test_terms_of_a_set_phrase_are_learnt_and_words_of_copies_are_not(spark):
     labels = labels.union(spark.createDataFrame([(i, 1) for i, _ in copies], labels.schema))
     terms = toxicity.train(docs, labels).terms
     assert "zzvermin" in terms and "qqcopied" not in terms
+
+
+def test_lexicon_terms_are_told_exactly(spark, monkeypatch):
+    """The bitmap's size must not count: a term outside the band that shares a slot with one inside is no lexicon term."""
+    rnd = random.Random(12)
+    rows = spark.createDataFrame([(i, prose(rnd, 120)) for i in range(30)], "doc_id long, text string")
+    found = {}
+    for slots in (8, 21):
+        monkeypatch.setattr(imatch, "SLOTS", slots)
+        found[slots] = {r.doc_id: (r.fingerprint, r.edited_fingerprint) for r in imatch.edited_fingerprints(rows, low=0.05, high=0.3).collect()}
+    assert found[8] == found[21]

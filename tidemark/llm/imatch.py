@@ -6,12 +6,14 @@ lexicon, so that an edit changes only the hashes of subsets that hold an edited
 as dense as the one before; a document uses those levels at which it has a few terms to a subset, so short and long
 texts tell edits apart equally well.
 
-The lexicon is held as a bitmap of fixed size over 64-bit term hashes. By the band's lower end it has at most
-(mean number of distinct terms) / LOW terms, however many documents there are.
+The lexicon is held as the exact 64-bit hashes of its terms, dealt into buckets behind a bitmap of fixed size that most
+other terms fail at once. By the band's lower end it has at most (mean number of distinct terms) / LOW terms, however
+many documents there are.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from .shared import Workspace
 
 #: The band: lexicon terms are in at least LOW and at most HIGH of all documents (idf ln 1/HIGH to ln 1/LOW).
 LOW, HIGH = 0.0005, 0.05
-#: Bits of the lexicon's bitmap, as a power of two.
+#: Bits of the lexicon's bitmap, as a power of two; 64 share a bucket of exact hashes.
 SLOTS = 21
 #: Subsets of a level, and levels that a fingerprint has.
 SUBSETS, LEVELS = 8, 3
@@ -35,24 +37,35 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> Column:
-    """The bitmap as an array of 64-bit words, a constant whose size doesn't depend on the documents."""
+def _constant(values: list[int]) -> Column:
+    """An array of 64-bit integers that is folded to one packed array."""
+    array = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+    return F.concat(array, F.array().cast("array<bigint>"))
+
+
+def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> tuple[Column, Column, Column]:
+    """Constants whose size doesn't depend on the number of documents: the bitmap as 64-bit words, where each word's
+    bucket begins, and the hashes of the lexicon's terms by bucket."""
     n = docs.count()
     terms = docs.select(F.explode(term_hashes(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
     band = terms.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)))
-    slot = F.col("h").bitwiseAND(F.lit((1 << SLOTS) - 1))
-    marked = band.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    words = [0] * (1 << (SLOTS - 6))
-    for word, bits in marked.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():  # len(words) rows at most
-        words[word] = bits
-    constant = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-    return F.concat(constant, F.array().cast("array<bigint>"))  # folds to one packed array
+    hashes = np.sort(band.select("h").toArrow()["h"].to_numpy())  # bounded by the band's lower end
+    slot = hashes & ((1 << SLOTS) - 1)
+    hashes, slot = (x[np.argsort(slot, kind="stable")] for x in (hashes, slot))
+    bits = np.zeros(1 << (SLOTS - 6), dtype=np.uint64)
+    np.bitwise_or.at(bits, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+    first = np.searchsorted(slot >> 6, np.arange(len(bits) + 1))
+    return tuple(_constant(x.tolist()) for x in (bits.view(np.int64), first, hashes))
 
 
-def fingerprint(df: DataFrame, text: Column, bits: Column, name: str) -> DataFrame:
+def fingerprint(df: DataFrame, text: Column, lexicon: tuple[Column, Column, Column], name: str) -> DataFrame:
     """Adds a fingerprint column: level, hash of all terms, and LEVELS x SUBSETS hashes, joined by dots."""
+    bits, first, hashes = lexicon
     word = lambda t: F.shiftright(t.bitwiseAND(F.lit((1 << SLOTS) - 1)), 6).cast("int") + 1
-    known = lambda t: F.call_function("getbit", F.element_at(bits, word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+    marked = lambda t: F.call_function("getbit", F.element_at(bits, word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+    start = lambda t, k: F.element_at(first, word(t) + k).cast("int")
+    bucket = lambda t: F.slice(hashes, start(t, 0) + 1, start(t, 1) - start(t, 0))
+    known = lambda t: marked(t) & F.array_contains(bucket(t), t)
     df = df.withColumn("_all", term_hashes(text))
     df = df.withColumn("_band", F.filter("_all", known))
     df = df.withColumn("_terms", F.sort_array(F.when(F.size("_band") >= FEW, F.col("_band")).otherwise(F.col("_all")))).drop("_all", "_band")
@@ -109,11 +122,11 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     gives no rows.
     """
     work = Workspace(docs.sparkSession, "imatch")
-    bits = lexicon(docs, text_col=text_col, low=low, high=high)
+    terms = lexicon(docs, text_col=text_col, low=low, high=high)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("n", F.length("text").cast("long"))
     following = work.save(neighbours(rows, work), "following")
-    prints = fingerprint(rows, F.col("text"), bits, "fingerprint").select("row", "id", "n", "fingerprint")
+    prints = fingerprint(rows, F.col("text"), terms, "fingerprint").select("row", "id", "n", "fingerprint")
     prints = work.save(prints, "fingerprints")
     cuts = prints.select("row", F.floor(F.col("n") / 3).cast("int").alias("cut")).join(following, "row")
     cuts = work.save(cuts.select(F.col("row").alias("from"), F.col("next_row").alias("row"), "cut"), "cuts")
@@ -122,7 +135,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     edited = texts.join(heads.hint("merge"), "row")
     edited = edited.select("row", F.concat(F.expr("substring(text, 1, CAST(length(text) - floor(length(text) / 3) AS INT))"), "head").alias("edited"))
     edited = edited.withColumn("edited_sha256", F.sha2("edited", 256))
-    edited = work.save(fingerprint(edited, F.col("edited"), bits, "edited_fingerprint").drop("edited"), "edited")
+    edited = work.save(fingerprint(edited, F.col("edited"), terms, "edited_fingerprint").drop("edited"), "edited")
     out = prints.join(edited, "row")
     prints = prints.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
     near = out.join(following, "row").join(prints, "next_row")
