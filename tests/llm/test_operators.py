@@ -422,3 +422,14 @@ def test_lexicon_terms_are_told_exactly(spark, monkeypatch):
         monkeypatch.setattr(imatch, "SLOTS", slots)
         found[slots] = {r.doc_id: (r.fingerprint, r.edited_fingerprint) for r in imatch.edited_fingerprints(rows, low=0.05, high=0.3).collect()}
     assert found[8] == found[21]
+
+
+def test_scores_of_items_do_not_depend_on_the_blocks(spark):
+    rnd = random.Random(13)
+    bench = spark.createDataFrame([(i, prose(rnd, rnd.choice([20, 60, 100]))) for i in range(60)], "item_id long, text string")
+
+    def weights(blocks):
+        return {(b.ids[b.item[k]], t, round(float(x), 9)) for b in blocks for t, (ks, xs) in b.lists.items() for k, x in zip(ks, xs, strict=True)}
+
+    blocks = list(decontaminate.indexes(bench, block_bytes=4000))
+    assert len(blocks) > 1 and weights(blocks) == weights(decontaminate.indexes(bench))

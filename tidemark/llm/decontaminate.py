@@ -10,7 +10,8 @@ heavy terms worth the other half can't reach the threshold with any unit and is
 through block-max WAND, which gives every unit above the threshold. What it gives is verified on words: the share of
 the question's 5-word shingles, and of the answer's words, that the matched region holds.
 
-The index of a block of items is of bounded size and is broadcast; more items take more passes.
+The index of a block of items is of bounded size and is broadcast; more items take more passes. Document frequencies
+and the mean length are those of the units of all items, so a unit's score doesn't depend on the blocks.
 """
 
 from __future__ import annotations
@@ -62,10 +63,24 @@ def split_answer(item: str) -> tuple[str, str]:
     return (item, "") if cut <= 0 else (body[: cut + 1], body[cut + 1 :])
 
 
+def units_of(hashes: np.ndarray) -> list[Counter]:
+    return [Counter(hashes[at : at + UNIT].tolist()) for at in range(0, len(hashes), UNIT)]
+
+
+class Statistics:
+    """How many units there are, their words in all, and how many units have each of the words."""
+
+    def __init__(self, units: list[Counter]):
+        self.n, self.words = len(units), sum(sum(u.values()) for u in units)
+        self.df = Counter(t for u in units for t in u)
+
+
 class Index:
-    """Inverted lists of units with block maxima. Items are (id, text), each id once or more."""
+    """Inverted lists of units with block maxima. Items are (id, text), each id once or more.
+
+    ``over``: the statistics of the units of all items, where these aren't all."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], over: Statistics | None = None):
         whole = _word_hashes([t or "" for _, t in items])
         parts = [split_answer(t or "") for _, t in items]
         questions, answers = _word_hashes([q for q, _ in parts]), _word_hashes([a for _, a in parts])
@@ -76,12 +91,11 @@ class Index:
         self.item: list[int] = []
         units: list[Counter] = []
         for k, h in enumerate(whole):
-            for at in range(0, len(h), UNIT):
-                self.item.append(k)
-                units.append(Counter(h[at : at + UNIT].tolist()))
-        n = len(units)
-        df = Counter(t for u in units for t in u)
-        mean = sum(sum(u.values()) for u in units) / max(n, 1)
+            own_units = units_of(h)
+            self.item += [k] * len(own_units)
+            units += own_units
+        over = over or Statistics(units)
+        n, df, mean = over.n, over.df, over.words / max(over.n, 1)
         lists: dict[int, list[tuple[int, float]]] = {}
         heavy: list[tuple[int, int, float]] = []
         for k, u in enumerate(units):
@@ -195,9 +209,46 @@ def indexes(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64(F.coalesce(F.col("item").cast("string"), F.lit("")), "text"), F.lit(blocks))
+    if blocks == 1:
+        held = rows.distinct().toArrow().to_pylist() if size else []
+        yield Index(_ordered(held))
+        return
+    frequencies = _frequencies(rows)
     for k in range(blocks):
-        held = rows.where(block == k).distinct().toArrow().to_pylist() if size else []
-        yield Index(sorted(((x["item"], x["text"]) for x in held), key=lambda p: (p[0] is not None, p[0], p[1])))
+        here = rows.where(block == k).distinct()
+        yield Index(_ordered(held := here.toArrow().to_pylist()), _statistics_of(frequencies, held))
+    frequencies.unpersist()
+
+
+def _ordered(held: list[dict]) -> list[tuple[int, str]]:
+    return sorted(((x["item"], x["text"]) for x in held), key=lambda p: (p[0] is not None, p[0], p[1]))
+
+
+def _frequencies(rows: DataFrame) -> DataFrame:
+    """``term``, ``df`` over the units of all items; ``words`` of the units. A row with a null term counts the units."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = [u for h in _word_hashes(batch.column(0).to_pylist()) for u in units_of(h)]
+            s = Statistics(units)
+            terms = pa.array([*np.array(list(s.df), dtype=text.U).view(np.int64).tolist(), None], pa.int64())
+            yield pa.RecordBatch.from_arrays([terms, pa.array([*s.df.values(), s.n], pa.int64()), pa.array([*[0] * len(s.df), s.words], pa.int64())], names=["term", "df", "words"])
+
+    ship(rows.sparkSession)
+    counted = rows.distinct().select("text").mapInArrow(count, "term long, df long, words long")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).persist()
+
+
+def _statistics_of(frequencies: DataFrame, held: list[dict]) -> Statistics:
+    """The statistics over all items, of the words of the items held: as many as the block has at most."""
+    terms = np.unique(np.concatenate([np.zeros(0, text.U), *_word_hashes([x["text"] for x in held])])).astype(text.U)
+    wanted = frequencies.sparkSession.createDataFrame(pa.table({"term": pa.array(terms.view(np.int64))}))
+    found = frequencies.join(wanted, "term", "left_semi").select("term", "df").toArrow()
+    total = frequencies.where("term IS NULL").first()
+    out = Statistics([])
+    out.n, out.words = (total["df"], total["words"]) if total else (0, 0)
+    out.df = Counter(dict(zip(found["term"].to_numpy().astype(np.int64).view(text.U).tolist(), found["df"].to_pylist(), strict=True)))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
