@@ -433,3 +433,12 @@ def test_scores_of_items_do_not_depend_on_the_blocks(spark):
 
     blocks = list(decontaminate.indexes(bench, block_bytes=4000))
     assert len(blocks) > 1 and weights(blocks) == weights(decontaminate.indexes(bench))
+
+
+def test_words_of_very_long_texts_tell():
+    """Two texts that have every bucket, but not as often, have different word features."""
+    every = [f"word{i}" for i in range(20_000)]
+    part = next(text.slices(pa.array([" ".join(every + every[:4000]), " ".join(every + every[4000:8000])], pa.large_string())))[1]
+    present, stats = quality.features(part)
+    x = quality.Machine.matrix(present, stats, stats.mean(axis=0), stats.std(axis=0) + 1e-3)[:, : quality.BUCKETS]
+    assert (x > 0).all() and np.abs(x[0] - x[1]).max() > 1e-3

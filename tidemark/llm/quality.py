@@ -29,11 +29,10 @@ STATISTICS = ("upper", "symbol", "digit", "repeated", "distinct", "length of wor
 
 
 def features(texts: text.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Which hashed words each text has (texts x BUCKETS), and its statistics."""
+    """How often each text has each hashed word (texts x BUCKETS), and its statistics."""
     n, data = len(texts), texts.data
     w = text.words(texts, text.NON_SPACE, ascii_lower=True)
-    present = np.zeros((n, BUCKETS), dtype=bool)
-    present[w.doc, (w.hash % text.U(BUCKETS)).astype(np.int64)] = True
+    present = np.bincount(w.doc.astype(np.int64) * BUCKETS + (w.hash % text.U(BUCKETS)).astype(np.int64), minlength=n * BUCKETS).astype(np.float32).reshape(n, BUCKETS)
     ends = texts.offsets
 
     def count(mask: np.ndarray) -> np.ndarray:
@@ -87,7 +86,7 @@ class Machine:
 
     @staticmethod
     def matrix(present: np.ndarray, stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        words = present / np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
+        words = np.sqrt(present / np.maximum(present.sum(axis=1, keepdims=True), 1))  # of length 1, and never saturated
         z = (stats - mean) / scale
         return np.concatenate([words.astype(np.float32), np.clip(z, -4, 4), np.minimum(np.sqrt(np.abs(z)), 2) * np.sign(z), (z > 1).astype(np.float32)], axis=1).astype(np.float32)
 
@@ -133,7 +132,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, part in text.slices(batch.column(0)):
             present, stats = features(part)
-            bits = pa.array([x.tobytes() for x in np.packbits(present, axis=1)], pa.binary())
+            bits = pa.array([x.tobytes() for x in np.minimum(present, 65535).astype(np.uint16)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(part)), bits, pa.array([x.tobytes() for x in stats], pa.binary())], names=["label", "words", "stats"])
 
 
@@ -143,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held_out: int
     drawn = labelled.with_texts(labelled.sample(labels, "quality", modulus=modulus, held_out=held_out, at_most=at_most, id_col=id_col), docs, id_col=id_col, text_col=text_col)
     rows = drawn.mapInArrow(_examples, "label int, words binary, stats binary").toArrow()
     if not rows.num_rows:
-        return fit(np.zeros((0, BUCKETS), bool), np.zeros((0, len(STATISTICS)), np.float32), np.zeros(0))
+        return fit(np.zeros((0, BUCKETS), np.float32), np.zeros((0, len(STATISTICS)), np.float32), np.zeros(0))
     words, stats = (rows[c].to_pylist() for c in ("words", "stats"))
     order = sorted(range(len(words)), key=lambda i: (stats[i], words[i]))  # the order in which tasks end must not count
-    present = np.unpackbits(np.frombuffer(b"".join(words[i] for i in order), np.uint8).reshape(len(order), -1), axis=1).astype(bool)
+    present = np.frombuffer(b"".join(words[i] for i in order), np.uint16).reshape(len(order), -1).astype(np.float32)
     stats = np.frombuffer(b"".join(stats[i] for i in order), np.float32).reshape(len(order), -1)
     return fit(present, stats, rows["label"].to_numpy()[order].astype(np.float32))
 
