@@ -15,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -271,23 +272,82 @@ def test_whole_licences_and_headers(spark):
     assert told == {k: (got[k].license, got[k].notices, got[k].n_notices) for k in told}
 
 
+SEED = 42
+
+
+def spark_hash(*values):
+    """xxhash64 of whole numbers (64 bits, 32 bits as a pair with its width) and texts, each with the one before as seed."""
+    h = SEED
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_prints(texts, low, high):
+    """Fingerprints as strings, by plain loops over words."""
+    terms = [{spark_hash(w) for w in re.findall(r"[^\W_]+", t.lower())} for t in texts]
+    df = {}
+    for ts in terms:
+        for t in ts:
+            df[t] = df.get(t, 0) + 1
+    band = {t for t, n in df.items() if max(2, low * len(texts)) <= n <= max(2, high * len(texts))}
+
+    def of(text):
+        every = sorted({spark_hash(w) for w in re.findall(r"[^\W_]+", text.lower())})
+        held = [t for t in every if t in band]
+        level = len(held).bit_length() - 1 if held else 0
+        parts = []
+        for depth in range(level, level + 3):
+            for j in range(imatch.SUBSETS):
+                drawn = [h for h in (spark_hash(t, (j,)) for t in held) if not h & ((1 << depth) - 1) << depth % 3 * 21]
+                parts.append(f"{spark_hash(*drawn) & 0xFFFFFFFF:08x}" if drawn else "-")
+        return ".".join([str(level), f"{spark_hash(*(held or every)) & (1 << 64) - 1:016x}", *parts])
+
+    return of
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    (la, _, *x), (lb, _, *y) = a.split("."), b.split(".")
+    at = lambda l, parts: {(int(l) + k // imatch.SUBSETS, k % imatch.SUBSETS): p for k, p in enumerate(parts)}  # noqa: E731,E741
+    x, y = at(la, x), at(lb, y)
+    told = [(x[k], y[k]) for k in x.keys() & y.keys() if (x[k], y[k]) != ("-", "-")]
+    return sum(p == q for p, q in told) / len(told) if told else 0.0
+
+
+def brute_edited(rows, low, high):
+    """The result's rows from (id, text) rows: repeats of both are one document."""
+    of = brute_prints([t or "" for _, t in rows], low, high)
+    key = lambda r: (r[0] is not None, r[0] or 0, spark_hash(*([] if r[0] is None else [r[0]]), r[1]), spark_hash(r[1], (1,), *([] if r[0] is None else [r[0]])))
+    rows = [(i, t or "") for i, t in rows]
+    order = sorted(set(rows), key=key, reverse=True)
+    out = {}
+    for k, (i, t) in enumerate(order):
+        following, cut = order[(k + 1) % len(order)][1], len(t) // 3
+        edited = t[: len(t) - cut] + following[:cut]
+        a, b, c = of(t), of(edited), of(following)
+        out[(i, t)] = (i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, brute_likeness(a, b), brute_likeness(a, c))
+    return sorted((out[r] for r in rows), key=str)
+
+
 def test_fingerprints(spark, odd, none, clashing):
     rnd = random.Random(9)
-    rows = [(i, prose(rnd, 120)) for i in range(30)] + [(99, "")]
-    rows.append((98, rows[3][1]))
-    got = {r.doc_id: r for r in imatch.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), high=0.5).collect()}
-    order, src = sorted(dict(rows), reverse=True), dict(rows)
-    for k, i in enumerate(order):
-        following = order[(k + 1) % len(order)]
-        cut = len(src[i]) // 3
-        edited = src[i][: len(src[i]) - cut] + src[following][:cut]
-        assert (got[i].n_chars, got[i].edited_sha256) == (len(src[i]), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        assert (got[i].near_edited == 1.0) >= (got[i].fingerprint == got[i].edited_fingerprint)
-    assert got[98].fingerprint == got[3].fingerprint
-    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.1
-    assert imatch.edited_fingerprints(odd).count() == 11
-    assert imatch.edited_fingerprints(none).count() == 0 and imatch.edited_fingerprints(clashing).count() == 6
+    rows = [(i, prose(rnd, rnd.choice([3, 30, 120, 300]))) for i in range(40)] + [(99, ""), (97, None)]
+    rows += [(98, rows[3][1]), (5, rows[5][1]), (5, "other words of one id"), (None, rows[6][1]), (None, "no id")]
+    for low, high in ((0.05, 0.3), (0.0005, 0.05)):
+        df = imatch.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), low=low, high=high)
+        got = sorted((tuple(r) for r in df.collect()), key=str)
+        assert [r[:5] for r in got] == [r[:5] for r in brute_edited(rows, low, high)]
+        assert all(abs(x - y) < 1e-12 for r, w in zip(got, brute_edited(rows, low, high), strict=True) for x, y in zip(r[5:], w[5:], strict=True))
+    assert np.mean([r[5] for r in got]) > np.mean([r[6] for r in got]) + 0.1
+    plain = [(r.doc_id, r.text) for r in odd.collect()]
+    told = sorted((tuple(r) for r in imatch.edited_fingerprints(odd).collect()), key=str)
+    assert [r[:5] for r in told] == [r[:5] for r in brute_edited(plain, imatch.LOW, imatch.HIGH)]
+    assert imatch.edited_fingerprints(none).count() == 0
+    same = [(r.doc_id, r.text) for r in clashing.collect()]
+    assert sorted((tuple(r)[:5] for r in imatch.edited_fingerprints(clashing).collect()), key=str) == [r[:5] for r in brute_edited(same, imatch.LOW, imatch.HIGH)]
 
 
 def brute_bm25(index, hashes):

@@ -3,8 +3,9 @@
 The lexicon is made of the terms whose inverse document frequency over all documents lies in a band. A document's
 distinct lexicon terms are sorted and hashed: once as they are, and once for each of several randomised subsets of the
 lexicon, so that an edit changes only the hashes of subsets that hold an edited term. Subsets come in levels, each half
-as dense as the one before; a document uses those levels at which it has a few terms to a subset, so short and long
-texts tell edits apart equally well.
+as dense as the one before and drawn anew; a document uses those levels at which it has a few terms to a subset, so
+short and long texts tell edits apart equally well. A text without a lexicon term has no subset's hash; it is told by
+the hash of all its terms, and is like equal texts only.
 
 The lexicon is held as the exact 64-bit hashes of its terms, dealt into buckets behind a bitmap of fixed size that most
 other terms fail at once. By the band's lower end it has at most (mean number of distinct terms) / LOW terms, however
@@ -21,12 +22,14 @@ from .shared import Workspace
 
 #: The band: lexicon terms are in at least LOW and at most HIGH of all documents (idf ln 1/HIGH to ln 1/LOW).
 LOW, HIGH = 0.0005, 0.05
+#: A lexicon term is in so many documents at least, however few there are: a word of one document tells nothing of others.
+LEAST = 2
 #: Bits of the lexicon's bitmap, as a power of two; 64 share a bucket of exact hashes.
 SLOTS = 21
 #: Subsets of a level, and levels that a fingerprint has.
 SUBSETS, LEVELS = 8, 3
-#: With fewer lexicon terms a document is fingerprinted by all its terms.
-FEW = 4
+#: Bits of a term's hash for each of the levels, and the sparsest level that a fingerprint begins with.
+LEVEL_BITS, DEEPEST = 21, 19
 #: What xxhash64 makes of an empty array: its seed.
 NOTHING = 42
 
@@ -48,7 +51,7 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
     bucket begins, and the hashes of the lexicon's terms by bucket."""
     n = docs.count()
     terms = docs.select(F.explode(term_hashes(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
-    band = terms.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)))
+    band = terms.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= max(LEAST, low * n)) & (F.col("df") <= max(LEAST, high * n)))
     hashes = np.sort(band.select("h").toArrow()["h"].to_numpy())  # bounded by the band's lower end
     slot = hashes & ((1 << SLOTS) - 1)
     hashes, slot = (x[np.argsort(slot, kind="stable")] for x in (hashes, slot))
@@ -67,19 +70,22 @@ def fingerprint(df: DataFrame, text: Column, lexicon: tuple[Column, Column, Colu
     bucket = lambda t: F.slice(hashes, start(t, 0) + 1, start(t, 1) - start(t, 0))
     known = lambda t: marked(t) & F.array_contains(bucket(t), t)
     df = df.withColumn("_all", term_hashes(text))
-    df = df.withColumn("_band", F.filter("_all", known))
-    df = df.withColumn("_terms", F.sort_array(F.when(F.size("_band") >= FEW, F.col("_band")).otherwise(F.col("_all")))).drop("_all", "_band")
-    df = df.withColumn("_level", F.floor(F.log2(F.greatest(F.size("_terms"), F.lit(1)))).cast("int"))
-    # Subset j of a level has the terms whose j-th hash ends in so many zero bits, so that of a level is within that of
-    # the level before; the masks are columns of their own lest they be worked out for every term.
+    df = df.withColumn("_terms", F.sort_array(F.filter("_all", known)))
+    whole = F.xxhash64(F.when(F.size("_terms") > 0, F.col("_terms")).otherwise(F.sort_array("_all")))
+    df = df.withColumn("_whole", F.lpad(F.lower(F.hex(whole)), 16, "0")).drop("_all")
+    df = df.withColumn("_level", F.least(F.floor(F.log2(F.greatest(F.size("_terms"), F.lit(1)))), F.lit(DEEPEST)).cast("int"))
+    # Subset j of a level has the terms whose j-th hash ends, in the bits of that level, in as many zeros. Hashes and
+    # masks are columns of their own lest they be worked out again for every level or term.
     one = F.lit(1).cast("long")
-    df = df.withColumns({f"_mask{i}": F.call_function("shiftleft", one, F.col("_level") + i) - 1 for i in range(LEVELS)})
-    held = lambda terms, j, i: F.filter(terms, lambda t: F.xxhash64(t, F.lit(j)).bitwiseAND(F.col(f"_mask{i}")) == 0)
-    df = df.withColumns({f"_held{j}": held("_terms", j, 0) for j in range(SUBSETS)})
-    hashes = F.array(*[F.xxhash64(f"_held{j}" if i == 0 else held(f"_held{j}", j, i)) for i in range(LEVELS) for j in range(SUBSETS)])
+    at = lambda i: F.col("_level") + i
+    masks = {f"_mask{i}": F.call_function("shiftleft", F.call_function("shiftleft", one, at(i)) - 1, at(i) % LEVELS * LEVEL_BITS) for i in range(LEVELS)}
+    drawn = lambda j: F.transform("_terms", lambda t: F.xxhash64(t, F.lit(j)))
+    df = df.withColumns(masks | {f"_drawn{j}": drawn(j) for j in range(SUBSETS)})
+    held = lambda j, i: F.filter(f"_drawn{j}", lambda t: t.bitwiseAND(F.col(f"_mask{i}")) == 0)
+    hashes = F.array(*[F.xxhash64(held(j, i)) for i in range(LEVELS) for j in range(SUBSETS)])
     parts = F.transform(hashes, lambda h: F.when(h == NOTHING, F.lit("-")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
-    whole = F.lpad(F.lower(F.hex(F.xxhash64("_terms"))), 16, "0")
-    return df.withColumn(name, F.concat_ws(".", F.col("_level").cast("string"), whole, F.array_join(parts, "."))).drop("_terms", "_level", *[f"_mask{i}" for i in range(LEVELS)], *[f"_held{j}" for j in range(SUBSETS)])
+    df = df.withColumn(name, F.concat_ws(".", F.col("_level").cast("string"), F.col("_whole"), F.array_join(parts, ".")))
+    return df.drop("_terms", "_whole", "_level", *masks, *[f"_drawn{j}" for j in range(SUBSETS)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,14 +101,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((n > 0) & (F.size(told) > 0), F.size(same) / F.size(told)).otherwise(F.lit(0.0)).cast("double")
 
 
-def neighbours(docs: DataFrame, work: Workspace) -> DataFrame:
-    """``row``, ``next_row`` of rows (row, id, n): the next in descending order of ids, and the first after the last.
+def neighbours(rows: DataFrame, work: Workspace) -> DataFrame:
+    """``row``, ``next_row`` of distinct rows (row, id): the next in descending order of ids, and the first after the last.
 
     Only ids are sorted. Each task of the sort finds the neighbours of its range; what is next to a range is found
     from one row for each range.
     """
     order = [F.desc_nulls_last("id"), F.desc("row")]
-    ranged = docs.select("row", "id").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     ranged = work.save(ranged, "ranged")
     within = Window.partitionBy("part").orderBy(*order)
     near = ranged.withColumn("next_row", F.lead("row").over(within)).withColumn("place", F.row_number().over(within))
@@ -117,27 +123,29 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     The edited text has the last floor(n/3) code points replaced by the first as many of the next document's text, in
     descending order of ids; after the last comes the first. Null counts as empty. Rows that repeat an id follow each
-    other in the order in which they are read; null ids come last. A row alone is next to itself. A text without terms
-    has level 0 and no subset's hash, and is like equal fingerprints only. Other columns are not read; an empty table
-    gives no rows.
+    other in the order of hashes of their texts; rows that repeat id and text are one document and give equal rows. Null
+    ids come last. A document alone is next to itself. A text without lexicon terms has level 0 and no subset's hash, and
+    is like equal fingerprints only. Other columns are not read; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "imatch")
     terms = lexicon(docs, text_col=text_col, low=low, high=high)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # A row is known by 128 bits of its id and text, the same whenever and wherever it is read.
+    rows = rows.withColumn("row", F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64("text", F.lit(1), "id").alias("b")))
     rows = rows.withColumn("n", F.length("text").cast("long"))
-    following = work.save(neighbours(rows, work), "following")
-    prints = fingerprint(rows, F.col("text"), terms, "fingerprint").select("row", "id", "n", "fingerprint")
-    prints = work.save(prints, "fingerprints")
-    cuts = prints.select("row", F.floor(F.col("n") / 3).cast("int").alias("cut")).join(following, "row")
+    prints = work.save(fingerprint(rows, F.col("text"), terms, "fingerprint").select("row", "id", "n", "fingerprint"), "fingerprints")
+    following = work.save(neighbours(prints.select("row", "id").distinct(), work), "following")
+    single = prints.dropDuplicates(["row"])
+    cuts = single.select("row", F.floor(F.col("n") / 3).cast("int").alias("cut")).join(following, "row")
     cuts = work.save(cuts.select(F.col("row").alias("from"), F.col("next_row").alias("row"), "cut"), "cuts")
     texts = rows.select("row", "text")  # both joins below read one shuffle of it
     heads = texts.join(cuts.hint("merge"), "row").select(F.col("from").alias("row"), F.expr("substring(text, 1, cut)").alias("head"))
-    edited = texts.join(heads.hint("merge"), "row")
+    edited = texts.join(heads.groupBy("row").agg(F.min("head").alias("head")).hint("merge"), "row")
     edited = edited.select("row", F.concat(F.expr("substring(text, 1, CAST(length(text) - floor(length(text) / 3) AS INT))"), "head").alias("edited"))
     edited = edited.withColumn("edited_sha256", F.sha2("edited", 256))
     edited = work.save(fingerprint(edited, F.col("edited"), terms, "edited_fingerprint").drop("edited"), "edited")
-    out = prints.join(edited, "row")
-    prints = prints.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
-    near = out.join(following, "row").join(prints, "next_row")
+    out = prints.join(edited.dropDuplicates(["row"]), "row")
+    next_ = single.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
+    near = out.join(following, "row").join(next_, "next_row")
     near = near.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint")))
     return work.finish(near.select(F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
