@@ -91,6 +91,25 @@ def test_near_duplicates_in_one_bucket_of_many(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute_groups(rows, 3, 85, 100)
 
 
+def test_pairs_of_a_crowded_bucket_grow_with_its_members(spark, tmp_path):
+    """20,000 texts of one template share buckets, but no link: no pair of them is made, and planted links are found."""
+    rnd = random.Random(4)
+    base, rows = prose(rnd, 60).split(), []
+    for i in range(20_000):
+        w = list(base)
+        for j in rnd.sample(range(2, 58, 4), 3):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, i, " ".join(w)))
+    rows += [(20_000 + i, 20_000 + i, rows[i][2] + " end") for i in range(0, 20_000, 2000)]
+    members = spark.createDataFrame(rows, "doc long, comp long, text string")
+    near_dedup.ship(spark)
+    work = near_dedup.Workspace(spark, "crowd")
+    pairs = {(r.a, r.b) for r in near_dedup.rare_pairs(members, 3, 85, 100, work).collect()}
+    assert pairs == {(i, 20_000 + i) for i in range(0, 20_000, 2000)}
+    got = near_dedup.near_duplicates(members.select(F.col("doc").alias("doc_id"), "text"), shingle=3, num=85, den=100)
+    assert {(r.doc_id, r.component_id) for r in got.where("NOT kept").collect()} == {(b, a) for a, b in pairs}
+
+
 def test_near_duplicates_odd(odd, none, clashing):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()}
     assert got[(1, 0)] == (1, True) and got[(2, 0)] == (2, True) and got[(3, 0)] == (3, True)

@@ -7,10 +7,12 @@
    others over all bands (in a group of edited copies that is the text the others derive from), and offers one
    candidate pair per other member: pairs grow with the members, not with their square.
 3. Candidates are confirmed on the full shingle sets, and confirmed links joined to components.
-4. Where a bucket still holds members of different components, the links that a star can't see are looked for in
-   blocks of bounded size; a block returns confirmed links between components only, at most one per member.
+4. Where a bucket still holds members of different components, the links that a star can't see are looked for. Up to
+   so many members, of so many shingles in all, are compared within a task. The members of larger buckets are joined on
+   rare shingles: of a linked pair, the least frequent common shingle is among the rarest few of both (prefix
+   filtering), so no link is lost, and texts that share frequent shingles only make no pair.
 
-Buckets are joined on salted keys, so that one frequent bucket is spread over tasks.
+Buckets and groups of copies are joined with their hot keys dealt out over tasks.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, text
 from .components import components
-from .shared import Workspace, ship
+from .shared import Workspace, join_by_key, ship
 
-SALTS = 8
-BLOCK = 256
+#: Members of a bucket, and their shingles in all, that are compared within one task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22
+#: Shingles of a bucket whose columns are multiplied at once.
+COLUMNS = 1 << 14
 
 
 def _sign(size: int, rows: int, bands: int):
@@ -77,17 +81,23 @@ def _verify(size: int, num: int, den: int):
 
 
 def _search(size: int, num: int, den: int):
-    """Links between the components in one block, or between two blocks, of a bucket."""
-    likeness, bins = num / den, 256
+    """Links between the components in a bucket of bounded size, at most one for each component that is joined."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        one_block = key[1].as_py() == key[2].as_py()
-        ids, block, comp = (rows[c].to_numpy() for c in ("doc", "block", "comp"))
+    def run(rows: pa.Table) -> pa.Table:
+        ids, comp = (rows[c].to_numpy() for c in ("doc", "comp"))
         pieces = [text.shingle_sets(text.words(x), size) for _, x in text.slices(rows["text"])]
         sizes = np.concatenate([np.diff(b) for _, b in pieces])
-        sets = np.concatenate([s for s, _ in pieces])
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        sig = minhash.signatures(sets, bounds, bins)
+        found, back, times = np.unique(np.concatenate([s for s, _ in pieces]), return_inverse=True, return_counts=True)
+        held = times[back] > 1
+        column, row = (np.cumsum(times > 1) - 1)[back[held]], np.repeat(np.arange(len(ids)), sizes)[held]
+        order = np.argsort(column, kind="stable")
+        column, row, common = column[order], row[order], np.zeros((len(ids), len(ids)))
+        for first in range(0, int((times > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(column, (first, first + COLUMNS))
+            has = np.zeros((len(ids), COLUMNS), dtype=np.float32)
+            has[row[a:b], column[a:b] - first] = 1
+            common += has @ has.T
+        linked = _linked(sizes[:, None], sizes[None, :], common, num, den) & (common > 0) & (comp[:, None] != comp[None, :])
         root = {c: c for c in comp.tolist()}
 
         def find(c):
@@ -95,27 +105,50 @@ def _search(size: int, num: int, den: int):
                 c = root[c]
             return c
 
-        found = []
-        for i in range(len(ids)):
-            js = np.arange(i + 1, len(ids))
-            js = js[(comp[js] != comp[i]) & (one_block | (block[js] != block[i]))]
-            small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
-            js, small = (x[(den * small >= num * large) & (small > 0)] for x in (js, small))
-            slack = 6 * np.sqrt(likeness * (1 - likeness) / np.minimum(small, bins))
-            js = js[(sig[js] == sig[i]).mean(axis=1) >= likeness - slack]
-            for j in js.tolist():
-                a, b = find(comp[i].item()), find(comp[j].item())
-                if a != b:
-                    x, y = sets[bounds[i] : bounds[i + 1]], sets[bounds[j] : bounds[j + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if _linked(len(x), len(y), common, num, den):
-                        root[max(a, b)] = min(a, b)
-                        found.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        out = []
+        for i, j in np.argwhere(np.triu(linked)).tolist():
+            a, b = find(comp[i].item()), find(comp[j].item())
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def _list_shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in text.slices(batch.column(2)):
+                sets, bounds = text.shingle_sets(text.words(part), size)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(np.diff(bounds)), lists], names=["doc", "comp", "n", "shingles"])
+
+    return run
+
+
+def rare_pairs(members: DataFrame, size: int, num: int, den: int, work: Workspace) -> DataFrame:
+    """``a``, ``b``: pairs of members (doc, comp, text) of different components that may be linked; no link is missing.
+
+    In an order of all shingles by frequency, the first common one of a linked pair is so early in the smaller set that
+    enough others can follow, and in the larger one likewise. Its places also bound how much the two can share.
+    """
+    sets = work.save(members.mapInArrow(_list_shingles(size), "doc long, comp long, n long, shingles array<long>"), "sets")
+    each = sets.select("doc", "comp", "n", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = work.save(often.withColumn("rows", F.col("df")), "often")
+    known = join_by_key(each, often, ["s"], "doc", n="rows").groupBy("doc", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("t"))
+    placed = known.select("doc", "comp", "n", (F.col("n") - F.size("t")).alias("alone"), F.posexplode("t").alias("k", "t"))  # those of one set come first
+    placed = placed.select("doc", "comp", "n", F.col("t.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
+    up_to = lambda p, q: F.col("n") - F.call_function("div", F.col("n") * p + (q - 1), F.lit(q))
+    larger = work.save(placed.where(F.col("at") <= up_to(num, den)), "placed")
+    smaller = larger.where(F.col("at") <= up_to(2 * num, num + den)).select("s", *(F.col(c).alias(f"{c}0") for c in ("doc", "comp", "n", "at")))
+    least = F.least(F.col("n0") - F.col("at0"), F.col("n") - F.col("at"))
+    fits = (F.col("comp") != F.col("comp0")) & (den * F.col("n0") >= num * F.col("n")) & ((num + den) * least >= num * (F.col("n0") + F.col("n")))
+    first = (F.col("n0") < F.col("n")) | ((F.col("n0") == F.col("n")) & (F.col("doc0") < F.col("doc")))
+    return smaller.join(larger, "s").where(fits & first).select(F.col("doc0").alias("a"), F.col("doc").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Groups of documents whose shingle sets have a likeness (intersection over union) of num/den or more.
 
@@ -135,22 +168,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = work.save(texts.mapInArrow(_sign(shingle, rows, bands), "id long, n long, low long, high long, keys array<long>"), "signed")
     named = signed.where("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("low", "high").agg(F.min(F.struct("id", "keys")).alias("r"), F.count(F.lit(1)).alias("members"))
-    classes = work.save(classes.select("low", "high", "members", F.col("r.id").alias("doc"), F.col("r.keys").alias("keys")), "classes")
+    classes = named.groupBy("low", "high").agg(F.min(F.struct("id", "keys")).alias("r"), F.first("n").alias("size"), F.count(F.lit(1)).alias("members"))
+    classes = work.save(classes.select("low", "high", "size", "members", F.col("r.id").alias("doc"), F.col("r.keys").alias("keys")), "classes")
 
     bucketed = classes.select("doc", F.explode("keys").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = work.save(_salted_join(bucketed, shared, "bucket", "doc"), "met")
+    shared = work.save(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("rows", F.col("n")), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    met = work.save(join_by_key(bucketed, shared, ["bucket"], "doc", n="rows", total=total), "met")
     score = met.groupBy("doc").agg(F.sum("n").alias("score"))
-    ranked = met.join(score, "doc").groupBy("bucket").agg(F.max(F.struct("score", -F.col("doc"))).alias("top"))
-    centres = ranked.select("bucket", (-F.col("top.col2")).alias("centre"))
-    starred = work.save(_salted_join(met.select("bucket", "doc", "n"), centres, "bucket", "doc").where("doc <> centre"), "starred")
+    ranked = met.join(score, "doc").groupBy("bucket").agg(F.max(F.struct("score", -F.col("doc"))).alias("top"), F.first("n").alias("n"))
+    centres = work.save(ranked.select("bucket", "n", (-F.col("top.col2")).alias("centre")), "centres")
+    starred = work.save(join_by_key(met.select("bucket", "doc"), centres, ["bucket"], "doc", total=total).where("doc <> centre"), "starred")
     pairs = starred.select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    links = work.save(both.mapInArrow(_verify(shingle, num, den), "a long, b long"), "links").distinct()
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+        return both.mapInArrow(_verify(shingle, num, den), "a long, b long")
+
+    links = work.save(confirmed(pairs), "links").distinct()
 
     # Copies are linked with their representative by their class; only ids that repeat bring anything new.
     repeated = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -158,15 +195,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(same.where("id <> doc").select(F.col("id").alias("a"), F.col("doc").alias("b")))
     grouped = components(links, work)
 
-    found = starred.select("bucket", "doc").join(grouped.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = found.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-    open_ = _salted_join(found, mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket", "doc")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    # A pair that shares several buckets is looked at in each; what differs in component is searched again below.
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp")
-    spread = spread.join(texts.select(F.col("id").alias("doc"), "text").hint("merge"), "doc")
-    more = work.save(spread.groupBy("bucket", "i", "j").applyInArrow(_search(shingle, num, den), "a long, b long"), "more")
+    rooted = classes.select("doc", "size").join(grouped.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    found = work.save(starred.select("bucket", "doc").join(rooted.dropDuplicates(["doc"]), "doc"), "found")
+    mixed = found.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")).where("c0 <> c1")
+    mixed = work.save(mixed.select("bucket", "n", ((F.col("n") <= BLOCK) & (F.col("sizes") <= BLOCK_SHINGLES)).alias("bounded")), "mixed")
+    open_ = join_by_key(found.drop("size"), mixed, ["bucket"], "doc")
+    open_ = work.save(open_, "open")
+    spoken = texts.select(F.col("id").alias("doc"), "text").hint("merge")
+    within = open_.where("bounded").join(spoken, "doc").groupBy("bucket").applyInArrow(_search(shingle, num, den), "a long, b long")
+    more = work.save(within, "more")
+    crowded = open_.where("NOT bounded").select("doc", "comp").distinct()
+    if not crowded.isEmpty():
+        candidates = rare_pairs(crowded.join(spoken, "doc").select("doc", "comp", "text"), shingle, num, den, work)
+        more = more.unionByName(work.save(confirmed(candidates), "rare"))
     # The components that such links join are few; only their ids are grouped anew.
     end = lambda side: grouped.select(F.col("id").alias(side), F.col("comp").alias(f"root_{side}"))
     joined = more.join(end("a"), "a", "left").join(end("b"), "b", "left")
@@ -183,16 +224,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Each row with the representative of its class; a class of one row needs no lookup."""
-    copies = classes.where("members > 1").select("low", "high", "doc")
-    rows = signed.select("id", "n", "low", "high")
-    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.lit(0)))
-    joined = rows.join(salted, ["low", "high", "salt"], "left")
+    copies = classes.where("members > 1").select("low", "high", "doc", "members")
+    joined = join_by_key(signed.select("id", "n", "low", "high"), copies, ["low", "high"], "id", n="members", how="left")
     return joined.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("doc", "id")).otherwise(F.col("id")).alias("doc"))
-
-
-def _salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """Inner join with one row per key; a key's rows are dealt to SALTS tasks, and adaptive execution can split further."""
-    wide = per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    return salted.join(wide, [key, "salt"]).drop("salt")

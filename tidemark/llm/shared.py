@@ -1,27 +1,29 @@
-"""Shared storage, written intermediate tables, and shipping of this package to Python workers."""
+"""Shared storage, written intermediate tables, and joins that deal out hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests on one machine).
+from ..shipping import ship
+
+__all__ = ["Workspace", "checkpoint_dir", "drop", "join_by_key", "scratch", "ship"]
+
+#: Used only by sessions on one machine that name no folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: A key with more rows than both 1/HOT of all and FEW_ROWS is dealt out; fewer than HOT keys can be that hot.
+HOT, FEW_ROWS = 4096, 1000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    """The folder that driver and executors share: that of ``spark.checkpoint.dir``, else the one set on the context."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return LOCAL_CHECKPOINTS
 
 
@@ -57,17 +59,18 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per application, so they can import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemark_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="tidemark-ship-")  # the driver serves it to executors while the session lives
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = f"{folder}/{package.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    sc.addPyFile(archive)
-    sc._tidemark_shipped = True
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: str, *, n: str = "n", total: int | None = None, how: str = "inner") -> DataFrame:
+    """Join with a written table of one row a key, whose column ``n`` counts the key's rows (it is not returned).
+
+    Rows of hot keys are dealt over as many salts as their count asks for, by a hash of ``spread_by``. There are fewer
+    than HOT such keys, so their list is broadcast; all other keys are joined as they are.
+    """
+    if total is None:
+        total = per_key.agg(F.sum(n)).first()[0] or 0
+    share = max(FEW_ROWS, total // HOT)
+    hot = F.broadcast(per_key.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("_salts")))
+    wide = per_key.drop(n) if n not in keys else per_key
+    wide = wide.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.coalesce("_salts", F.lit(1))).cast("int"), F.lit(0))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    return dealt.join(wide, [*keys, "_salt"], how).drop("_salt")
