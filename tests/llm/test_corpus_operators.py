@@ -319,8 +319,8 @@ def brute_prints(texts, low, high):
         parts = []
         for depth in range(level, level + 3):
             for j in range(imatch.SUBSETS):
-                drawn = [h for h in (spark_hash(t, (j,)) for t in held) if not h & ((1 << depth) - 1) << depth % 3 * 21]
-                parts.append(f"{spark_hash(*drawn) & 0xFFFFFFFF:08x}" if drawn else "-")
+                drawn = [h for h in (spark_hash(t, (j // 3,)) for t in held) if not h & ((1 << depth) - 1) << j % 3 * 21]
+                parts.append(f"{spark_hash(*drawn) & 0xFFFF:04x}" if drawn else "-")
         return ".".join([str(level), f"{spark_hash(*(held or every)) & (1 << 64) - 1:016x}", *parts])
 
     return of

@@ -3,7 +3,7 @@
 The lexicon is made of the terms whose inverse document frequency over all documents lies in a band. A document's
 distinct lexicon terms are sorted and hashed: once as they are, and once for each of several randomised subsets of the
 lexicon, so that an edit changes only the hashes of subsets that hold an edited term. Subsets come in levels, each half
-as dense as the one before and drawn anew; a document uses those levels at which it has a few terms to a subset, so
+as dense as the one before and within it; a document uses those levels at which it has a few terms to a subset, so
 short and long texts tell edits apart equally well. A text without a lexicon term has no subset's hash; it is told by
 the hash of all its terms, and is like equal texts only.
 
@@ -14,6 +14,9 @@ many documents there are.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +29,11 @@ LOW, HIGH = 0.0005, 0.05
 LEAST = 2
 #: Bits of the lexicon's bitmap, as a power of two; 64 share a bucket of exact hashes.
 SLOTS = 21
+#: Hashes of a term, each of which draws for several subsets with as many bits; the sparsest level that a fingerprint
+#: may begin with leaves bits for the levels after it.
+HASHES, DRAWS, DRAW_BITS, DEEPEST = 5, 3, 21, 19
 #: Subsets of a level, and levels that a fingerprint has.
-SUBSETS, LEVELS = 8, 3
-#: Bits of a term's hash for each of the levels, and the sparsest level that a fingerprint begins with.
-LEVEL_BITS, DEEPEST = 21, 19
+SUBSETS, LEVELS = HASHES * DRAWS, 3
 #: What xxhash64 makes of an empty array: its seed.
 NOTHING = 42
 
@@ -62,7 +66,7 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
 
 
 def fingerprint(df: DataFrame, text: Column, lexicon: tuple[Column, Column, Column], name: str) -> DataFrame:
-    """Adds a fingerprint column: level, hash of all terms, and LEVELS x SUBSETS hashes, joined by dots."""
+    """Adds a fingerprint column: level, hash of all terms, and LEVELS x SUBSETS hashes of 16 bits, joined by dots."""
     bits, first, hashes = lexicon
     word = lambda t: F.shiftright(t.bitwiseAND(F.lit((1 << SLOTS) - 1)), 6).cast("int") + 1
     marked = lambda t: F.call_function("getbit", F.element_at(bits, word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
@@ -74,18 +78,20 @@ def fingerprint(df: DataFrame, text: Column, lexicon: tuple[Column, Column, Colu
     whole = F.xxhash64(F.when(F.size("_terms") > 0, F.col("_terms")).otherwise(F.sort_array("_all")))
     df = df.withColumn("_whole", F.lpad(F.lower(F.hex(whole)), 16, "0")).drop("_all")
     df = df.withColumn("_level", F.least(F.floor(F.log2(F.greatest(F.size("_terms"), F.lit(1)))), F.lit(DEEPEST)).cast("int"))
-    # Subset j of a level has the terms whose j-th hash ends, in the bits of that level, in as many zeros. Hashes and
-    # masks are columns of their own lest they be worked out again for every level or term.
-    one = F.lit(1).cast("long")
-    at = lambda i: F.col("_level") + i
-    masks = {f"_mask{i}": F.call_function("shiftleft", F.call_function("shiftleft", one, at(i)) - 1, at(i) % LEVELS * LEVEL_BITS) for i in range(LEVELS)}
-    drawn = lambda j: F.transform("_terms", lambda t: F.xxhash64(t, F.lit(j)))
-    df = df.withColumns(masks | {f"_drawn{j}": drawn(j) for j in range(SUBSETS)})
-    held = lambda j, i: F.filter(f"_drawn{j}", lambda t: t.bitwiseAND(F.col(f"_mask{i}")) == 0)
-    hashes = F.array(*[F.xxhash64(held(j, i)) for i in range(LEVELS) for j in range(SUBSETS)])
-    parts = F.transform(hashes, lambda h: F.when(h == NOTHING, F.lit("-")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")))
+    # A subset of a level has the terms whose hash has, in the bits of its draw, as many zeros at the end. What is in any
+    # subset of the first level is kept as a column, so that the rest is worked out on a few terms only.
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level")) - 1
+    masks = {f"_mask{b}": F.call_function("shiftleft", low, F.lit(b * DRAW_BITS)) for b in range(DRAWS)}
+    zero = lambda t, b: t.bitwiseAND(F.col(f"_mask{b}")) == 0
+    hashed = lambda j: F.transform("_terms", lambda t: F.xxhash64(t, F.lit(j)))
+    drawn = lambda j: F.filter(hashed(j), lambda t: reduce(or_, [zero(t, b) for b in range(DRAWS)]))
+    df = df.withColumns(masks).withColumns({f"_drawn{j}": drawn(j) for j in range(HASHES)})
+    further = lambda i, b: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level") + i) - 1, F.lit(b * DRAW_BITS))
+    held = lambda j, b, i: F.filter(f"_drawn{j}", lambda t: t.bitwiseAND(further(i, b)) == 0)
+    hashes = F.array(*[F.xxhash64(held(j, b, i)) for i in range(LEVELS) for j in range(HASHES) for b in range(DRAWS)])
+    parts = F.transform(hashes, lambda h: F.when(h == NOTHING, F.lit("-")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFF)))), 4, "0")))
     df = df.withColumn(name, F.concat_ws(".", F.col("_level").cast("string"), F.col("_whole"), F.array_join(parts, ".")))
-    return df.drop("_terms", "_whole", "_level", *masks, *[f"_drawn{j}" for j in range(SUBSETS)])
+    return df.drop("_terms", "_whole", "_level", *masks, *[f"_drawn{j}" for j in range(HASHES)])
 
 
 def likeness(a: Column, b: Column) -> Column:
