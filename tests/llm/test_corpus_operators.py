@@ -74,9 +74,35 @@ def test_near_duplicates(spark, k, num, den):
     assert sorted(tuple(r) for r in got.collect()) == brute_groups(rows, k, num, den)
 
 
-def test_near_duplicates_in_one_bucket_of_many(spark, monkeypatch):
-    """Texts that share a bucket but not the link to its centre still find their own links."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+@given(st.integers(0, 10**6), st.sampled_from([(85, 100), (4, 5), (1, 2)]))
+@settings(max_examples=60, deadline=None)
+def test_a_bucket_is_searched_as_by_all_pairs(seed, share):
+    rnd = random.Random(seed)
+    base = [prose(rnd, 1) for _ in range(rnd.choice([1, 4, 30]))]
+    texts = []
+    for _ in range(rnd.randint(2, 40)):
+        w = list(base) if rnd.random() < 0.8 else [prose(rnd, 1) for _ in range(rnd.randint(1, 30))]
+        for _ in range(rnd.choice([0, 1, 1, 2, 5])):
+            w[rnd.randrange(len(w))] = prose(rnd, 1)
+        texts.append(" ".join(w))
+    table = pa.table({"doc": list(range(len(texts))), "comp": list(range(len(texts))), "text": texts})
+    links = near_dedup._search(3, *share)(table)
+    root = {i: i for i in range(len(texts))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert [find(i) for i in range(len(texts))] == [c for _, _, c, _ in brute_groups(list(enumerate(texts)), 3, *share)]
+
+
+@pytest.mark.parametrize("bound", [1 << 21, 100])
+def test_near_duplicates_in_one_bucket_of_many(spark, monkeypatch, bound):
+    """Texts that share a bucket but not the link to its centre still find their own links, in one task or by a join."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", bound)
     rnd = random.Random(2)
     base = prose(rnd, 60).split()
     rows = []

@@ -7,10 +7,10 @@
    others over all bands (in a group of edited copies that is the text the others derive from), and offers one
    candidate pair per other member: pairs grow with the members, not with their square.
 3. Candidates are confirmed on the full shingle sets, and confirmed links joined to components.
-4. Where a bucket still holds members of different components, the links that a star can't see are looked for. Up to
-   so many members, of so many shingles in all, are compared within a task. The members of larger buckets are joined on
-   rare shingles: of a linked pair, the least frequent common shingle is among the rarest few of both (prefix
-   filtering), so no link is lost, and texts that share frequent shingles only make no pair.
+4. Where a bucket still holds members of different components, the links that a star can't see are looked for by
+   their rare shingles: of a linked pair, the least frequent common shingle is among the rarest few of both (prefix
+   filtering), so no link is lost, and texts that share frequent shingles only make no pair. A bucket of up to so many
+   shingles is searched within a task; the members of larger ones are joined on their rare shingles.
 
 Buckets and groups of copies are joined with their hot keys dealt out over tasks.
 """
@@ -28,10 +28,8 @@ from . import minhash, text
 from .components import components
 from .shared import Workspace, join_by_key, ship
 
-#: Members of a bucket, and their shingles in all, that are compared within one task.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 22
-#: Shingles of a bucket whose columns are multiplied at once.
-COLUMNS = 1 << 14
+#: Shingles of a bucket's members, in all, that are searched within one task.
+BLOCK_SHINGLES = 1 << 21
 
 
 def _sign(size: int, rows: int, bands: int):
@@ -80,6 +78,12 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
+def _prefixes(n, num: int, den: int):
+    """How many of a set's first shingles in the common order may hold the first that it shares with a linked set: one
+    no smaller, and one no larger."""
+    return n - (2 * num * n + (num + den - 1)) // (num + den) + 1, n - (num * n + den - 1) // den + 1
+
+
 def _search(size: int, num: int, den: int):
     """Links between the components in a bucket of bounded size, at most one for each component that is joined."""
 
@@ -87,17 +91,22 @@ def _search(size: int, num: int, den: int):
         ids, comp = (rows[c].to_numpy() for c in ("doc", "comp"))
         pieces = [text.shingle_sets(text.words(x), size) for _, x in text.slices(rows["text"])]
         sizes = np.concatenate([np.diff(b) for _, b in pieces])
-        found, back, times = np.unique(np.concatenate([s for s, _ in pieces]), return_inverse=True, return_counts=True)
-        held = times[back] > 1
-        column, row = (np.cumsum(times > 1) - 1)[back[held]], np.repeat(np.arange(len(ids)), sizes)[held]
-        order = np.argsort(column, kind="stable")
-        column, row, common = column[order], row[order], np.zeros((len(ids), len(ids)))
-        for first in range(0, int((times > 1).sum()), COLUMNS):
-            a, b = np.searchsorted(column, (first, first + COLUMNS))
-            has = np.zeros((len(ids), COLUMNS), dtype=np.float32)
-            has[row[a:b], column[a:b] - first] = 1
-            common += has @ has.T
-        linked = _linked(sizes[:, None], sizes[None, :], common, num, den) & (common > 0) & (comp[:, None] != comp[None, :])
+        sets, bounds = np.concatenate([s for s, _ in pieces]), np.concatenate([[0], np.cumsum(sizes)])
+        # In order of their sizes, so that the later of two entries is of the set that isn't smaller.
+        order = np.argsort(sizes, kind="stable")
+        owner = np.repeat(np.argsort(order), sizes)
+        ids, comp, sizes, start, end = ids[order], comp[order], sizes[order], bounds[:-1][order], bounds[1:][order]
+        _, back, times = np.unique(sets, return_inverse=True, return_counts=True)
+        rank = np.empty(len(times), dtype=np.int64)
+        rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+        shingle = rank[back]
+        by_set = np.lexsort((shingle, owner))
+        place = np.empty(len(sets), dtype=np.int64)
+        place[by_set] = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        near, far = _prefixes(sizes, num, den)
+        kept = np.flatnonzero((times[back] > 1) & (place < far[owner]))
+        kept = kept[np.lexsort((owner[kept], shingle[kept]))]
+        own, at, last = owner[kept], place[kept], np.searchsorted(shingle[kept], shingle[kept], side="right")
         root = {c: c for c in comp.tolist()}
 
         def find(c):
@@ -105,12 +114,23 @@ def _search(size: int, num: int, den: int):
                 c = root[c]
             return c
 
-        out = []
-        for i, j in np.argwhere(np.triu(linked)).tolist():
-            a, b = find(comp[i].item()), find(comp[j].item())
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[j]))
+        out, left = [], np.flatnonzero((at < near[own]) & (np.arange(len(own)) + 1 < last))
+        step, seen = 0, np.zeros(0, dtype=np.int64)
+        while len(left):
+            step += 1
+            i, j = own[left], own[left + step]
+            most = np.minimum(sizes[i] - at[left], sizes[j] - at[left + step])
+            fit = (comp[i] != comp[j]) & (den * sizes[i] >= num * sizes[j]) & ((num + den) * most >= num * (sizes[i] + sizes[j]))
+            pairs = np.setdiff1d(i[fit] * len(ids) + j[fit], seen)
+            seen = np.union1d(seen, pairs)
+            for i, j in zip((pairs // len(ids)).tolist(), (pairs % len(ids)).tolist(), strict=True):
+                a, b = find(comp[i].item()), find(comp[j].item())
+                if a != b:
+                    common = len(np.intersect1d(sets[start[i] : end[i]], sets[start[j] : end[j]], assume_unique=True))
+                    if _linked(sizes[i], sizes[j], common, num, den):
+                        root[max(a, b)] = min(a, b)
+                        out.append((ids[i], ids[j]))
+            left = left[left + step + 1 < last[left]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -130,8 +150,8 @@ def _list_shingles(size: int):
 def rare_pairs(members: DataFrame, size: int, num: int, den: int, work: Workspace) -> DataFrame:
     """``a``, ``b``: pairs of members (doc, comp, text) of different components that may be linked; no link is missing.
 
-    In an order of all shingles by frequency, the first common one of a linked pair is so early in the smaller set that
-    enough others can follow, and in the larger one likewise. Its places also bound how much the two can share.
+    It is what a task does for a bucket, as a join: entries of the rarest shingles of both, by the places that
+    ``_prefixes`` tells; the places also bound how much the two can share.
     """
     sets = work.save(members.mapInArrow(_list_shingles(size), "doc long, comp long, n long, shingles array<long>"), "sets")
     each = sets.select("doc", "comp", "n", F.explode("shingles").alias("s"))
@@ -140,9 +160,9 @@ def rare_pairs(members: DataFrame, size: int, num: int, den: int, work: Workspac
     known = join_by_key(each, often, ["s"], "doc", n="rows").groupBy("doc", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("t"))
     placed = known.select("doc", "comp", "n", (F.col("n") - F.size("t")).alias("alone"), F.posexplode("t").alias("k", "t"))  # those of one set come first
     placed = placed.select("doc", "comp", "n", F.col("t.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
-    up_to = lambda p, q: F.col("n") - F.call_function("div", F.col("n") * p + (q - 1), F.lit(q))
-    larger = work.save(placed.where(F.col("at") <= up_to(num, den)), "placed")
-    smaller = larger.where(F.col("at") <= up_to(2 * num, num + den)).select("s", *(F.col(c).alias(f"{c}0") for c in ("doc", "comp", "n", "at")))
+    up_to = lambda p, q: F.col("n") - F.call_function("div", F.col("n") * p + (q - 1), F.lit(q)) + 1
+    larger = work.save(placed.where(F.col("at") < up_to(num, den)), "placed")
+    smaller = larger.where(F.col("at") < up_to(2 * num, num + den)).select("s", *(F.col(c).alias(f"{c}0") for c in ("doc", "comp", "n", "at")))
     least = F.least(F.col("n0") - F.col("at0"), F.col("n") - F.col("at"))
     fits = (F.col("comp") != F.col("comp0")) & (den * F.col("n0") >= num * F.col("n")) & ((num + den) * least >= num * (F.col("n0") + F.col("n")))
     first = (F.col("n0") < F.col("n")) | ((F.col("n0") == F.col("n")) & (F.col("doc0") < F.col("doc")))
@@ -198,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rooted = classes.select("doc", "size").join(grouped.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     found = work.save(starred.select("bucket", "doc").join(rooted.dropDuplicates(["doc"]), "doc"), "found")
     mixed = found.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")).where("c0 <> c1")
-    mixed = work.save(mixed.select("bucket", "n", ((F.col("n") <= BLOCK) & (F.col("sizes") <= BLOCK_SHINGLES)).alias("bounded")), "mixed")
+    mixed = work.save(mixed.select("bucket", "n", (F.col("sizes") <= BLOCK_SHINGLES).alias("bounded")), "mixed")
     open_ = join_by_key(found.drop("size"), mixed, ["bucket"], "doc")
     open_ = work.save(open_, "open")
     spoken = texts.select(F.col("id").alias("doc"), "text").hint("merge")
