@@ -15,7 +15,6 @@ many documents there are.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -80,18 +79,20 @@ def fingerprint(df: DataFrame, text: Column, lexicon: tuple[Column, Column, Colu
     df = df.withColumn("_level", F.least(F.floor(F.log2(F.greatest(F.size("_terms"), F.lit(1)))), F.lit(DEEPEST)).cast("int"))
     # A subset of a level has the terms whose hash has, in the bits of its draw, as many zeros at the end. What is in any
     # subset of the first level is kept as a column, so that the rest is worked out on a few terms only.
+    # The bit above a draw's bits is lent when all of them are zero, which one subtraction tells for all draws (a loan to
+    # the draw before lets a few more through).
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level")) - 1
-    masks = {f"_mask{b}": F.call_function("shiftleft", low, F.lit(b * DRAW_BITS)) for b in range(DRAWS)}
-    zero = lambda t, b: t.bitwiseAND(F.col(f"_mask{b}")) == 0
+    mask = reduce(lambda m, b: m.bitwiseOR(F.call_function("shiftleft", low, F.lit(b * DRAW_BITS))), range(DRAWS), F.lit(0).cast("long"))
+    ones, lent = (F.lit(sum(1 << b * DRAW_BITS + k for b in range(DRAWS))) for k in (0, DRAW_BITS - 1))
     hashed = lambda j: F.transform("_terms", lambda t: F.xxhash64(t, F.lit(j)))
-    drawn = lambda j: F.filter(hashed(j), lambda t: reduce(or_, [zero(t, b) for b in range(DRAWS)]))
-    df = df.withColumns(masks).withColumns({f"_drawn{j}": drawn(j) for j in range(HASHES)})
+    drawn = lambda j: F.filter(hashed(j), lambda t: (t.bitwiseAND(F.col("_mask")) - ones).bitwiseAND(lent) != 0)
+    df = df.withColumn("_mask", mask).withColumns({f"_drawn{j}": drawn(j) for j in range(HASHES)})
     further = lambda i, b: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level") + i) - 1, F.lit(b * DRAW_BITS))
     held = lambda j, b, i: F.filter(f"_drawn{j}", lambda t: t.bitwiseAND(further(i, b)) == 0)
     hashes = F.array(*[F.xxhash64(held(j, b, i)) for i in range(LEVELS) for j in range(HASHES) for b in range(DRAWS)])
     parts = F.transform(hashes, lambda h: F.when(h == NOTHING, F.lit("-")).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFF)))), 4, "0")))
     df = df.withColumn(name, F.concat_ws(".", F.col("_level").cast("string"), F.col("_whole"), F.array_join(parts, ".")))
-    return df.drop("_terms", "_whole", "_level", *masks, *[f"_drawn{j}" for j in range(HASHES)])
+    return df.drop("_terms", "_whole", "_level", "_mask", *[f"_drawn{j}" for j in range(HASHES)])
 
 
 def likeness(a: Column, b: Column) -> Column:
