@@ -7,26 +7,31 @@ is a query: a unit lies whole in one passage at least.
 Before a passage is run through the index, upper bounds are summed for all passages of many documents at once: each
 unit has a few heavy terms, beyond which its terms can add up to half of the threshold at most, so a passage that lacks
 heavy terms worth the other half can't reach the threshold with any unit and is skipped without loss. The others go
-through block-max WAND, which gives every unit above the threshold. What it gives is verified on words: the share of
-the question's 5-word shingles, and of the answer's words, that the matched region holds.
+through block-max WAND, which gives every unit above the threshold. The passages that an item's units are retrieved for
+make regions: runs without a gap longer than a passage and what the question may lack. What is retrieved is verified on
+words: the share of the question's 5-word shingles, and of the answer's words, that one region holds.
 
-The index of a block of items is of bounded size and is broadcast; more items take more passes. Document frequencies
-and the mean length are those of the units of all items, so a unit's score doesn't depend on the blocks.
+The index of a block of items is broadcast; its size is bounded, but that a block has one item at least. More items take
+more passes over the documents: each pass is written before the next, and its index released. Document frequencies and
+the mean length are those of the units of all items, so a unit's score doesn't depend on the blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text
-from .shared import ship
+from .shared import Workspace, ship
 from .toxicity import lowered
 
 UNIT, PASSAGE, SHINGLE = 64, 128, 5
@@ -87,6 +92,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.question = [np.unique(ngrams(q, SHINGLE)) for q in questions]
         self.run = [min(SHINGLE, len(q)) for q in questions]
+        self.gap = [PASSAGE + math.ceil((1 - QUESTION) * len(h)) for h in whole]
         self.answer = [np.unique(a) for a in answers]
         self.item: list[int] = []
         units: list[Counter] = []
@@ -184,39 +190,56 @@ class Index:
         keys, back = np.unique(key, return_inverse=True)
         worth = np.bincount(back, weights=np.concatenate([weight, weight[step > 0]]))
         hopeful = np.unique(keys[worth >= THRESHOLD / 2 - 1e-6] // len(self.item))
-        regions: dict[tuple[int, int], list[float]] = {}
+        places: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for passage in hopeful.tolist():
             doc = int(np.searchsorted(base, passage, side="right")) - 1
             a = int(w.first[doc]) + (passage - int(base[doc])) * half
             b = min(a + PASSAGE, int(w.first[doc + 1]))
             for unit_, score in self.search(np.unique(w.hash[a:b]).tolist()):
-                r = regions.setdefault((doc, self.item[unit_]), [a, b, 0.0])
-                r[0], r[1], r[2] = min(r[0], a), max(r[1], b), max(r[2], score)
+                places.setdefault((doc, self.item[unit_]), []).append((a, b, score))
         out = []
-        for (doc, item), (a, b, score) in sorted(regions.items()):
-            held = w.hash[int(a) : int(b)]
-            asked, said = self.question[item], self.answer[item]
-            question = float(np.isin(asked, ngrams(held, self.run[item])).mean()) if len(asked) else 1.0
-            answer = float(np.isin(said, held).mean()) if len(said) else 1.0
-            if question >= QUESTION - 1e-9 and answer >= ANSWER - 1e-9:
-                out.append((doc, item, score, question, answer))
+        for (doc, item), found in sorted(places.items()):
+            verified = [v for region in _regions(found, self.gap[item]) if (v := self._verified(w.hash, item, *region))]
+            if verified:
+                out.append((doc, item, *max(verified)))
         return out
 
+    def _verified(self, words: np.ndarray, item: int, a: int, b: int, score: float) -> tuple[float, float, float] | None:
+        """Score, question's share and answer's share of a region, if it holds enough of both."""
+        asked, said, held = self.question[item], self.answer[item], words[a:b]
+        question = float(np.isin(asked, ngrams(held, self.run[item])).mean()) if len(asked) else 1.0
+        answer = float(np.isin(said, held).mean()) if len(said) else 1.0
+        return (score, question, answer) if question >= QUESTION - 1e-9 and answer >= ANSWER - 1e-9 else None
+
+
+def _regions(found: list[tuple[int, int, float]], gap: int) -> list[tuple[int, int, float]]:
+    """Runs of passages (first word, end, score) with gaps of at most so many words, each with its best score."""
+    out: list[tuple[int, int, float]] = []
+    for a, b, score in sorted(found):
+        if out and a - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), max(score, out[-1][2]))
+        else:
+            out.append((a, b, score))
+    return out
+
+
+def _blocks(benchmark: DataFrame, text_col: str, block_bytes: int | None) -> int:
+    size = benchmark.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(1, math.ceil(size / (block_bytes or BLOCK_BYTES)))
 
-def indexes(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """Indexes of blocks of items, each of about ``block_bytes`` of text; only one is held at a time."""
+
+def indexes(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", block_bytes: int | None = None) -> Iterator[Index]:
+    """Indexes of blocks of items, each of about ``block_bytes`` of text (BLOCK_BYTES), each made when it is asked for."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("item").cast("string"), F.lit("")), "text"), F.lit(blocks))
-    if blocks == 1:
-        held = rows.distinct().toArrow().to_pylist() if size else []
-        yield Index(_ordered(held))
+    blocks = _blocks(benchmark, text_col, block_bytes)
+    if blocks == 1:  # all items: their statistics are its own
+        yield Index(_ordered(rows.distinct().toArrow().to_pylist()))
         return
+    block = F.pmod(F.xxhash64(F.coalesce(F.col("item").cast("string"), F.lit("")), "text"), F.lit(blocks))
     frequencies = _frequencies(rows)
     for k in range(blocks):
-        here = rows.where(block == k).distinct()
-        yield Index(_ordered(held := here.toArrow().to_pylist()), _statistics_of(frequencies, held))
+        held = rows.where(block == k).distinct().toArrow().to_pylist()
+        yield Index(_ordered(held), _statistics_of(frequencies, held))
     frequencies.unpersist()
 
 
@@ -251,7 +274,7 @@ def _statistics_of(frequencies: DataFrame, held: list[dict]) -> Statistics:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """A row for each document and test item it holds: ids, ``score``, ``question_overlap``, ``answer_overlap``.
 
     Words are runs of ASCII letters and digits and characters beyond ASCII, in lower case. Null and empty texts hold
@@ -263,26 +286,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = None
-    for index in indexes(benchmark, item_col=item_col, text_col=item_text_col):
-        one = rows.mapInArrow(_match(spark.sparkContext.broadcast(index)), schema)
-        found = one if found is None else found.unionByName(one)
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def _match(index):
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    one = lambda index: rows.mapInArrow(_match(index, item_type), schema)
+    return reduce(DataFrame.unionByName, _passes(spark, benchmark, one, item_col, item_text_col, block_bytes)).withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def _passes(spark: SparkSession, benchmark: DataFrame, one: Callable[[Broadcast], DataFrame], item_col: str, text_col: str, block_bytes: int | None) -> Iterator[DataFrame]:
+    """The result of ``one`` for each index. With several, each is written and its index released before the next is
+    made; a single one is left to be run with what follows it."""
+    several = _blocks(benchmark, text_col, block_bytes) > 1
+    work = Workspace(spark, "passes")
+    for index in indexes(benchmark, item_col=item_col, text_col=text_col, block_bytes=block_bytes):
+        shared = spark.sparkContext.broadcast(index)
+        del index
+        done = one(shared)
+        if several:
+            done = work.save(done, "pass")
+            shared.destroy()
+        yield done
+
+
+def _match(index: Broadcast, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in text.slices(lowered(batch.column(1))):
                 found = index.value.matches(part)
                 ids = batch.column(0).slice(at, len(part)).take(pa.array([f[0] for f in found], pa.int64()))
-                items = pa.array([index.value.ids[f[1]] for f in found], pa.int64())
+                items = pa.array([index.value.ids[f[1]] for f in found], item_type)
                 yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], names=["id", "item", "score", "question_overlap", "answer_overlap"])
 
     return run
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """The rows, all columns as they are, that hold no test item."""
     spark = docs.sparkSession
     ship(spark)
@@ -298,6 +334,11 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
 
         return run
 
-    for index in indexes(benchmark):
-        docs = docs.mapInArrow(keep(spark.sparkContext.broadcast(index)), docs.schema)
-    return docs
+    kept = docs
+
+    def one(index: Broadcast) -> DataFrame:
+        return kept.mapInArrow(keep(index), docs.schema)
+
+    for kept in _passes(spark, benchmark, one, item_col, item_text_col, block_bytes):  # noqa: B007
+        pass  # each pass reads what the one before kept
+    return kept
