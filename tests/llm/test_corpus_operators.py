@@ -156,8 +156,10 @@ def encoding():
 
 
 def test_bpe_round_trip(spark, odd, none, clashing, encoding, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CHUNK", 500)
-    monkeypatch.setattr(byte_bpe, "OVERLAP", 60)
+    monkeypatch.setattr(byte_bpe, "DEALT", 500)
+    monkeypatch.setattr(byte_bpe, "DEALT_OVERLAP", 60)
+    monkeypatch.setattr(byte_bpe, "CHUNK", 100)
+    monkeypatch.setattr(byte_bpe, "OVERLAP", 20)
     extra = spark.createDataFrame([(20, "a  b\n\n" * 300 + "x" * 3000 + " y" * 400), (21, "'ll it's" * 200 + " " * 900 + "z")], "doc_id long, text string")
     rows = odd.select("doc_id", "text").unionByName(extra)
     encoded = byte_bpe.encode(rows, RANKS, PATTERN)
@@ -165,6 +167,9 @@ def test_bpe_round_trip(spark, odd, none, clashing, encoding, monkeypatch):
     assert sorted(((r.doc_id, r.ids) for r in encoded.collect()), key=str) == want
     back = byte_bpe.decode(encoded, RANKS, PATTERN)
     assert sorted(((r.doc_id, bytes(r.bytes).decode()) for r in back.collect()), key=str) == sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=str)
+    verified = byte_bpe.encode_and_decode(rows, RANKS, PATTERN).collect()
+    assert sorted(((r.doc_id, r.ids) for r in verified), key=str) == want
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in verified) == sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows.collect())
     told = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in byte_bpe.digests(rows, RANKS, PATTERN).collect()}
     assert told == {(d, len(i), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest()) for d, i in want}
     assert byte_bpe.digests(none, RANKS, PATTERN).count() == 0
@@ -181,6 +186,19 @@ def test_stitching(t, chunk, overlap):
     assert byte_bpe.stitch(bases, scans) in (None, vocabulary.encode(t))
 
 
+@given(st.text(alphabet="ab'lst .\n\t 12é中!", min_size=1, max_size=300), st.integers(8, 60), st.integers(6, 20))
+@settings(max_examples=300, deadline=None)
+def test_pieces_of_chunks_are_those_of_one_scan(t, chunk, overlap):
+    with open(RANKS, "rb") as f:
+        vocabulary = byte_bpe.Vocabulary.of(f.read(), PATTERN)
+    kept = byte_bpe.CHUNK, byte_bpe.OVERLAP
+    byte_bpe.CHUNK, byte_bpe.OVERLAP = chunk, min(overlap, chunk - 1)
+    try:
+        assert vocabulary.pieces(t) == vocabulary.scan(t)
+    finally:
+        byte_bpe.CHUNK, byte_bpe.OVERLAP = kept
+
+
 def brute_ids(rows):
     t, out, start = Tokenizer.from_file(WORDS), [], 0
     for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
