@@ -44,8 +44,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the byte-level BPE ids of each text."""
-    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """doc_id, the byte-level BPE ids of each text, and the SHA-256 of the bytes that they decode to."""
+    return byte_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -61,8 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and reread; what is written before the last stage's rows is removed."""
     docs = _table(spark, sf_dir, "documents")
     work = Workspace(spark, "pipeline")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return work.finish(STAGES[-1][1](spark, docs, sf_dir))
