@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import pathlib
 import random
@@ -201,7 +202,7 @@ def test_pieces_of_chunks_are_those_of_one_scan(t, chunk, overlap):
 
 def brute_ids(rows):
     t, out, start = Tokenizer.from_file(WORDS), [], 0
-    for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, SEED if r[1] is None else spark_hash(r[1]))):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
         out.append((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
@@ -215,10 +216,14 @@ def test_sstable(spark, odd, none, clashing, tmp_path, monkeypatch):
     got = sorted((tuple(r) for r in sstable.roundtrip(rows, WORDS).collect()), key=lambda r: r[1])
     assert got == brute_ids([tuple(r) for r in rows.collect()])
     path = str(tmp_path / "shards")
-    sstable.write(rows, path, WORDS)
+    sstable.write(rows, path, WORDS, shard_bytes=2000)
+    sstable.write_manifest(spark, path)
+    assert spark.read.parquet(f"{path}-manifest").count() > 3
     found = {r.doc_id: r.ids for r in sstable.lookup(spark, path, [120, 100, 99999]).collect()}
     t = Tokenizer.from_file(WORDS)
     assert found == {i: [*t.encode(f"text {i} " * (i % 9), add_special_tokens=False).ids, 1] for i in (100, 120)}
+    assert sstable.lookup(spark, path, [99999]).count() == 0 and sstable.get(spark, path, 99999) == []
+    assert [x.tolist() for x in sstable.get(spark, path, 120)] == [found[120]] and len(sstable.get(spark, path, 6)) == 2
     assert sstable.roundtrip(none, WORDS).count() == 0
     assert sstable.roundtrip(clashing, WORDS).count() == 6
 
@@ -232,12 +237,21 @@ def test_runs_encode_as_whole_texts(parts):
     assert words.encode(t) == words.whole(t)
 
 
+def test_other_definitions_encode_whole_texts():
+    with open(WORDS, "rb") as f:
+        plain = json.load(f)
+    assert sstable.splits_as_here(json.dumps(plain).encode())
+    plain["normalizer"]["normalizers"].pop()
+    words = sstable.Words(json.dumps(plain).encode())
+    assert not words.by_runs and words.encode("Some Text") == words.whole("Some Text") != sstable.Words.whole(words, "some text")
+
+
 def test_shard_checks_its_bytes():
     data = bytearray(sstable.build([(sstable.key_of(1), struct.pack("<I", 70000))], 0, 0) + b"\n")
-    assert [ids.tolist() for _, ids in sstable.Shard(bytes(data))] == [[70000]]
+    assert [ids.tolist() for _, ids in sstable.Shard.of(bytes(data))] == [[70000]]
     data[0] ^= 1
     with pytest.raises(ValueError):
-        sstable.Shard(bytes(data))
+        sstable.Shard.of(bytes(data))
 
 
 @pytest.mark.parametrize("version", [1, 2])

@@ -10,19 +10,21 @@ A shard is one file, so laid out (integers little-endian unless said otherwise):
              partition, CRC-32 of all before the footer, MAGIC
 
 Keys are document ids as 8 big-endian bytes with the sign bit flipped, so byte order is the order of ids; a null id is
-the key of no bytes, before all others. A look-up asks the filter, then bisects the index, then reads one block.
+the key of no bytes, before all others. A manifest beside the shards tells the range of ids of each file. A look-up opens
+the files whose range has the key, asks the filter, then bisects the index, then reads one block.
 The files are written and read through Spark, and so lie wherever Spark can write.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import unicodedata
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,8 @@ from .text import U, mix
 #: The last byte of each file is the line end that Spark's text writer puts after a value.
 MAGIC = b"TIDESST1\n"
 FOOTER = struct.Struct("<QQQQQQQQQqqIIB3xI9s")
-#: Aims for the size of a block, and of the documents in a shard, in bytes. A larger document is alone in its block.
+#: Aims for the size of a block, and of the documents in a shard, in bytes. A larger document is alone in its block. A
+#: task holds about five times a shard, so larger ones, of which a store has fewer, need larger executors.
 BLOCK_BYTES, SHARD_BYTES = 1 << 15, 8 << 20
 BITS_A_KEY, PROBES = 10, 7
 #: Runs, and pre-tokens, whose ids a worker remembers. Frequent ones come early, so nothing is forgotten for later ones.
@@ -75,13 +78,27 @@ _of = lambda kind: "".join(c for c in _LATIN if unicodedata.category(c)[0] == ki
 _OTHER = "".join(c for c in _LATIN if unicodedata.category(c)[0] not in "LN")
 
 
+#: The normaliser and the splitter of which runs are split here; other definitions encode whole texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splits_as_here(definition: bytes) -> bool:
+    """Whether a tokenizer's definition has the normaliser, the splitter and the kind of special tokens expected here."""
+    d = json.loads(definition)
+    special = all(t["content"].startswith("<|") and t["special"] and not t["normalized"] for t in d.get("added_tokens") or [])
+    plain = not any(d.get(k) for k in ("truncation", "padding")) and (d.get("model") or {}).get("type") == "BPE" and not d["model"].get("dropout")
+    return special and plain and d.get("normalizer") == _NORMALIZER and d.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+
+
 class Words(dict):
     """ids of runs between white space, as little-endian 32-bit bytes, remembered within a bound.
 
     The tokenizer's pre-tokens hold no white space and its normaliser works within runs, so a text's ids are those of
     its runs. A run of Latin characters is lower-cased and split by the tokenizer's pattern, and its pre-tokens go to
     the tokenizer's model; any other run goes through the whole tokenizer. Texts for which Python and the tokenizer
-    may see other runs, or with a special token, are encoded whole.
+    may see other runs, or with a special token, are encoded whole; all texts are if the definition is another.
     """
 
     aside = re.compile(r"[\x1c-\x1f]|<\|").search
@@ -92,7 +109,7 @@ class Words(dict):
     def __init__(self, definition: bytes):
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(definition)
-        self.pieces = Pieces(self.tokenizer)
+        self.pieces, self.by_runs = Pieces(self.tokenizer), splits_as_here(definition)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -104,7 +121,7 @@ class Words(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        return self.whole(text) if self.aside(text) else b"".join(map(self.__getitem__, text.split()))
+        return self.whole(text) if not self.by_runs or self.aside(text) else b"".join(map(self.__getitem__, text.split()))
 
     @classmethod
     def of(cls, definition: bytes) -> Words:
@@ -185,28 +202,34 @@ def build(entries: list[tuple[bytes, bytes]], partition: int, number: int) -> by
 
 
 class Shard:
-    """A file's bytes, checked against its footer."""
+    """A file, of which ``read(at, n)`` gives n bytes: the footer and the index at once, blocks when they are asked for."""
 
-    def __init__(self, data):
-        self.data = data
-        (self.blocks_end, self.index_bytes, self.bloom_bytes, self.bits, self.n_blocks, self.n_docs, self.n_ids, _, _, self.low, self.high, self.partition, self.number, self.width, crc, magic) = FOOTER.unpack(data[-FOOTER.size :])
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read, footer = read, read(size - FOOTER.size, FOOTER.size)
+        (self.blocks_end, self.index_bytes, self.bloom_bytes, self.bits, self.n_blocks, self.n_docs, self.n_ids, _, _, self.low, self.high, self.partition, self.number, self.width, self.crc, magic) = FOOTER.unpack(footer)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        if zlib.crc32(data[: -FOOTER.size]) != crc:
+        table = read(self.blocks_end, self.index_bytes)
+        self.index = [(int.from_bytes(table[i : i + 8], "big"), *struct.unpack("<QQQ", table[i + 8 : i + 32])) for i in range(0, self.index_bytes, 32)]
+
+    @classmethod
+    def of(cls, data) -> Shard:
+        """A shard whose bytes are all at hand, checked against its footer."""
+        out = cls(lambda at, n: data[at : at + n], len(data))
+        if zlib.crc32(data[: -FOOTER.size]) != out.crc:
             raise ValueError("a shard's bytes don't match its checksum")
-        at = self.blocks_end
-        self.index = [(int.from_bytes(data[i : i + 8], "big"), *struct.unpack("<QQQ", data[i + 8 : i + 32])) for i in range(at, at + self.index_bytes, 32)]
+        return out
 
     def block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        _, at, _, n = self.index[i]
-        key = b""
+        _, start, size, n = self.index[i]
+        data, at, key = self.read(start, size), 0, b""
         for _ in range(n):
-            shared, at = _read_varint(self.data, at)
-            rest, at = _read_varint(self.data, at)
-            count, at = _read_varint(self.data, at)
-            key = key[:shared] + bytes(self.data[at : at + rest])
+            shared, at = _read_varint(data, at)
+            rest, at = _read_varint(data, at)
+            count, at = _read_varint(data, at)
+            key = key[:shared] + bytes(data[at : at + rest])
             at += rest
-            yield key, np.frombuffer(self.data, dtype=f"<u{self.width}", count=count, offset=at)
+            yield key, np.frombuffer(data, dtype=f"<u{self.width}", count=count, offset=at)
             at += count * self.width
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -215,7 +238,7 @@ class Shard:
 
     def may_hold(self, key: bytes) -> bool:
         at = self.blocks_end + self.index_bytes
-        return all(self.data[at + p // 8] >> p % 8 & 1 for p in _probes([key], self.bits)[0].tolist())
+        return all(self.read(at + p // 8, 1)[0] >> p % 8 & 1 for p in _probes([key], self.bits)[0].tolist())
 
     def get(self, key: bytes) -> list[np.ndarray]:
         """The ids of each entry of a key."""
@@ -235,7 +258,7 @@ class Shard:
         return found
 
 
-def _shards(definition, end_id: int | None):
+def _shards(definition, end_id: int | None, shard_bytes: int):
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +267,7 @@ def _shards(definition, end_id: int | None):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words.encode(text.as_py() or "") + end
-                if held and size + len(ids) > 2 * SHARD_BYTES:
+                if held and size + len(ids) > 2 * shard_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([build(held, partition, number)], pa.binary())], names=["file"])
                     held, size, number = [], 0, number + 1
                 held.append((key_of(doc_id), ids))
@@ -255,45 +278,49 @@ def _shards(definition, end_id: int | None):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encodes each text without special tokens, puts ``end_id`` after it, and writes the shards in ascending order of ids.
 
-    A null or empty text has the end id only. Rows that repeat an id stay apart, in the order of their texts; a null id
-    comes first. Other columns are not read; an empty table writes no shard. Documents are dealt by ranges of ids.
+    A null or empty text has the end id only. Rows that repeat an id stay apart, in the order of hashes of their texts,
+    by which an id of very many rows is dealt out too; a null id comes first. Other columns are not read; an empty table
+    writes no shard. Documents are dealt by ranges of ids.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, "rb") as f:  # an installed definition of a fixed size, read where the driver runs
         definition = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
-    files = ordered.mapInArrow(_shards(definition, end_id), "file binary")
+    hashed = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(F.asc_nulls_first("id"), F.asc("h"))
+    ordered = hashed.sortWithinPartitions(F.asc_nulls_first("id"), F.asc("h"), F.asc_nulls_first("text"))
+    files = ordered.select("id", "text").mapInArrow(_shards(definition, end_id, shard_bytes), "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content in batch.column(0):
-            shard, start = Shard(content.as_buffer()), 0
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            shard, start = Shard.of(content.as_buffer()), 0
             rows = []
             for key, ids in shard:
                 rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 start += len(ids)
             columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             place = [pa.array(np.full(len(rows), x, dtype=np.int64)) for x in (shard.partition, shard.number)]
-            yield pa.RecordBatch.from_arrays([*columns, *place], names=["id", "at", "n", "crc", "partition", "number"])
+            yield pa.RecordBatch.from_arrays([*columns, *place, pa.array([path.as_py()] * len(rows), pa.string())], names=["id", "at", "n", "crc", "partition", "number", "file"])
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each entry of the shards, as read back from them: kept beside them."""
+    listed = f"{path}-listed"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files.mapInArrow(_list, "id long, at long, n long, crc long, partition long, number long, file string").write.mode("overwrite").parquet(listed)
+    return spark.read.parquet(listed)
 
 
 def catalogue(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
     """What the shards hold, read back from them: id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``."""
     ship(spark)
-    listed = f"{path}-listed"
-    _files(spark, path).mapInArrow(_list, "id long, at long, n long, crc long, partition long, number long").write.parquet(listed)
-    rows = spark.read.parquet(listed)
+    rows = _listed(spark, path)
     shards = rows.groupBy("partition", "number").agg(F.sum("n").alias("ids"))
     within = Window.partitionBy("partition").orderBy("number")
     shards = shards.withColumn("before", F.sum("ids").over(within) - F.col("ids"))
@@ -304,19 +331,54 @@ def catalogue(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> Data
     return out.select(F.col("id").alias(id_col), (F.col("base") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """``file``, ``low``, ``high``, ``n_docs`` of each shard, beside the shards, from one reading of them."""
+    ship(spark)
+    _listed(spark, path).groupBy("file").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n_docs")).write.mode("overwrite").parquet(f"{path}-manifest")
+
+
+def _holding(spark: SparkSession, path: str, wanted: list[int]) -> list[str]:
+    """The files whose range has one of the ids, by the manifest."""
+    manifest = spark.read.parquet(f"{path}-manifest")
+    has = F.exists(F.lit(wanted), lambda x: (x >= F.col("low")) & (x <= F.col("high")))
+    return [r.file for r in manifest.where(has).select("file").collect()]  # few by the number of ids asked for
+
+
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The ids of the given documents: each shard's range and filter first, then one block for each."""
+    """The ids of the given documents, of which there are few: only the files that the manifest names are read, in tasks."""
     ship(spark)
     wanted = sorted(set(doc_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                shard = Shard(content.as_buffer())
+                shard = Shard.of(content.as_buffer())
                 hits = [(d, ids.astype(np.int64)) for d in wanted if shard.low <= d <= shard.high for ids in shard.get(key_of(d))]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(run, "doc_id long, ids array<long>")
+    files = _holding(spark, path, wanted) if wanted else []
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, "doc_id long, ids array<long>")
+
+
+def get(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of each row of one document: footer, index, filter and one block are read by their offsets, from here."""
+    jvm, found = spark.sparkContext._jvm, []
+    for name in _holding(spark, path, [doc_id]):
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        stream = system.open(file)
+
+        def read(at: int, n: int, stream=stream) -> bytes:
+            stream.seek(at)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)) if n else b""
+
+        try:
+            found += Shard(read, system.getFileStatus(file).getLen()).get(key_of(doc_id))
+        finally:
+            stream.close()
+    return found
 
 
 def roundtrip(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
