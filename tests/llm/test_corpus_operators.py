@@ -1,6 +1,7 @@
 """Each operator against a plainer version, and on odd tables."""
 
 import base64
+import gzip
 import hashlib
 import json
 import math
@@ -266,8 +267,35 @@ def test_arc_files(version):
     assert archives.timestamp("20010203040506") == "2001-02-03T04:05:06Z"
 
 
+def test_legacy_files_of_any_bytes_become_warc(spark, tmp_path):
+    """ARC files, plain and of gzip members, with Latin-1 and binary records; WARC files bounded in bytes."""
+    bodies = ["häßlich".encode("latin-1"), bytes(range(256)) * 50, b"HTTP/1.1 200 OK\r\nX: \xe9\r\n\r\n" + b"\xff\xfe\r\n\r\n\0", b"", b"x" * 5000]
+    records = [archives.ArcRecord(f"http://x/{i}", "1.2.3.4", "20010203040506", "image/x", b) for i, b in enumerate(bodies)]
+    plain = archives.write_arc(iter(records[:2]), 1)
+    (tmp_path / "a.arc").write_bytes(plain)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(archives.write_arc(iter(records[2:4]), 2)))
+    lead = archives.write_arc(iter([]), 1)
+    (tmp_path / "c.arc.gz").write_bytes(gzip.compress(lead) + gzip.compress(archives.write_arc(iter(records[4:]), 1)[len(lead) :]))
+    parts = archives.read_arc_files(spark, str(tmp_path / "*.arc*"))
+    shared = archives.first_of_payloads(parts.select("sha1", "bytes", "page", "url", "date"))
+    archives.write_warc(archives.with_revisits(parts, shared), str(tmp_path / "warc"), file_bytes=100)
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part-*")]
+    assert len(files) == 5 and all(len(list(archives.members(f))) == 1 for f in files)
+    blocks = {f["WARC-Target-URI"]: (b, f["WARC-Date"]) for data in files for f, b in archives.read_records(data)}
+    assert blocks == {r.url: (r.content, "2001-02-03T04:05:06Z") for r in records}
+    want = [b if not b.startswith(b"HTTP/") else b.split(b"\r\n\r\n", 1)[1] for b in bodies]
+    got = sorted((r.uri, r.payload_bytes, r.payload_digest, r.record_type) for r in archives.read_warc(spark, str(tmp_path / "warc")).collect())
+    assert got == [(f"http://x/{i}", len(b), archives.sha1(b), "response") for i, b in enumerate(want)]
+
+
+def test_a_member_ends_in_a_zero_byte():
+    for data in (b"", b"x" * ((1 << 24) + 5)):
+        packed = archives._member(data)
+        assert packed[-1] == 0 and b"".join(archives.members(packed)) == data
+
+
 def test_archive(spark):
-    rows = [(3, "http://a b", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "u", None), (5, "u", ""), (4, "u", "WARC/1.1\r\n\r\n\r\nx" * 3), (None, "u", "<p>same</p>"), (6, "u", "é中")]
+    rows = [(3, "http://a b", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "u", None), (5, "u", ""), (4, "u", "WARC/1.1\r\n\r\n\r\nx" * 3), (None, "u", "<p>same</p>"), (6, "u", "é中"), (7, "u", "<p>long</p>" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     got = sorted((tuple(r) for r in archives.archive(pages).collect()), key=str)
 

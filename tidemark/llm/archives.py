@@ -3,14 +3,17 @@
 An ARC file opens with a version block whose second line names the version and whose third names the fields of every
 record line: five of them in version 1, ten in version 2. Each record is such a line and as many bytes as it declares.
 The converter gives each record the identifier, timestamp, type and digests that a WARC capture of it would have.
+Payloads are bytes all the way; nothing of them need be UTF-8.
 
-WARC files are written by Spark's text writer, one record to a row, with the two line ends that close a record as the
-row separator; they lie wherever Spark can write. Reading follows declared lengths only.
+WARC files have one gzip member a record. A task puts members together up to a size, and Spark's text writer, which
+writes the bytes of a value as they are, makes a file of each, so files lie wherever Spark can write. Its line separator
+is the zero byte that closes the last member. Reading follows members and declared lengths only.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -21,18 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, ship
+from .shared import Workspace, join_by_key, scratch, ship
 
-SALTS = 8
 #: The field lines of both versions.
 FIELDS = {
     1: b"URL IP-address Archive-date Content-type Archive-length",
     2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-END = "\r\n\r\n"
-#: Records in one WARC file at most; a bound on what a reader holds at once.
-RECORDS = 4_000
+END = b"\r\n\r\n"
+#: Compressed bytes that a WARC file aims at; a larger record is alone in its file.
+FILE_BYTES = 16 << 20
+#: Pages that make an ARC file on their way, and the capture time they get unless another is given.
+ARC_PAGES, CAPTURED = 200, "20240101000000"
 PAGE, REFERS, LENGTH = "X-Page-Id", "X-Refers-To-Page-Id", "Content-Length"
+#: A gzip member of nothing. Members of 16 MiB or more don't end in a zero byte; this one follows them.
+_NOTHING = gzip.compress(b"", mtime=0)
 
 
 @dataclass
@@ -60,12 +66,36 @@ def write_arc(records: Iterator[ArcRecord], version: int, *, name: str = "pages.
     return b"".join(out)
 
 
+def _plain(data: bytes) -> bytes:
+    """The bytes of an archive, whatever gzip members it is made of."""
+    return b"".join(members(data)) if data[:2] == b"\x1f\x8b" else data
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """What each gzip member holds."""
+    rest = memoryview(data)
+    while len(rest):
+        d = zlib.decompressobj(31)
+        plain = d.decompress(rest)
+        if not d.eof:
+            raise ValueError("a gzip member that is cut short")
+        yield plain
+        rest = rest[len(rest) - len(d.unused_data) :]
+
+
+def _text(field: bytes) -> str:
+    try:
+        return field.decode()
+    except UnicodeDecodeError:
+        return field.decode("latin-1")
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records after the version block, by the fields that the block names."""
-    at, names = 0, None
+    """The records after the version block, by the fields that the block names; gzip members are undone first."""
+    data, at, names = _plain(data), 0, None
     while at < len(data):
         end = data.index(b"\n", at)
-        values = data[at:end].split(b" ")
+        values = data[at:end].rstrip(b"\r").split(b" ")
         length = int(values[-1])
         content = data[end + 1 : end + 1 + length]
         if len(content) != length:
@@ -81,7 +111,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             continue
         if len(values) != len(names):
             raise ValueError("an ARC record line with other fields than its version has")
-        f = {k.decode(): v.decode() for k, v in zip(names, values, strict=True)}
+        f = {k.decode(): _text(v) for k, v in zip(names, values, strict=True)}
         yield ArcRecord(f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], content)
 
 
@@ -96,99 +126,130 @@ def timestamp(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages to ARC bytes, both versions in turn, and those to the parts of WARC records."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            ids, urls, pages = (c.to_pylist() for c in part.columns)
-            version = 1 + (at // 200) % 2
-            captured = []
-            for i, u, html in zip(ids, urls, pages, strict=True):
-                body = (html or "").encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{LENGTH}: {len(body)}\r\n{PAGE}: {'' if i is None else i}\r\n\r\n"
-                captured.append(ArcRecord(_printable(u), "0.0.0.0", "20240101000000", "text/html", head.encode() + body))
-            rows = [_parts(r) for r in read_arc(write_arc(iter(captured), version))]
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+def record_id(url: str, date: str, page: int | None) -> str:
+    made = uuid.UUID(bytes=hashlib.sha1(f"{url} {date} {'' if page is None else page}".encode()).digest()[:16], version=5)
+    return f"<urn:uuid:{made}>"
 
 
-_SCHEMA = pa.schema([(n, pa.string()) for n in ("url", "date", "record_id", "head", "payload", "digest", "block_digest", "head_digest")] + [("page", pa.int64()), ("bytes", pa.int64())])
+_PARTS = pa.schema([("url", pa.string()), ("date", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("sha1", pa.string()), ("bytes", pa.int64()), ("page", pa.int64())])
+PARTS = "url string, date string, head binary, payload binary, sha1 string, bytes long, page long"
 
 
 def _parts(r: ArcRecord) -> dict:
-    head, _, payload = r.content.partition(b"\r\n\r\n") if r.content.startswith(b"HTTP/") else (b"", b"", r.content)
-    head += b"\r\n\r\n" if head else b""
-    page = next((x.split(":", 1)[1].strip() for x in head.decode().split("\r\n") if x.startswith(PAGE)), "")
-    made = uuid.UUID(bytes=hashlib.sha1(f"{r.url} {r.date} {page}".encode()).digest()[:16], version=5)
-    return {"url": r.url, "date": timestamp(r.date), "record_id": f"<urn:uuid:{made}>", "head": head.decode(), "payload": payload.decode(), "digest": sha1(payload), "block_digest": sha1(r.content), "head_digest": sha1(head), "page": int(page) if page else None, "bytes": len(payload)}
+    head, found, payload = r.content.partition(END) if r.content.startswith(b"HTTP/") else (b"", b"", r.content)
+    page = next((x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.startswith(PAGE.encode())), b"")
+    return {"url": r.url, "date": r.date, "head": head + found, "payload": payload, "sha1": hashlib.sha1(payload).hexdigest(), "bytes": len(payload), "page": int(page) if page else None}
+
+
+def convert(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = CAPTURED) -> DataFrame:
+    """The parts of a WARC record for each page, by way of ARC files of both versions in turn."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ARC_PAGES):
+                captured = []
+                for i, u, html in zip(*(c.to_pylist() for c in batch.slice(at, ARC_PAGES).columns), strict=True):
+                    body = (html or "").encode()
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{LENGTH}: {len(body)}\r\n{PAGE}: {'' if i is None else i}\r\n\r\n"
+                    captured.append(ArcRecord(_printable(u), "0.0.0.0", date, "text/html", head.encode() + body))
+                yield pa.RecordBatch.from_pylist([_parts(r) for r in read_arc(write_arc(iter(captured), 1 + at // ARC_PAGES % 2))], schema=_PARTS)
 
-def convert(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The parts of a WARC record for each page, by way of ARC."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_convert, "url string, date string, record_id string, head string, payload string, digest string, block_digest string, head_digest string, page long, bytes long")
+    return rows.mapInArrow(run, PARTS)
+
+
+def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """The parts of a WARC record for each record of the ARC files of a path, plain or gzip. A file is read by one task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for r in read_arc(content.as_py()):
+                    yield pa.RecordBatch.from_pylist([_parts(r)], schema=_PARTS)
 
-def with_revisits(parts: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """Adds ``refers``, ``refers_id``: the page with the same payload and the least id, where that is another page.
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PARTS)
+
+
+def first_of_payloads(rows: DataFrame, *, min_bytes: int = 0) -> DataFrame:
+    """``sha1``, ``bytes``, ``first`` (page, url, date), ``n`` of payloads that several rows (sha1, bytes, page, url, date)
+    have. No payload is read."""
+    known = rows.where((F.col("bytes") >= min_bytes) & F.col("page").isNotNull())
+    return known.groupBy("sha1", "bytes").agg(F.min(F.struct("page", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
-    Payloads that occur once need no partner; a payload of many pages is dealt out over salted keys.
+
+def with_revisits(parts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Adds ``first`` to parts of records: the page with the same payload and the least id, where that is another page.
+
+    ``shared`` is what ``first_of_payloads`` gives, written; where it is small Spark broadcasts it, and no payload moves.
     """
-    first = parts.where((F.col("bytes") >= min_bytes) & F.col("page").isNotNull()).groupBy("digest", "bytes").agg(F.min(F.struct("page", "record_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = first.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(shared, ["digest", "bytes", "salt"], "left").drop("salt", "n")
-    other = F.col("page").isNotNull() & (F.col("first.page") != F.col("page"))
-    return joined.withColumn("refers", F.when(other, F.col("first.page"))).withColumn("refers_id", F.when(other, F.col("first.record_id"))).drop("first")
+    joined = join_by_key(parts, shared, ["sha1", "bytes"], "page", how="left")
+    return joined.withColumn("first", F.when(F.col("page").isNotNull() & (F.col("first.page") != F.col("page")), F.col("first")))
 
 
-def _record(revisit: bool):
-    kind = "revisit" if revisit else "response"
-    block = F.col("head") if revisit else F.concat("head", "payload")
+def _record(r: dict) -> bytes:
+    first = r["first"]
+    block = r["head"] if first else r["head"] + r["payload"]
     fields = [
-        ("WARC-Type", F.lit(kind)),
-        ("WARC-Record-ID", F.col("record_id")),
-        ("WARC-Date", F.col("date")),
-        ("WARC-Target-URI", F.col("url")),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        ("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.col("head_digest" if revisit else "block_digest"))),
-        ("Content-Type", F.lit("application/http;msgtype=response")),
+        ("WARC-Type", "revisit" if first else "response"),
+        ("WARC-Record-ID", record_id(r["url"], r["date"], r["page"])),
+        ("WARC-Date", timestamp(r["date"])),
+        ("WARC-Target-URI", r["url"]),
+        ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(r['sha1'])).decode()}"),
+        ("WARC-Block-Digest", f"sha1:{sha1(block)}"),
+        ("Content-Type", "application/http;msgtype=response" if r["head"] else "application/octet-stream"),
     ]
-    if revisit:
-        fields += [("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.col("refers_id")), (REFERS, F.col("refers").cast("string"))]
-    fields.append((LENGTH, F.octet_length(block).cast("string")))
-    lines = [F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in fields]
-    return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), block)
+    if first:
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(_printable(first["url"]), first["date"], first["page"])), (REFERS, str(first["page"]))]
+    fields += [("X-Payload-Length", str(r["bytes"])), (LENGTH, str(len(block)))]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + END
+
 
+def _member(record: bytes) -> bytes:
+    out = gzip.compress(record, 4, mtime=0)
+    return out if out[-1] == 0 else out + _NOTHING
 
-def write_warc(parts: DataFrame, path: str, *, compression: str = "gzip", records: int = RECORDS) -> None:
-    text = F.when(F.col("refers").isNull(), _record(False)).otherwise(_record(True))
-    parts.select(text.alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records).text(path)
+
+def _gathered(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                held.append(_member(_record(batch.slice(at, 1).to_pylist()[0])))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["file"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["file"])
+
+    return run
+
+
+def write_warc(parts: DataFrame, path: str, *, file_bytes: int = FILE_BYTES) -> None:
+    ship(parts.sparkSession)
+    files = parts.select("url", "date", "head", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), "sha1", "bytes", "page", "first")
+    values = files.mapInArrow(_gathered(file_bytes), "file binary").select(F.col("file").cast("string").alias("value"))
+    values.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a WARC file, compressed or not."""
-    while data[:2] == b"\x1f\x8b":
-        plain, rest = [], data
-        while rest:
-            d = zlib.decompressobj(31)
-            plain.append(d.decompress(rest))
-            rest = d.unused_data
-        data = b"".join(plain)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        start, length = end + 4, int(fields[LENGTH])
-        yield fields, data[start : start + length]
-        at = start + length
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError("a WARC record of another length than it declares")
-        at += 4
+    """Header fields and block of each record of a WARC file, compressed or not; one gzip member is held at a time."""
+    for plain in members(data) if data[:2] == b"\x1f\x8b" else (data,):
+        at = 0
+        while at < len(plain):
+            end = plain.index(END, at)
+            lines = plain[at:end].decode().split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError("not a WARC record")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            start, length = end + 4, int(fields[LENGTH])
+            yield fields, plain[start : start + length]
+            at = start + length
+            if plain[at : at + 4] != END:
+                raise ValueError("a WARC record of another length than it declares")
+            at += 4
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +257,13 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
             rows = []
             for fields, block in read_records(content.as_py()):
-                head, _, payload = block.partition(b"\r\n\r\n")
-                inner = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if fields["WARC-Type"] == "response" and sha1(payload) != digest:
-                    raise ValueError("a payload that doesn't match its digest")
-                page = inner.get(PAGE, "").strip()
-                refers = fields.get(REFERS)
-                rows.append({"page": int(page) if page else None, "payload_bytes": int(inner[LENGTH]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": int(refers) if refers else None, "uri": fields["WARC-Target-URI"]})
+                head, payload = (block.split(END, 1) + [b""])[:2] if block.startswith(b"HTTP/") else (b"", block)
+                digest, revisit = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "revisit"
+                if not revisit and sha1(payload) != digest or f"sha1:{sha1(block)}" != fields["WARC-Block-Digest"]:
+                    raise ValueError("a payload or block that doesn't match its digest")
+                page = next((x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.startswith(PAGE.encode())), b"")
+                size = int(fields["X-Payload-Length"]) if revisit else len(payload)
+                rows.append({"page": int(page) if page else None, "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": int(fields[REFERS]) if revisit else None, "uri": fields["WARC-Target-URI"]})
             yield pa.RecordBatch.from_pylist(rows, schema=_LISTED)
 
 
@@ -217,7 +277,7 @@ def read_warc(spark: SparkSession, path: str, *, id_col: str = "page_id") -> Dat
     return files.mapInArrow(_list, "page long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string").withColumnRenamed("page", id_col)
 
 
-def archive(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def archive(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = CAPTURED) -> DataFrame:
     """Converts pages by way of ARC, writes WARC files to the shared folder and reads them back.
 
     - Null and empty html is an empty payload; all such pages share it. A null or empty URL is ``unknown:``.
@@ -226,8 +286,11 @@ def archive(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", ur
     - Payloads below ``min_bytes`` are responses. Other columns are not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    path = scratch(spark, "warc")
-    write_warc(with_revisits(convert(pages, id_col=id_col, url_col=url_col, html_col=html_col), min_bytes=min_bytes), path)
+    path, work = scratch(spark, "warc"), Workspace(spark, "archive")
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    named = pages.select(F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"), F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.lit(date).alias("date"))
+    shared = work.save(first_of_payloads(named, min_bytes=min_bytes), "shared")
+    write_warc(with_revisits(convert(pages, id_col=id_col, url_col=url_col, html_col=html_col, date=date), shared), path)
     return read_warc(spark, path, id_col=id_col)
 
 
