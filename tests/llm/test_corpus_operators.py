@@ -325,10 +325,16 @@ def test_sharding(spark, odd, none, clashing):
         assert sum(len(size[r.doc_id]) for r in rs) == rs[0].shard_bytes <= 2000
         parent = sum(len(t) for i, t in rows if f"{int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16):060b}".startswith(shard[:-1]))
         assert shard == "" or parent > 2000
+    table = sharding.directory(spark.createDataFrame(got))
+    slots = [x for r in table.collect() for x in range(r.first_slot, r.last_slot + 1)]
+    assert len(set(slots)) == len(slots) and 0.99 * 2 ** table.first().global_depth < len(slots) and max(slots) < 2 ** table.first().global_depth
+    keys = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
+    assert {r.doc_id: r.shard for r in sharding.shards_of(keys, table).collect()} == {r.doc_id: r.shard for r in got}
     hot = spark.createDataFrame([(1, "x" * 100)] * 50 + [(2, "y" * 5000)], "doc_id long, text string")
     got = sharding.assign(hot, byte_limit=1000).collect()
     assert len(got) == 51 and all(r.fits for r in got if r.doc_id == 1) and [r.fits for r in got if r.doc_id == 2] == [False]
-    assert sharding.assign(odd, byte_limit=1000).count() == 11
+    got = {(r.doc_id, r.shard_bytes, r.fits) for r in sharding.assign(odd, byte_limit=1000).collect()}
+    assert {r[0] for r in got if not r[2]} == {4, 5} and all(r[1] <= 1000 for r in got if r[2]) and len({r[0] for r in got}) == 9
     assert sharding.assign(none).count() == 0 and sharding.assign(clashing).count() == 6
 
 
