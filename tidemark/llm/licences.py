@@ -112,13 +112,15 @@ SPDX = tuple(f"{x}{y}" for x in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "L
 APPENDIX, SHORT = r"(?im)^.*\bEND OF TERMS AND CONDITIONS\b.*$|^Exhibit A -", 5_000
 
 
-def canonical(text: Column) -> Column:
-    """Spaces around a joined string of lines keep ^ and $ at line ends without a flag that differs between engines."""
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with its line ends; no rule reaches over a line end, so each line is that of the line alone.
+
+    Spaces around a joined string of lines keep ^ and $ at line ends without a flag that differs between engines."""
     out = F.regexp_replace(text, "(?m)" + COPYRIGHT, F.lit(""))
     out = F.lower(out)
     for pattern, word in SPELLINGS:
         out = F.regexp_replace(out, pattern, F.lit(word))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", F.lit(" ")))
+    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", F.lit(" "))
 
 
 def canonical_text(text: str) -> str:
@@ -185,14 +187,16 @@ def scan(docs: DataFrame, *, known: dict[str, tuple[str, ...]] | None = None, id
     """
     spark = docs.sparkSession
     digests = known_digests(known)
-    longest = max(len(canonical_text(t)) for ts in (known or KNOWN).values() for t in ts)
+    lengths = sorted({len(canonical_text(t)) for ts in (known or KNOWN).values() for t in ts})
     table = spark.createDataFrame(sorted(digests.items()), "canonical_sha256 string, license string")
     lookup = F.from_json(F.lit(_json(digests)), "map<string,string>")
-    hashes = F.filter(F.transform("lines", lambda x: F.sha2(x, 256)), lambda x: x.isin(sorted(digests)))  # a hash set; few get to the map
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
-    rows = rows.select("id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), lines.alias("lines"), F.regexp_count("text", F.lit("(?m)" + COPYRIGHT)).cast("long").alias("n_copyright"))
-    rows = rows.withColumn("found", F.transform(hashes, lambda x: F.try_element_at(lookup, x)))
+    rows = rows.select("id", canonical_lines(F.col("text")).alias("form"), F.regexp_count("text", F.lit("(?m)" + COPYRIGHT)).cast("long").alias("n_copyright"))
+    whole = F.trim(F.regexp_replace("form", r"[ \n]+", F.lit(" ")))
+    # Hash sets of lengths and digests: few lines are hashed, and few of those get to the map.
+    lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(lengths))
+    hashes = F.filter(F.transform(lines, lambda x: F.sha2(x, 256)), lambda x: x.isin(sorted(digests)))
+    rows = rows.select("id", F.sha2(whole, 256).alias("canonical_sha256"), F.transform(hashes, lambda x: F.try_element_at(lookup, x)).alias("found"), "n_copyright")
     rows = rows.join(F.broadcast(table), "canonical_sha256", "left")
     return rows.select(F.col("id").alias(id_col), "canonical_sha256", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"), "n_copyright")
 
