@@ -648,6 +648,15 @@ def test_toxicity(spark, odd, none, clashing):
     assert unlearnt.terms == [] and toxicity.score(odd, unlearnt).count() == 11
 
 
+def test_words_of_any_length_are_matched():
+    term = "неприятность" * 9
+    lexicon = toxicity.Lexicon([term], [3.0], reporting=frozenset({"told"}), addressing=frozenset({"thee"}))
+    reader = toxicity.Reader(lexicon)
+    part = next(text.slices(toxicity.lowered(pa.array([f"thee {term}ы", f"told {term}", f"x {term}яяя", "q" * 100_000]))))[1]
+    x = reader.features(part)
+    assert x[0, 2] > 0 and x[0, 5] > 0 and x[1, 4] > 0 and not x[2:].any()
+
+
 def test_terms_of_a_set_phrase_are_learnt_and_words_of_copies_are_not(spark):
     rnd = random.Random(11)
     docs, labels = labelled_table(spark, rnd, lambda t: t.replace(" ", " such zzvermin ", 1), column="toxic", value=1)

@@ -34,6 +34,7 @@ COPY_SHINGLE, COPY_NUM, COPY_DEN = 3, 1, 2
 WINDOW, MARKS = 8, 80
 #: Words whose verdict a worker remembers.
 REMEMBERED = 400_000
+#: Words of reporting and of addressing someone, in four languages; ``train`` takes others.
 REPORTING = frozenset("said says say called calls quote quoted wrote writes word term dit écrit mot sagte sagt schrieb wort dijo dice escribió palabra".split())
 ADDRESSING = frozenset("you your youre u du dich dein dir ihr tu te toi ton vous votre tú ti usted ustedes vosotros".split())
 #: A word as the readers take it: runs of ASCII letters and digits and of characters beyond ASCII that aren't punctuation.
@@ -50,6 +51,8 @@ class Lexicon:
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     spared: frozenset[str] = frozenset()
+    reporting: frozenset[str] = REPORTING
+    addressing: frozenset[str] = ADDRESSING
     intercept: float = -2.0
     coefficients: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
 
@@ -61,6 +64,8 @@ class Reader:
         self.lexicon, self.automaton = lexicon, Automaton(lexicon.terms)
         self.weight = dict(zip(lexicon.terms, lexicon.weights, strict=True))
         self.known: dict[int, tuple[int, int] | None] = {}
+        #: No spelling of a term has more bytes: two characters more than the longest term, of four bytes each.
+        self.most = 4 * (max(map(len, lexicon.terms), default=0) + 2)
 
     def match(self, word: str) -> tuple[int, int] | None:
         found = self.automaton.match(word)
@@ -83,7 +88,7 @@ class Reader:
                 verdict = known[h]
             else:
                 word = raw[w.start[at[i]] : w.end[at[i]]]
-                verdict = known[h] = self.match(word.decode("utf-8", "replace")) if len(word) <= 80 else None
+                verdict = known[h] = self.match(word.decode("utf-8", "replace")) if len(word) <= self.most else None
             if verdict:
                 hit[i], verdicts[i] = True, verdict
         places = np.flatnonzero(hit[back])
@@ -99,15 +104,14 @@ class Reader:
             out[doc] = (max(exact, default=0) / 5, math.log1p(len(exact)), max(near, default=0) / 5, math.log1p(len(near)), math.log1p(sum(q for *_, q, _ in hits)), math.log1p(sum(a and not q for *_, q, a in hits)), 10 * len(hits) / (w.first[doc + 1] - w.first[doc]))
         return out
 
-    @staticmethod
-    def _context(raw: bytes, texts: text.Texts, w: text.Words, p: int, doc: int) -> tuple[bool, bool]:
+    def _context(self, raw: bytes, texts: text.Texts, w: text.Words, p: int, doc: int) -> tuple[bool, bool]:
         a, b = max(w.first[doc], p - WINDOW), min(w.first[doc + 1], p + WINDOW + 1)
         around = {raw[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in range(a, b) if i != p}
         left = raw[max(texts.offsets[doc], w.start[p] - MARKS) : w.start[p]]
         right = raw[w.end[p] : min(texts.offsets[doc + 1], w.end[p] + MARKS)]
         marked = (left.count(b'"') % 2 == 1 and b'"' in right) or any(left.rfind(o) > left.rfind(c) and c in right for o, c in zip(_OPEN, _CLOSE, strict=True))
-        addressed = bool(around & ADDRESSING)
-        return marked or (bool(around & REPORTING) and not addressed), addressed
+        addressed = bool(around & self.lexicon.addressing)
+        return marked or (bool(around & self.lexicon.reporting) and not addressed), addressed
 
     def score(self, texts: text.Texts) -> np.ndarray:
         y = self.lexicon.intercept + self.features(texts) @ np.asarray(self.lexicon.coefficients)
@@ -138,7 +142,7 @@ def _votes(drawn: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     groups = near_duplicates(drawn, id_col="row", shingle=COPY_SHINGLE, num=COPY_NUM, den=COPY_DEN).select(F.col("row"), F.col("component_id").alias("class"))
     rows = drawn.join(groups, "row")
     totals = rows.select("label", "class").distinct().agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    words = rows.select("label", "class", F.explode(F.array_distinct(found)).alias("word")).where(F.octet_length("word") <= 80)
+    words = rows.select("label", "class", F.explode(F.array_distinct(found)).alias("word"))
     by_class = words.groupBy("word", "class").agg(F.max("label").alias("any1"), F.max(1 - F.col("label")).alias("any0"))
     votes = by_class.groupBy("word").agg(F.sum("any1").cast("long").alias("n1"), F.sum("any0").cast("long").alias("n0"))
     return votes.persist(), tuple(totals)
@@ -161,7 +165,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(beta[0]), beta[1:].tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int = 2, at_most: int = AT_MOST, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int = 2, at_most: int = AT_MOST, id_col: str = "doc_id", text_col: str = "text", reporting: frozenset[str] = REPORTING, addressing: frozenset[str] = ADDRESSING) -> Lexicon:
     """Learns a lexicon and the weights of hits on about ``at_most`` labelled rows at most, without held-out ones."""
     spark = docs.sparkSession
     ship(spark)
@@ -170,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int
     votes, classes = _votes(drawn)
     tried = votes.where("n1 + n0 >= 3").count()
     table = votes.where("n1 >= 3 AND n1 > n0").withColumn("tried", F.lit(tried).cast("long")).toArrow()
-    lexicon = Lexicon(*choose_terms(table, *classes))
+    lexicon = Lexicon(*choose_terms(table, *classes), reporting=reporting, addressing=addressing)
     if lexicon.terms:
         shared = spark.sparkContext.broadcast(lexicon)  # bounded by the sample
 
