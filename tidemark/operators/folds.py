@@ -1,7 +1,9 @@
 """Rules that depend on the order of a key's events, as deterministic batch queries over an event time.
 
-Anchored windows, lockouts, memberships and receivers are folds over a key's events. They run over sorted
-partitions with a state of a few numbers, batch by batch; the same step functions serve the streaming forms. What has a closed form is a
+Anchored windows and lockouts need a key's times in order only to tell where windows open: that is a jump from opening to
+opening over distinct times. The events of a window are then numbered on their own, so a key of very many events is in as
+many tasks as it has windows. Memberships and receivers are folds over a key's events: they run over sorted partitions
+with a state of a few numbers, batch by batch. The step functions serve the streaming forms. What has a closed form is a
 plain aggregate.
 """
 
@@ -11,6 +13,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,23 +91,72 @@ def _timed(events: DataFrame, at: str) -> DataFrame:
     return events.withColumn("_ms", F.unix_millis(F.col(at).cast("timestamp")))
 
 
+def _free(rows: DataFrame, *names: str) -> None:
+    """New columns must not hide columns that are there."""
+    taken = [n for n in names if n.lower() in {c.lower() for c in rows.columns}]
+    if taken:
+        raise ValueError(f"columns of the input have names that the result needs: {', '.join(taken)}")
+
+
+def _openings(rows: DataFrame, keys: list[str], length_ms: int) -> DataFrame:
+    """``_opened`` of each distinct time (keys, _ms): when its window opened. From one opening the next is found by bisection."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = opened = None
+        for pdf in batches:
+            times, out = pdf["_ms"].to_numpy(), np.empty(len(pdf), dtype=np.int64)
+            names = list(pdf[keys].itertuples(index=False, name=None)) if len(pdf) else []
+            change = np.flatnonzero((pdf[keys].shift() != pdf[keys]).any(axis=1) & ~(pdf[keys].shift().isna() & pdf[keys].isna()).all(axis=1)) if len(pdf) else []
+            bounds = sorted({0, *change, len(pdf)})
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                key = tuple(None if pd.isna(k) else k for k in names[a])
+                if key != here:
+                    here, opened = key, None
+                while a < b:
+                    if opened is None or times[a] - opened > length_ms:
+                        opened = int(times[a])
+                    end = a + int(np.searchsorted(times[a:b], opened + length_ms, side="right"))
+                    out[a:end], a = opened, end
+            pdf["_opened"] = out
+            yield pdf
+
+    ship(rows.sparkSession)
+    distinct = rows.select(*keys, "_ms").distinct()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
+    return _in_order(distinct, keys, ["_ms"]).mapInPandas(run, f"{kinds}, _opened long")
+
+
+def anchored(events: DataFrame, keys: list[str], *, at: str, order: list[str], length_ms: int) -> DataFrame:
+    """Adds ``_n``: an event's number in its window, which opens at a key's first event and anew at the first event later
+    than its length. ``order`` breaks ties of time totally. A null key is a key; an event without a time is left out."""
+    timed = _timed(events, at).where("_ms IS NOT NULL")
+    opened = _openings(timed, keys, length_ms).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_ms").alias("_at"), "_opened")
+    same = [timed[k].eqNullSafe(opened[f"_key{i}"]) for i, k in enumerate(keys)]
+    placed = timed.join(opened, [*same, timed["_ms"] == opened["_at"]]).drop(*[f"_key{i}" for i in range(len(keys))], "_at")
+    within = Window.partitionBy(*keys, "_opened").orderBy("_ms", *order)
+    return placed.withColumn("_n", F.row_number().over(within).cast("long")).drop("_ms", "_opened")
+
+
 def rate_limit(events: DataFrame, keys: list[str], *, at: str = "ts", order: list[str], most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms) -> DataFrame:
-    """Adds ``n`` (the event's number in its window) and ``over``. ``order`` breaks ties of time totally."""
-    return _fold(_timed(events, at), keys, ["_ms", *order], ["_ms"], "n long, over boolean", lambda: AnchoredWindow(most, length_ms), lambda s, ms: s.step(ms))
+    """Adds ``n`` (the event's number in its window) and ``over``."""
+    _free(events, "n", "over")
+    return anchored(events, keys, at=at, order=order, length_ms=length_ms).withColumnRenamed("_n", "n").withColumn("over", F.col("n") > most)
 
 
 def http_limits(requests: DataFrame, *, order: list[str], limits: dict[str, int] = HTTP_LIMITS, length_ms: int = LIMITS.http_window_ms) -> DataFrame:
     """Adds ``n`` and ``over`` to requests (route, ip, ts, status); for passwords only failures count."""
-    parts = [rate_limit(requests.where(F.col("route") == r).where((F.col("status") >= 400) if r == "password" else F.lit(True)), ["route", "ip"], order=order, most=n, length_ms=length_ms) for r, n in limits.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    _free(requests, "n", "over")
+    counted = requests.where(F.col("route").isin(*limits) & ((F.col("route") != "password") | (F.col("status") >= 400)))
+    most = F.create_map(*[x for r, n in limits.items() for x in (F.lit(r), F.lit(n))])[F.col("route")]
+    return anchored(counted, ["route", "ip"], at="ts", order=order, length_ms=length_ms).withColumnRenamed("_n", "n").withColumn("over", F.col("n") > most)
 
 
 def lockout(failures: DataFrame, keys: list[str], *, at: str = "ts", order: list[str], limit: int = LIMITS.lockout_failures, length_ms: int = LIMITS.lockout_window_ms) -> DataFrame:
-    """Adds ``blocked`` and ``failures`` to attempts with a wrong password."""
-    return _fold(_timed(failures, at), keys, ["_ms", *order], ["_ms"], "blocked boolean, failures long", lambda: Lockout(limit, length_ms), lambda s, ms: s.step(ms))
+    """Adds ``blocked`` and ``failures`` to attempts with a wrong password: in a window from the first, those after
+    ``limit`` are blocked and count no more."""
+    _free(failures, "blocked", "failures")
+    out = anchored(failures, keys, at=at, order=order, length_ms=length_ms)
+    return out.withColumn("blocked", F.col("_n") > limit).withColumn("failures", F.least("_n", F.lit(limit).cast("long"))).drop("_n")
 
 
 @dataclass
@@ -143,6 +195,8 @@ class Membership:
 
 def membership(events: DataFrame, *, key: str = "code", at: str = "ts", order: list[str], most: int = LIMITS.recipients) -> DataFrame:
     """Adds ``outcome`` and ``n_recipients`` after each event (code, ts, kind join/leave, role, peer)."""
+    _free(events, "outcome", "n_recipients")
+
     def told(state: Membership, kind: str, role: str, peer: str) -> tuple[str, int]:
         return state.step(kind, role, peer), len(state.recipients)
 
@@ -256,11 +310,14 @@ def flush_times(candidates: DataFrame, ready: DataFrame, key: str) -> DataFrame:
     return candidates.join(first, key, "left").withColumn("applied_at", F.when(F.col("ready_at").isNotNull(), F.greatest("ts", "ready_at"))).drop("ready_at")
 
 
-def reconnects(connections: DataFrame, key: str, *, at: str = "ts", attempts: int = LIMITS.reconnect_attempts, base_ms: int = LIMITS.reconnect_base_ms, most_ms: int = LIMITS.reconnect_max_ms) -> DataFrame:
-    """Adds ``attempt``, ``delay_ms`` and ``gave_up`` to events (key, ts, kind open/lost): the count restarts on opening."""
-    upto = Window.partitionBy(key).orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)
+def reconnects(connections: DataFrame, key: str, *, at: str = "ts", attempts: int = LIMITS.reconnect_attempts, base_ms: int = LIMITS.reconnect_base_ms, most_ms: int = LIMITS.reconnect_max_ms, order: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """Adds ``attempt``, ``delay_ms`` and ``gave_up`` to events (key, ts, kind open/lost): the count restarts on opening.
+
+    ``order`` breaks ties of time; it must do so totally for results to be the same on every run."""
+    _free(connections, "attempt", "delay_ms", "gave_up")
+    upto = Window.partitionBy(key).orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
     runs = connections.withColumn("_run", F.sum(F.when(F.col("kind") == "open", 1).otherwise(0)).over(upto))
-    within = Window.partitionBy(key, "_run").orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(key, "_run").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
     out = runs.withColumn("attempt", F.sum(F.when(F.col("kind") == "lost", 1).otherwise(0)).over(within))
     delay = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(float(most_ms))).cast("bigint")
     lost = F.col("kind") == "lost"
@@ -280,6 +337,32 @@ def expiry_timers(updates: DataFrame, as_of: Column) -> DataFrame:
     return last.withColumn("fires_at", F.greatest("expires_at", as_of))
 
 
+def startup_recovery(sessions: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """What a restart does with stored sessions (code, expires_at): those to delete, and ``fires_at`` of those armed again."""
+    over = F.col("expires_at") <= as_of
+    return sessions.where(over), sessions.where(~over).select("code", F.col("expires_at").alias("fires_at"))
+
+
+def ever_joined(events: DataFrame, key: str = "code") -> DataFrame:
+    """How many recipients ever joined each session, whether or not they left: its ``ready`` events, repeats included."""
+    return events.where("type = 'ready'").groupBy(key).agg(F.count(F.lit(1)).alias("joined"))
+
+
+def sent_when(chunks: DataFrame, drains: DataFrame, key: str, *, seq: str = "seq", size: str = "byte_len", limit: int = LIMITS.buffer_bytes) -> DataFrame:
+    """Back-pressure of a channel that empties its buffer whenever it drains: adds ``flight``, the number of the drain before
+    which a chunk is sent, and ``waits``, whether a chunk finds the buffer above its limit.
+
+    ``drains`` (key, after_seq) tells after which chunk the buffer was found empty.
+    """
+    _free(chunks, "flight", "waits")
+    marks = drains.select(key, F.col("after_seq").alias(seq), F.lit(1).alias("_drain"))
+    joined = chunks.join(marks.groupBy(key, seq).agg(F.max("_drain").alias("_drain")), [key, seq], "left")
+    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    flown = joined.withColumn("flight", F.coalesce(F.sum(F.coalesce("_drain", F.lit(0))).over(before), F.lit(0)))
+    held = Window.partitionBy(key, "flight").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    return flown.withColumn("waits", F.coalesce(F.sum(size).over(held), F.lit(0)) > limit).drop("_drain")
+
+
 def channel_state(events: DataFrame, key: str, *, seq: str = "seq") -> DataFrame:
     """The last state of each channel; failed and disconnected connections count as errors."""
     state = F.when(F.col("state").isin("failed", "disconnected"), F.lit("error")).otherwise(F.col("state"))

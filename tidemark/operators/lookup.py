@@ -137,10 +137,16 @@ def suppress_duplicates(chosen: DataFrame, selection: DataFrame, keys: list[str]
 
 
 def attach(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows with new values for a key where there are any."""
-    renamed = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """Rows with the new values of a key where there is an update for it; a new value may be null."""
+    renamed = updates.select(key, F.struct(*columns).alias("_new"))
     joined = rows.join(renamed, key, "left")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    new = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+    return joined.select(*[new(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def peers(connections: DataFrame, asked: DataFrame) -> DataFrame:
+    """The connection (peer_id, ...) of each peer asked for; peers without one are left out."""
+    return asked.join(connections, "peer_id")
 
 
 def route_frames(frames: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round
 from ..limits import LIMITS
+from ..shipping import ship
+
+#: Places in a key's order, and bytes of its stream, that a task sums or attributes by itself.
+PLACES, SPAN = 1 << 16, 64 << 20
 
 
 def chunk_count(size: Column, chunk_bytes: int = LIMITS.chunk_bytes) -> Column:
@@ -27,10 +34,25 @@ def split(rows: DataFrame, data: str = "data", *, chunk_bytes: int = LIMITS.chun
 
 
 def reassemble(chunks: DataFrame, keys: list[str], *, data: str = "data", seq: str = "seq") -> DataFrame:
-    """The chunks of each key put together in order, as binary."""
-    ordered = F.array_sort(F.collect_list(F.struct(seq, data)))
-    hexed = F.array_join(F.transform(ordered, lambda c: F.hex(c[data])), "")
-    return chunks.groupBy(*keys).agg(F.unhex(hexed).alias(data), F.count(F.lit(1)).alias("chunks"))
+    """The chunks of each key put together in order, as binary; a key's bytes are one value."""
+    joined = F.expr(f"listagg(`{data}`) WITHIN GROUP (ORDER BY `{seq}`)")
+    return chunks.groupBy(*keys).agg(joined.alias(data), F.count(F.lit(1)).alias("chunks"))
+
+
+def running(rows: DataFrame, key: str, order: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums over each key's rows in the order of a whole number, which orders them totally.
+
+    A key's rows are summed in runs of places, and the sums of earlier runs are added: a key of very many rows is in many
+    tasks, and only one row of each run is looked at together.
+    """
+    placed = rows.withColumn("_run", F.floor(F.col(order) / PLACES))
+    names = {name: f"_before_{i}" for i, name in enumerate(sums)}
+    runs = placed.groupBy(key, "_run").agg(*[F.sum(v).alias(names[n]) for n, v in sums.items()])
+    earlier = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col(key).alias("_key"), F.col("_run").alias("_same"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in names.values()])
+    out = placed.join(runs, placed[key].eqNullSafe(runs["_key"]) & placed["_run"].eqNullSafe(runs["_same"])).drop("_key", "_same")
+    within = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumns({n: F.col(names[n]) + F.sum(v).over(within) for n, v in sums.items()}).drop("_run", *names.values())
 
 
 def progress(chunks: DataFrame, totals_: DataFrame, key: str, *, seq: str = "seq", size: str = "byte_len", at: str | None = None, started: str | None = None) -> DataFrame:
@@ -39,8 +61,7 @@ def progress(chunks: DataFrame, totals_: DataFrame, key: str, *, seq: str = "seq
     ``started`` is a column of ``totals_``: before the first chunk for a sender, the arrival of the list of files for a
     receiver. ``seq`` must order a transfer's chunks totally.
     """
-    upto = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    out = chunks.join(totals_, key).withColumn("bytes_done", F.sum(size).over(upto)).withColumn("chunks_done", F.count(F.lit(1)).over(upto))
+    out = running(chunks, key, seq, {"bytes_done": F.col(size), "chunks_done": F.lit(1)}).join(totals_, key)
     share = js_round(F.col("bytes_done") / F.col("bytes_total") * 100).cast("bigint")
     out = out.withColumn("percent", F.when(F.col("bytes_total") > 0, share).otherwise(F.lit(100).cast("bigint")))
     if at:
@@ -52,9 +73,7 @@ def progress(chunks: DataFrame, totals_: DataFrame, key: str, *, seq: str = "seq
 
 def sender_files(files: DataFrame, key: str, *, position: str = "file_index", size: str = "size") -> DataFrame:
     """The range of bytes that each file has in its transfer."""
-    upto = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(size).over(upto)
-    return files.withColumn("end", end).withColumn("start", F.col("end") - F.col(size))
+    return running(files, key, position, {"end": F.col(size)}).withColumn("start", F.col("end") - F.col(size))
 
 
 def attribute(chunks: DataFrame, files: DataFrame, key: str, *, mode: str = "sender", seq: str = "seq", size: str = "byte_len") -> DataFrame:
@@ -63,26 +82,46 @@ def attribute(chunks: DataFrame, files: DataFrame, key: str, *, mode: str = "sen
     "sender": chunks are cut at file ends, and a chunk belongs to the file whose bytes it has. "receiver": the place
     moves on after a chunk that fills its file, so an empty file takes the chunk that follows it.
     """
-    if mode == "sender":
-        upto = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-        placed = chunks.withColumn("_from", F.sum(size).over(upto) - F.col(size))
-        ranges = sender_files(files, key).select(key, "file_index", "start", "end").where("end > start")
-        within = (F.col("_from") >= F.col("start")) & (F.col("_from") < F.col("end"))
-        return placed.join(ranges, key).where(within).drop("_from", "start", "end")
-    sizes = files.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("file_index", "size"))), lambda f: f["size"]).alias("_sizes"))
-    ordered = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(size).alias("byte_len")))).alias("_chunks"))
-    start = F.struct(F.lit(0).alias("file"), F.lit(0).cast("bigint").alias("bytes"), F.array().cast("array<struct<seq:bigint,byte_len:bigint,file_index:int>>").alias("out"))
-
-    def step(a, c, sizes_col):
-        inside = a["file"] < F.size(sizes_col)
-        full = a["bytes"] + c["byte_len"] >= F.coalesce(F.get(sizes_col, a["file"]), F.lit(0))
-        out = F.when(inside, F.array_append(a["out"], F.struct(c["seq"].cast("bigint").alias("seq"), c["byte_len"].cast("bigint").alias("byte_len"), a["file"].alias("file_index")))).otherwise(a["out"])
-        file = F.when(inside & full, a["file"] + 1).otherwise(a["file"])
-        bytes_ = F.when(inside & full, F.lit(0).cast("bigint")).when(inside, a["bytes"] + c["byte_len"]).otherwise(a["bytes"])
-        return F.struct(file.alias("file"), bytes_.alias("bytes"), out.alias("out"))
-
-    folded = ordered.join(sizes, key).withColumn("_out", F.aggregate("_chunks", start, lambda a, c: step(a, c, F.col("_sizes")), lambda a: a["out"]))
-    return folded.select(key, F.explode("_out").alias("_c")).select(key, F.col("_c.seq").alias(seq), F.col("_c.byte_len").alias(size), F.col("_c.file_index").alias("file_index"))
+    if mode == "receiver":
+        return _received(chunks, files, key, seq, size)
+    # A chunk's file is the last that begins before it: one window over both, for each span of a transfer's bytes.
+    placed = running(chunks, key, seq, {"_end": F.col(size)}).withColumn("_from", F.col("_end") - F.col(size)).drop("_end")
+    placed = placed.withColumn("_span", F.floor(F.col("_from") / SPAN)).withColumn("_file", F.lit(None).cast(f"struct<file_index:{files.schema['file_index'].dataType.simpleString()},end:bigint>"))
+    ranges = sender_files(files, key).where("end > start")
+    spans = ranges.withColumn("_span", F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.col("end") - 1) / SPAN))))
+    begins = spans.select(key, "_span", F.greatest("start", F.col("_span") * SPAN).alias("_from"), F.struct("file_index", F.col("end").cast("bigint").alias("end")).alias("_file"), F.lit(True).alias("_start"))
+    both = placed.unionByName(begins, allowMissingColumns=True)
+    upto = Window.partitionBy(key, "_span").orderBy("_from", F.col("_start").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("_file", F.last("_file", ignorenulls=True).over(upto)).where(F.col("_start").isNull() & (F.col("_from") < F.col("_file.end")))
+    return told.withColumn("file_index", F.col("_file.file_index")).drop("_from", "_span", "_file", "_start")
+
+
+def _received(chunks: DataFrame, files: DataFrame, key: str, seq: str, size: str) -> DataFrame:
+    """A transfer's files and then its chunks in order, as a stream: what is held are the sizes of its files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, sizes, file, done = None, [], 0, 0
+        for pdf in batches:
+            out = []
+            for k, is_chunk, place, n in pdf[["_key", "_chunk", "_place", "_size"]].itertuples(index=False, name=None):
+                if k != here:
+                    here, sizes, file, done = k, [], 0, 0
+                if not is_chunk:
+                    sizes.append(n)
+                elif file < len(sizes):
+                    out.append((k, place, n, file))
+                    done += n
+                    if done >= sizes[file]:
+                        file, done = file + 1, 0
+            yield pd.DataFrame(out, columns=["_key", "_place", "_size", "_file"])
+
+    ship(chunks.sparkSession)
+    listed = files.select(F.col(key).alias("_key"), F.lit(False).alias("_chunk"), F.col("file_index").cast("long").alias("_place"), F.col("size").cast("long").alias("_size"))
+    both = listed.unionByName(chunks.select(F.col(key).alias("_key"), F.lit(True).alias("_chunk"), F.col(seq).cast("long").alias("_place"), F.col(size).cast("long").alias("_size")))
+    kind = chunks.schema[key].dataType.simpleString()
+    ordered = both.where("_key IS NOT NULL").repartition("_key").sortWithinPartitions("_key", "_chunk", "_place")
+    told = ordered.mapInPandas(run, f"_key {kind}, _place long, _size long, _file int")
+    return told.select(F.col("_key").alias(key), F.col("_place").alias(seq), F.col("_size").alias(size), F.col("_file").alias("file_index"))
 
 
 def file_progress(attributed: DataFrame, key: str, *, seq: str = "seq", size: str = "byte_len") -> DataFrame:
