@@ -134,6 +134,26 @@ def backoff_ms(attempt: Column, *, base: int = LIMITS.reconnect_base_ms, most: i
     return F.when(attempt < attempts, F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(float(most))).cast("bigint"))
 
 
+def fraction(by: Column) -> Column:
+    """A number in [0, 1) that looks random but depends on a value alone, so a retried task draws it again."""
+    return F.conv(F.substring(F.md5(by.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+
+
+def jittered_backoff_ms(attempt: Column, by: Column, *, jitter_ms: int = 500, base: int = LIMITS.reconnect_base_ms, most: int = LIMITS.reconnect_max_ms, attempts: int = LIMITS.reconnect_attempts) -> Column:
+    """The delay before a reconnect with its jitter, drawn by a value of the row."""
+    return js_round(backoff_ms(attempt, base=base, most=most, attempts=attempts) + fraction(by) * jitter_ms).cast("bigint")
+
+
+def response_delay_ms(known: Column, by: Column, *, low: int = 500, high: int = 1500, unknown: int = 800) -> Column:
+    """How long an answer about a code is held back: a drawn time, or a fixed one if there is no such code."""
+    return F.when(known, F.floor(fraction(by) * (high - low)) + low).otherwise(F.lit(unknown)).cast("bigint")
+
+
+def elapsed_ms(since: Column, until: Column) -> Column:
+    """Latency or uptime between two times."""
+    return F.unix_millis(until) - F.unix_millis(since)
+
+
 def remaining_ms(expires_at: Column, as_of: Column) -> Column:
     return F.greatest(F.unix_millis(expires_at) - F.unix_millis(as_of), F.lit(0))
 

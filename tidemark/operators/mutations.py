@@ -7,14 +7,34 @@ from pyspark.sql import functions as F
 
 
 def insert_sessions(stored: DataFrame, new: DataFrame, live: DataFrame | None = None) -> DataFrame:
-    """The rows of ``new`` whose code isn't taken, one for each code (the first created)."""
+    """The rows of ``new`` whose code isn't taken, one for each code (the first created; ties by the other columns in order)."""
     taken = stored.select("code") if live is None else stored.select("code").unionByName(live.select("code"))
     free = new.join(taken, "code", "left_anti")
     others = [F.col(c) for c in free.columns if c != "code"]
-    first = free.groupBy("code").agg(F.min_by(F.struct(*others), F.struct("created_at", F.xxhash64("text", "password"))).alias("row"))
+    tied = [c for c in others_of(free) if free.schema[c].dataType.typeName() not in ("map", "variant")]
+    first = free.groupBy("code").agg(F.min_by(F.struct(*others), F.struct("created_at", *tied)).alias("row"))
     return first.select("code", "row.*").select(*free.columns)
 
 
+def others_of(rows: DataFrame) -> list[str]:
+    """The columns that order rows of one code and one time: all that can be compared."""
+    return [c for c in rows.columns if c not in ("code", "created_at")]
+
+
+def insert_with_retries(stored: DataFrame, new: DataFrame, candidates: str, *, live: DataFrame | None = None, attempts: int = 5) -> DataFrame:
+    """The rows of ``new`` (with ``created_at`` and a key ``row``) under the first of their candidate codes that is free when
+    they try it, in so many rounds at most; rows that never find one are left out."""
+    taken = stored.select("code") if live is None else stored.select("code").unionByName(live.select("code"))
+    left, placed = new, None
+    for k in range(attempts):
+        trying = left.where(F.size(candidates) > k).withColumn("code", F.get(candidates, F.lit(k)))
+        done = insert_sessions(taken, trying)
+        placed = done if placed is None else placed.unionByName(done)
+        taken = taken.unionByName(done.select("code"))
+        left = left.join(done.select("row"), "row", "left_anti")
+    return placed
+
+
 def update_sessions(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """Latest change for each code wins: files, text and expiry are replaced, password and burning only if they are given.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import frame_too_big
@@ -39,9 +39,10 @@ def read_env(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("key").agg(F.min_by("value", "at").alias("value"))
 
 
-def settings(spark: SparkSession, path: str) -> dict[str, str]:
-    """The file's settings under those of the process. A file of settings is small."""
-    return {r.key: r.value for r in read_env(spark, path).collect()} | dict(os.environ)
+def settings(spark: SparkSession, path: str, names: list[str]) -> dict[str, str]:
+    """The settings of the given names: those of the process, else those of the file. A file of settings is small."""
+    of_file = {r.key: r.value for r in read_env(spark, path).where(F.col("key").isin(names)).collect()}
+    return of_file | {n: os.environ[n] for n in names if n in os.environ}
 
 
 def read_uploads(spark: SparkSession, path: str, *, limit: int = LIMITS.stored_payload_bytes) -> DataFrame:
@@ -50,6 +51,26 @@ def read_uploads(spark: SparkSession, path: str, *, limit: int = LIMITS.stored_p
     return files.withColumn("accepted", F.col("length") <= limit)
 
 
+def upload_errors(parts: DataFrame, key: str = "request_id", *, files: int = LIMITS.upload_files, file_bytes: int = LIMITS.stored_payload_bytes, field_bytes: int = LIMITS.field_bytes) -> DataFrame:
+    """``error`` of each multipart request (key, at, kind file/field, length): that of the first part that breaks a limit,
+    or null. ``at`` is a part's place in its request; a request is refused as a whole."""
+    file = F.col("kind") == "file"
+    upto = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = parts.withColumn("_files", F.sum(file.cast("int")).over(upto))
+    error = F.when(file & (F.col("_files") > files), F.lit("LIMIT_FILE_COUNT")).when(file & (F.col("length") > file_bytes), F.lit("LIMIT_FILE_SIZE"))
+    error = error.when(~file & (F.col("length") > field_bytes), F.lit("LIMIT_FIELD_VALUE"))
+    told = counted.withColumn("_error", error)
+    return told.groupBy(key).agg(F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col("at"))).alias("error"))
+
+
+def process_metrics(spark: SparkSession) -> DataFrame:
+    """One row about the driver: when it started, for how long it is up, its heap, and the cores of the application."""
+    runtime, sc = spark.sparkContext._jvm.java.lang.Runtime.getRuntime(), spark.sparkContext
+    row = (sc.startTime, runtime.totalMemory() - runtime.freeMemory(), runtime.maxMemory(), sc.defaultParallelism)
+    rows = spark.createDataFrame([row], "started_ms long, heap_used long, heap_max long, cores int")
+    return rows.withColumn("uptime_ms", F.unix_millis(F.current_timestamp()) - F.col("started_ms"))
+
+
 def parse_frames(events: DataFrame, *, limit: int = LIMITS.frame_bytes) -> DataFrame:
     """Adds ``payload`` (VARIANT), ``type`` and ``close_code``: 1009 for a frame too big, 1003 for no JSON, else null."""
     parsed = events.withColumn("payload", F.when(~frame_too_big(F.col("raw"), limit), F.try_parse_json("raw")))

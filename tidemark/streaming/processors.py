@@ -25,18 +25,46 @@ def configure(spark: SparkSession) -> None:
     ship(spark)
 
 
+#: How long after its window could have ended a key's state is kept, for events that come late.
+GRACE_MS = 3_600_000
+
+
+class _Expiring(StatefulProcessor):
+    """Keeps one timer a key: its state goes once no event has come for the length of its window and a time of grace."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _renew(self, timer_values, after_ms: int) -> None:
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        at = timer_values.getCurrentProcessingTimeInMs() + after_ms
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        self.timer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     parts = list(rows)
     return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
 
 
-class RateLimiter(StatefulProcessor):
+class RateLimiter(_Expiring):
     """Adds ``n`` and ``over`` to events (key, event_id, ms)."""
 
-    def __init__(self, most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms):
-        self.most, self.length_ms = most, length_ms
+    def __init__(self, most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms, grace_ms: int = GRACE_MS):
+        self.most, self.length_ms, self.grace_ms = most, length_ms, grace_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("window", "opened long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -46,19 +74,18 @@ class RateLimiter(StatefulProcessor):
         pdf = _ordered(rows, ["ms", "event_id"])
         told = [window.step(int(ms)) for ms in pdf["ms"]]
         self.state.update((window.opened, window.count))
+        self._renew(timerValues, self.length_ms + self.grace_ms)
         yield pd.DataFrame({"key": [key[0]] * len(pdf), "event_id": pdf["event_id"].to_numpy(), "n": [n for n, _ in told], "over": [o for _, o in told]})
 
-    def close(self) -> None:
-        pass
 
-
-class LockoutKeeper(StatefulProcessor):
+class LockoutKeeper(_Expiring):
     """Adds ``blocked`` and ``failures`` to failed attempts (key, event_id, ms)."""
 
-    def __init__(self, failures: int = LIMITS.lockout_failures, length_ms: int = LIMITS.lockout_window_ms):
-        self.failures, self.length_ms = failures, length_ms
+    def __init__(self, failures: int = LIMITS.lockout_failures, length_ms: int = LIMITS.lockout_window_ms, grace_ms: int = GRACE_MS):
+        self.failures, self.length_ms, self.grace_ms = failures, length_ms, grace_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("lockout", "n long, reset_at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -68,11 +95,9 @@ class LockoutKeeper(StatefulProcessor):
         pdf = _ordered(rows, ["ms", "event_id"])
         told = [kept.step(int(ms)) for ms in pdf["ms"]]
         self.state.update((kept.count, kept.reset_at))
+        self._renew(timerValues, self.length_ms + self.grace_ms)
         yield pd.DataFrame({"key": [key[0]] * len(pdf), "event_id": pdf["event_id"].to_numpy(), "blocked": [b for b, _ in told], "failures": [n for _, n in told]})
 
-    def close(self) -> None:
-        pass
-
 
 class SessionKeeper(StatefulProcessor):
     """Live sessions over events (code, event_id, ms, kind create/join/leave, role, peer), with two timers each.
@@ -170,13 +195,13 @@ class CandidateBuffer(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(events: DataFrame, *, most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms) -> DataFrame:
+def rate_limit_stream(events: DataFrame, *, most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms, grace_ms: int = GRACE_MS) -> DataFrame:
     """``key``, ``event_id``, ``n``, ``over`` of a stream (key string, event_id long, ms long)."""
-    return events.groupBy("key").transformWithStateInPandas(RateLimiter(most, length_ms), "key string, event_id long, n long, over boolean", "Append", "None")
+    return events.groupBy("key").transformWithStateInPandas(RateLimiter(most, length_ms, grace_ms), "key string, event_id long, n long, over boolean", "Append", "ProcessingTime")
 
 
-def lockout_stream(failures: DataFrame, *, limit: int = LIMITS.lockout_failures, length_ms: int = LIMITS.lockout_window_ms) -> DataFrame:
-    return failures.groupBy("key").transformWithStateInPandas(LockoutKeeper(limit, length_ms), "key string, event_id long, blocked boolean, failures long", "Append", "None")
+def lockout_stream(failures: DataFrame, *, limit: int = LIMITS.lockout_failures, length_ms: int = LIMITS.lockout_window_ms, grace_ms: int = GRACE_MS) -> DataFrame:
+    return failures.groupBy("key").transformWithStateInPandas(LockoutKeeper(limit, length_ms, grace_ms), "key string, event_id long, blocked boolean, failures long", "Append", "ProcessingTime")
 
 
 def session_stream(events: DataFrame, *, ttl_ms: int = LIMITS.live_ttl_max_ms, idle_ms: int = LIMITS.idle_ms, most: int = LIMITS.recipients) -> DataFrame:
