@@ -161,7 +161,7 @@ def route_frames(frames: DataFrame, sessions: DataFrame) -> DataFrame:
         .when(~publisher & ~F.col("_publisher"), F.lit("Publisher not connected"))
     )
     out = joined.withColumn("error", error)
-    out = out.withColumn("target", F.when(F.col("error").isNull(), F.when(publisher, F.col("peer_id")).otherwise(F.lit("publisher"))))
+    out = out.withColumn("target", F.when(F.col("error").isNull(), F.when(publisher, F.col("peer_id").cast("string")).otherwise(F.lit("publisher"))))
     return out.withColumn("peer_id", F.when(publisher, F.col("peer_id")).otherwise(F.col("sender"))).drop("_there", "_publisher", "_ids")
 
 

@@ -5,35 +5,15 @@ The tables are stand-ins for sessions, blobs, frames and transfers; each query r
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto, numbers, predicates, strings
 from ..operators import folds, integrity, lookup, mutations, transfer
+from ..sources import readers
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of the tables it names under its own name, with its SQL where there is one."""
-
-    def add(f):
-        names = f.__code__.co_varnames[: f.__code__.co_argcount]
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names))
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 def _sessions_of(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Orders as sessions that refer to their lines' orders."""
@@ -64,9 +44,9 @@ def expiry_partition(events):
     return integrity.expiry_partition(sessions, F.lit("2024-01-15 00:00:00").cast("timestamp"))
 
 
-@query("SELECT CAST(sum(length(text)) AS BIGINT) AS data_size, count(*) AS objects FROM documents")
+@query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS data_size, count(*) AS objects FROM documents")
 def store_stats(documents):
-    return integrity.store_stats(documents.select(F.length("text").cast("bigint").alias("length")))
+    return integrity.store_stats(documents.select(F.octet_length("text").cast("bigint").alias("length")))
 
 
 @query("""SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_linenumber = 1) AND bool_or(l_returnflag = 'R')""")
@@ -118,33 +98,38 @@ def attach_labels(documents, labels):
 
 
 @query("""
-SELECT c.conv_id AS code, c.turn,
-       CASE WHEN s.n IS NULL THEN 'Session not found' WHEN c.role = 'system' AND c.turn = 0 THEN 'Recipient not found'
-            WHEN c.role = 'system' AND NOT list_contains(s.ids, c.turn) THEN 'Recipient not found' WHEN c.role <> 'system' AND NOT s.p THEN 'Publisher not connected' END AS error
-FROM conversations c LEFT JOIN (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS p, coalesce(list(turn) FILTER (role <> 'system'), []) AS ids FROM conversations GROUP BY 1) s USING (conv_id)
+WITH s AS (SELECT conv_id, bool_or(role = 'system') AS p, coalesce(list(turn) FILTER (role <> 'system'), []) AS ids FROM conversations WHERE conv_id % 5 <> 0 GROUP BY 1),
+f AS (SELECT conv_id AS code, turn, role = 'system' AS pub, CASE WHEN turn % 7 <> 6 THEN turn + turn % 2 END AS peer FROM conversations),
+e AS (SELECT f.*, CASE WHEN s.conv_id IS NULL THEN 'Session not found' WHEN pub AND peer IS NULL THEN 'peerId required from publisher'
+            WHEN pub AND NOT list_contains(s.ids, peer) THEN 'Recipient not found' WHEN NOT pub AND NOT s.p THEN 'Publisher not connected' END AS error FROM f LEFT JOIN s ON s.conv_id = f.code)
+SELECT code, turn, error, CASE WHEN error IS NULL THEN CASE WHEN pub THEN CAST(peer AS VARCHAR) ELSE 'publisher' END END AS target, CASE WHEN pub THEN peer ELSE turn END AS peer_id FROM e
 """)
 def relay_route(conversations):
-    """Turns as frames: system turns are sent by a publisher to the turn of the same number."""
+    """Turns as frames; system turns are sent by a publisher, to the same or the next turn or to none. Every fifth
+    conversation has no session."""
     publisher = F.max(F.when(F.col("role") == "system", F.struct(F.lit("publisher").alias("id")))).alias("publisher")
     waiting = F.collect_list(F.when(F.col("role") != "system", F.struct(F.col("turn").alias("id")))).alias("recipients")
-    sessions = conversations.groupBy(F.col("conv_id").alias("code")).agg(publisher, waiting)
+    sessions = conversations.where("conv_id % 5 <> 0").groupBy(F.col("conv_id").alias("code")).agg(publisher, waiting)
     role = F.when(F.col("role") == "system", F.lit("publisher")).otherwise(F.lit("recipient"))
-    frames = conversations.select(F.col("conv_id").alias("code"), role.alias("role"), F.col("turn").alias("sender"), F.col("turn").alias("peer_id"), "turn")
-    return lookup.route_frames(frames, sessions).select("code", "turn", "error")
+    peer = F.when(F.col("turn") % 7 != 6, F.col("turn") + F.col("turn") % 2)
+    frames = conversations.select(F.col("conv_id").alias("code"), role.alias("role"), F.col("turn").alias("sender"), peer.alias("peer_id"), "turn")
+    return lookup.route_frames(frames, sessions).select("code", "turn", "error", "target", "peer_id")
 
 
 @query("""
-SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 400 WHEN l.doc_id IS NULL THEN 404 WHEN toxic = 1 AND n_chars % 2 = 0 THEN 401 WHEN quality = 0 THEN 410 ELSE 200 END AS status
+SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 400 WHEN l.doc_id IS NULL THEN 404 WHEN toxic = 1 AND n_chars % 2 = 0 THEN 401 WHEN quality = 0 THEN 410 ELSE 200 END AS status,
+       CASE WHEN n_chars % 7 = 0 THEN 'Invalid code format' WHEN l.doc_id IS NULL THEN CASE WHEN d.doc_id % 3 = 0 THEN 'live_session' ELSE 'not_found' END
+            WHEN toxic = 1 AND n_chars % 2 = 0 THEN 'password_required' WHEN quality = 0 THEN 'expired' END AS error
 FROM documents d LEFT JOIN labels l USING (doc_id)
 """)
 def retrieve_outcome(documents, labels):
-    """Documents as requests, labels as stored sessions: toxic ones are locked, poor ones expired."""
+    """Documents as requests, labels as stored sessions: toxic ones are locked, poor ones expired; every third id is live."""
     code = lambda: F.when(F.col("n_chars") % 7 == 0, F.lit("bad")).otherwise(strings.pad_code(F.col("doc_id")))
     asked = documents.select("doc_id", code().alias("code"), (F.col("n_chars") % 2 == 1).alias("password_ok"))
     at = F.timestamp_seconds(F.lit(100))
     stored = labels.select(strings.pad_code(F.col("doc_id")).alias("code"), F.when(F.col("toxic") == 1, F.lit("x")).alias("password"), F.timestamp_seconds(F.col("quality") * 200).alias("expires_at"))
-    none = labels.select(F.lit("none").alias("code")).where(F.lit(False))
-    return lookup.retrieve_outcome(asked, stored, none, at).select("doc_id", "status")
+    live = documents.where("doc_id % 3 = 0").select(strings.pad_code(F.col("doc_id")).alias("code"))
+    return lookup.retrieve_outcome(asked, stored, live, at).select("doc_id", "status", "error")
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -233,7 +218,8 @@ def code_filter(orders):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
 def json_payload(events):
-    return events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+    frames = readers.parse_frames(events.select("event_id", F.col("props").alias("raw")))
+    return frames.select("event_id", F.try_variant_get("payload", "$.k", "string").alias("k"))
 
 
 @query("SELECT page_id, base64(encode(url)) AS url64 FROM pages")
@@ -339,9 +325,21 @@ def gap_sessions(events):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id AS code, event_type = 'error' AS leaves, event_id % 5 = 0 AS pub, CAST(event_id % 8 AS VARCHAR) AS peer, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+s AS (SELECT code, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, false AS p, CAST([] AS VARCHAR[]) AS r, false AS ended, '' AS outcome FROM (SELECT DISTINCT code FROM e)
+  UNION ALL
+  SELECT code, k, event_id, p OR outcome = 'publisher joined', CASE WHEN starts_with(outcome, 'recipient j') OR outcome = 'recipient ready' THEN list_append(r, peer) WHEN gone THEN list_concat(r[1:spot - 1], r[spot + 1:]) ELSE r END, ended OR outcome = 'session ended', outcome
+  FROM (SELECT *, NOT ended AND leaves AND NOT pub AND spot > 0 AS gone,
+               CASE WHEN ended THEN 'session not found' WHEN NOT leaves AND pub THEN CASE WHEN p THEN 'publisher refused' ELSE 'publisher joined' END
+                    WHEN NOT leaves THEN CASE WHEN len(r) >= 4 THEN 'session full' WHEN p THEN 'recipient ready' ELSE 'recipient joined' END
+                    WHEN pub THEN CASE WHEN p THEN 'session ended' ELSE 'ignored' END
+                    WHEN spot > 0 THEN CASE WHEN NOT p AND len(r) = 1 THEN 'session ended' ELSE 'recipient left' END ELSE 'ignored' END AS outcome
+        FROM (SELECT s.code, e.k, e.event_id, s.p, s.r, s.ended, e.leaves, e.pub, e.peer, coalesce(list_position(s.r, e.peer), 0) AS spot FROM s JOIN e ON e.code = s.code AND e.k = s.k + 1)))
+SELECT event_id, code, outcome, CAST(len(r) AS BIGINT) AS n_recipients FROM s WHERE k > 0
+""")
 def membership_fold(events):
-    """Users as sessions; an event's type and number say who joins or leaves. A fold over ordered events: no SQL."""
+    """Users as sessions; an event's type and number say who joins or leaves."""
     role = F.when(F.col("event_id") % 5 == 0, F.lit("publisher")).otherwise(F.lit("recipient"))
     peer = F.when(F.col("event_id") % 5 == 0, F.lit("publisher")).otherwise((F.col("event_id") % 8).cast("string"))
     kind = F.when(F.col("event_type") == "error", F.lit("leave")).otherwise(F.lit("join"))
@@ -372,17 +370,17 @@ def envelope_roundtrip(documents):
     salts = documents.select("lang").distinct().withColumn("salt", F.unhex(F.md5("lang")))
     keys = salts.withColumn("key", crypto.derive_key(F.col("lang"), F.col("salt")))
     iv = F.substring(F.unhex(F.md5(F.col("doc_id").cast("string"))), 1, 12)
-    sealed = documents.join(F.broadcast(keys), "lang").withColumn("envelope", crypto.seal(F.encode("text", "UTF-8"), F.col("key"), F.col("salt"), iv))
+    sealed = documents.join(keys, "lang").withColumn("envelope", crypto.seal(F.encode("text", "UTF-8"), F.col("key"), F.col("salt"), iv))
     return sealed.select("doc_id", F.md5(crypto.open_(F.col("envelope"), F.col("key"))).alias("digest"), F.octet_length("envelope").cast("bigint").alias("sealed_bytes"))
 
 
 # Mutations, and more lookups
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events WHERE user_id % 2 = 1) WHERE r = 1")
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id % 2 = 1) WHERE r = 1")
 def insert_sessions(events):
     """Even users are taken; of the events of the others the first is inserted."""
-    rows = events.select(F.col("user_id").alias("code"), F.col("ts").alias("created_at"), F.col("event_type").alias("text"), F.col("props").alias("password"), "event_id")
+    rows = events.select(F.col("user_id").alias("code"), F.col("ts").alias("created_at"), "event_id", F.col("event_type").alias("text"), F.col("props").alias("password"))
     return mutations.insert_sessions(rows.where("code % 2 = 0"), rows).select(F.col("code").alias("user_id"), "event_id")
 
 
@@ -391,13 +389,18 @@ def delete_by_ids(documents, labels):
     return mutations.delete_by(documents.select("doc_id"), labels.where("toxic = 1"), "doc_id")
 
 
-@query("SELECT l_returnflag, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1")
+@query("""
+SELECT 'chunks ' || l_returnflag AS what, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IS DISTINCT FROM 'F' GROUP BY 1
+UNION ALL SELECT unnest(['files', 'sessions']), count(*) FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1
+""")
 def cascade_delete(orders, lineitem):
     """Orders as sessions and blobs, lines as chunks: finished orders go, and their lines with them."""
     sessions = orders.select(F.col("o_orderkey").alias("code"), F.array(F.struct(F.col("o_orderkey").alias("gridfsId"))).alias("files"), "o_orderstatus")
     files, chunks = orders.select(F.col("o_orderkey").alias("_id")), lineitem.withColumnRenamed("l_orderkey", "files_id")
-    left, _, _ = mutations.cascade_delete(sessions, files, chunks, sessions.where("o_orderstatus = 'F'"))
-    return left.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    left = mutations.cascade_delete(sessions, files, chunks, sessions.where("o_orderstatus = 'F'"))
+    names = F.concat(F.lit("chunks "), F.col("l_returnflag")), F.lit("files"), F.lit("sessions")
+    counted = [t.groupBy(n.alias("what")).agg(F.count(F.lit(1)).alias("n")) for t, n in zip(left, names, strict=True)]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 @query("SELECT conv_id AS code, bool_or(role = 'system') AS has_publisher, CAST(count(*) FILTER (role <> 'system') AS INTEGER) AS n_recipients FROM conversations GROUP BY 1")
@@ -464,11 +467,11 @@ def signal_state(events):
 # More ordered rules
 
 
-@query("SELECT user_id, max_by(epoch_us(ts) // 1000, event_id) AS ms FROM events GROUP BY 1")
+@query("SELECT user_id, greatest(max_by(epoch_us(ts) // 1000, event_id), 1705276800000) AS ms FROM events GROUP BY 1")
 def expiry_timers(events):
-    """The last set timer of each user; all are in the future of the moment asked for."""
+    """The last set timer of each user, at once where that is past."""
     rows = events.select(F.col("user_id").alias("code"), F.col("ts").cast("timestamp").alias("expires_at"), F.col("event_id").alias("updated_at"))
-    return folds.expiry_timers(rows, F.timestamp_seconds(F.lit(0))).select(F.col("code").alias("user_id"), F.unix_millis("fires_at").alias("ms"))
+    return folds.expiry_timers(rows, F.timestamp_seconds(F.lit(1_705_276_800))).select(F.col("code").alias("user_id"), F.unix_millis("fires_at").alias("ms"))
 
 
 @query("""
@@ -495,17 +498,20 @@ def channel_state(events):
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS o, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM events),
-f AS (SELECT event_id, o, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, g ORDER BY ts ROWS UNBOUNDED PRECEDING) AS a FROM e)
+WITH e AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS o, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
+f AS (SELECT event_id, o, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS a FROM e)
 SELECT event_id, CASE WHEN NOT o AND a <= 5 THEN CAST(least(1000 * pow(2, a - 1), 30000) AS BIGINT) END AS delay_ms, NOT o AND a > 5 AS gave_up FROM f
 """)
 def reconnects(events):
     """Purchases stand for connections that open, all else for losses."""
     rows = events.select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.lit("open")).otherwise(F.lit("lost")).alias("kind"))
-    return folds.reconnects(rows, "user_id").select("event_id", "delay_ms", "gave_up")
+    return folds.reconnects(rows, "user_id", order=("event_id",)).select("event_id", "delay_ms", "gave_up")
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1")
 def first_end(events):
     kind = F.when(F.col("event_type") == "purchase", F.lit("done")).when(F.col("event_type") == "error", F.lit("abort")).otherwise(F.lit("chunk"))
     return folds.first_end(events.select("user_id", "event_id", kind.alias("type")), "user_id", seq="event_id").select("user_id", "event_id")
+
+
+from . import service  # noqa: E402, F401 - registers its queries
