@@ -31,5 +31,5 @@ def none(spark):
 @pytest.fixture(scope="session")
 def clashing(spark):
     """Columns whose names the operators use inside."""
-    rows = [(i, f"text number {i} of a small set of texts", "x", "y", 1, "a", 2, 3, 4.0, 5, 6, "z") for i in range(6)]
-    return spark.createDataFrame(rows, DOCS + ", id string, n long, label int, score double, row long, page long, hash string")
+    rows = [(i, f"text number {i} of a small set of texts", "x", "y", 1, "a", 2, 3, 4.0, 5, 6, "z", 1, 2, 3, "s", 4, [1], [2], 5, 6, "k", 7) for i in range(6)]
+    return spark.createDataFrame(rows, DOCS + ", id string, n long, label int, score double, row long, page long, hash string, cell long, bucket long, comp long, shard string, depth int, _all array<int>, _terms array<int>, _salt int, _level int, _mask string, first long")

@@ -247,3 +247,15 @@ def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
     copies = classes.where("members > 1").select("low", "high", "doc", "members")
     joined = join_by_key(signed.select("id", "n", "low", "high"), copies, ["low", "high"], "id", n="members", how="left")
     return joined.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("doc", "id")).otherwise(F.col("id")).alias("doc"))
+
+
+#: The groups of 3-word shingles at 85 in 100 for DuckDB, by all pairs that share a shingle and all that is reached over links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, coalesce(b >= doc_id, true) AS kept FROM g LEFT JOIN c ON c.a = doc_id
+"""

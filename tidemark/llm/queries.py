@@ -103,6 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import archives, licences, sharding
+    from . import archives, licences, near_dedup, sharding
 
-    return {"op4_sharding": sharding.ORACLE, "op5_license_scan": licences.oracle(), "op7_warc": archives.ORACLE}
+    return {"op3_minhash_near_dedup": near_dedup.ORACLE, "op4_sharding": sharding.ORACLE, "op5_license_scan": licences.oracle(), "op7_warc": archives.ORACLE}
