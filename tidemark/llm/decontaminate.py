@@ -308,7 +308,7 @@ def _passes(spark: SparkSession, benchmark: DataFrame, one: Callable[[Broadcast]
 
 def _match(index: Broadcast, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text.small(batches):
             for at, part in text.slices(lowered(batch.column(1))):
                 found = index.value.matches(part)
                 ids = batch.column(0).slice(at, len(part)).take(pa.array([f[0] for f in found], pa.int64()))
@@ -326,7 +326,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
 
     def keep(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in text.small(batches):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for first, part in text.slices(lowered(batch.column(at))):
                     clean[[first + f[0] for f in index.value.matches(part)]] = False

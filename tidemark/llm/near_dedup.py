@@ -34,7 +34,7 @@ BLOCK_SHINGLES = 1 << 21
 
 def _sign(size: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text.small(batches):
             for at, part in text.slices(batch.column(1)):
                 sets, bounds = text.shingle_sets(text.words(part), size)
                 n = np.diff(bounds)
@@ -94,19 +94,23 @@ def _search(size: int, num: int, den: int):
         sets, bounds = np.concatenate([s for s, _ in pieces]), np.concatenate([[0], np.cumsum(sizes)])
         # In order of their sizes, so that the later of two entries is of the set that isn't smaller.
         order = np.argsort(sizes, kind="stable")
-        owner = np.repeat(np.argsort(order), sizes)
+        owner = np.repeat(np.argsort(order).astype(np.int32), sizes)
         ids, comp, sizes, start, end = ids[order], comp[order], sizes[order], bounds[:-1][order], bounds[1:][order]
         _, back, times = np.unique(sets, return_inverse=True, return_counts=True)
-        rank = np.empty(len(times), dtype=np.int64)
-        rank[np.argsort(times, kind="stable")] = np.arange(len(times))
-        shingle = rank[back]
+        rank = np.empty(len(times), dtype=np.int32)
+        rank[np.argsort(times, kind="stable")] = np.arange(len(times), dtype=np.int32)
+        shingle, often = rank[back], times[back] > 1
+        del back, rank, times
         by_set = np.lexsort((shingle, owner))
-        place = np.empty(len(sets), dtype=np.int64)
-        place[by_set] = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.empty(len(sets), dtype=np.int32)
+        place[by_set] = np.arange(len(sets), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        del by_set
         near, far = _prefixes(sizes, num, den)
-        kept = np.flatnonzero((times[back] > 1) & (place < far[owner]))
+        kept = np.flatnonzero(often & (place < far[owner]))
         kept = kept[np.lexsort((owner[kept], shingle[kept]))]
-        own, at, last = owner[kept], place[kept], np.searchsorted(shingle[kept], shingle[kept], side="right")
+        own, at, shingle = owner[kept].astype(np.int64), place[kept], shingle[kept]
+        last = np.searchsorted(shingle, shingle, side="right")
+        del owner, place, often, kept, shingle
         root = {c: c for c in comp.tolist()}
 
         def find(c):

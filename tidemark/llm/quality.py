@@ -161,7 +161,7 @@ def score(docs: DataFrame, machine: Machine, *, modulus: int = 5, held_out: int
     shared = spark.sparkContext.broadcast(machine)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text.small(batches):
             for at, part in text.slices(batch.column(2)):
                 value = shared.value.score(*features(part)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(value)], names=["id", "held_out", "score"])
@@ -179,7 +179,7 @@ def keep_good(docs: DataFrame, machine: Machine, *, threshold: float = 0.3, text
     shared = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text.small(batches):
             kept = [shared.value.score(*features(part)) >= threshold for _, part in text.slices(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import ship as _ship
 
 __all__ = ["Workspace", "checkpoint_dir", "drop", "join_by_key", "scratch", "ship"]
 
@@ -17,6 +17,17 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 HOT, FEW_ROWS = 4096, 1000
 
 
+#: Rows in a batch that goes to Python, where the session leaves that at Spark's default: texts are long.
+BATCH_ROWS, _BATCHES = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to Python workers, and batches of texts small enough for them."""
+    _ship(spark)
+    if spark.conf.get(_BATCHES, "10000") == "10000":
+        spark.conf.set(_BATCHES, BATCH_ROWS)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: that of ``spark.checkpoint.dir``, else the one set on the context."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader = Reader(shared.value)
-            for batch in batches:
+            for batch in text.small(batches):
                 for at, part in text.slices(lowered(batch.column(0))):
                     x = reader.features(part)
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
@@ -231,7 +231,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, modulus: int = 4, held_out: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of(shared.value)
-        for batch in batches:
+        for batch in text.small(batches):
             for at, part in text.slices(lowered(batch.column(2))):
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(reader.score(part))], names=["id", "held_out", "score"])
 
@@ -250,7 +250,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.3, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of(shared.value)
-        for batch in batches:
+        for batch in text.small(batches):
             kept = [reader.score(part) < threshold for _, part in text.slices(lowered(batch.column(at)))]
             yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
 
