@@ -1,11 +1,13 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import hashlib
 import os
+import types
 
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, quality, toxicity
+from tidemark.llm import decontaminate, quality, shared, toxicity
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -37,6 +39,26 @@ def test_stages_follow_each_other(spark):
 
 
 def test_odd_tables_pass(spark, odd, none):
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, none, DATA).count() == 0
-        assert stage(spark, odd, DATA).count() >= 1
+    stages = dict(corpus_pipeline.STAGES)
+    assert all(stage(spark, none, DATA).count() == 0 for stage in stages.values())
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    every = ids(odd)
+    assert ids(stages["near duplicates"](spark, odd, DATA)) == sorted([1, 2, 3, 4, 6, 6, None, 8, 8], key=str)
+    assert ids(stages["leaks"](spark, odd, DATA)) == every
+    told = stages["token ids"](spark, odd, DATA).collect()
+    digests = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in odd.collect())
+    assert sorted(r.decoded_sha256 for r in told) == digests and ids(stages["token ids"](spark, odd, DATA)) == every
+    for name in ("toxicity", "quality"):
+        assert set(ids(stages[name](spark, odd, DATA))) <= set(every)
+
+
+def test_the_named_checkpoint_folder_is_used():
+    def session(named, on_context, master):
+        conf = types.SimpleNamespace(get=lambda key, default: named)
+        return types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(getCheckpointDir=lambda: on_context, master=master))
+
+    assert shared.checkpoint_dir(session("file:///a/", "b", "local[2]")) == "file:///a"
+    assert shared.checkpoint_dir(session(None, "hdfs:/b", "yarn")) == "hdfs:/b"
+    assert shared.checkpoint_dir(session(None, None, "local[2]")) == shared.LOCAL_CHECKPOINTS
+    with pytest.raises(ValueError):
+        shared.checkpoint_dir(session(None, None, "spark://host:7077"))
