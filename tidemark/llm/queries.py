@@ -84,6 +84,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), modulus=5, held_out=0), modulus=5, held_out=0)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    from .packing import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does in all their orders, for each source."""
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's words."""
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_imatch_fingerprints,
     op2_decontamination,
@@ -95,6 +116,9 @@ _ALL = (
     op8_byte_bpe,
     op9_token_sstable,
     op10_quality,
+    op11_packing,
+    op12_filter_audit,
+    op13_importance_resampling,
 )
 
 
@@ -103,6 +127,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import archives, licences, near_dedup, sharding
-
-    return {"op3_minhash_near_dedup": near_dedup.ORACLE, "op4_sharding": sharding.ORACLE, "op5_license_scan": licences.oracle(), "op7_warc": archives.ORACLE}
+    from . import archives, filter_audit, licences, near_dedup, resampling, sharding
+
+    return {
+        "op3_minhash_near_dedup": near_dedup.ORACLE,
+        "op4_sharding": sharding.ORACLE,
+        "op5_license_scan": licences.oracle(),
+        "op7_warc": archives.ORACLE,
+        "op12_filter_audit": filter_audit.ORACLE,
+        "op13_importance_resampling": resampling.ORACLE,
+    }
