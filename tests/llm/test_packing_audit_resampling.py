@@ -137,7 +137,17 @@ def test_every_settled_character_splits_as_by_the_library(library, encoder):
     assert len(settled) > 45_000
     texts = [f"a{c}b1 {c}{c}!  {c} x\n{c}'s" for c in settled]
     for text, want in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(encoder.vocabulary.encode(text), "<i4").tolist() == want.ids, text
+        assert np.frombuffer(encoder.plain(text), "<i4").tolist() == want.ids, text
+
+
+def test_long_texts_are_cut_between_words(library, encoder, monkeypatch):
+    rnd = random.Random(4)
+    monkeypatch.setattr(encoder, "whole", None)  # settled texts never go to the library
+    text = "".join(rnd.choice(["word", " ", "  ", "it's", "'s", "9", "\n", "ü", "!", " a b"]) for _ in range(4000))
+    want = library.encode(text, add_special_tokens=False).ids
+    for n in (1, 7, 100):
+        monkeypatch.setattr(packing, "LONG", n)
+        assert np.frombuffer(encoder.encode(text), "<i4").tolist() == want
 
 
 def test_other_definitions_go_to_the_library(library):

@@ -8,9 +8,10 @@ A task holds the tokens of its open windows only. When there are too many of the
 fullest take pieces cut off the emptiest until they are full. What is left of the very last window is cut into windows of
 powers of two, so none is padded. No row moves between tasks.
 
-Texts are encoded by the ranks of the tokenizer's own merges (see ``byte_bpe``), in which its splitting pattern is that
-of byte-level tokenizers. Characters whose kind changed between editions of Unicode may be split differently there, so
-texts that hold any, and all texts under other definitions, are encoded by the tokenizer itself.
+Texts are split by the pattern of byte-level tokenizers, its classes written out, and pre-tokens are encoded by the ranks
+of the tokenizer's own merges and remembered (see ``byte_bpe``). Characters whose kind changed between editions of Unicode
+may be of another kind to the tokenizer, so texts that hold any, and all texts under other definitions, are encoded by
+the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPREAD = 1 << 36
 #: Pieces sent to Spark at once.
 EMIT = 4096
+#: Code points that are split at once.
+LONG = 1 << 16
 
 _encoders: dict[str, Encoder] = {}
 
@@ -69,20 +72,34 @@ def ranks_of(definition: dict) -> bytes | None:
     return b"\n".join(base64.b64encode(bytes(letters[c] for c in t)) + b" %d" % i for t, i in vocab.items())
 
 
-def _settled() -> str:
-    """Characters of the basic plane whose kind (letter, number, space, other) is as in the oldest edition at hand, as ranges of a class."""
-    kind = lambda c, of: "LN".find(of.category(c)[0])
-    same = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))) if unicodedata.ucd_3_2_0.category(c) != "Cn" and kind(c, unicodedata) == kind(c, unicodedata.ucd_3_2_0)]
+def _kind(c: str, edition) -> str:
+    """L, N, Z or neither: all that the pattern tells apart, besides control characters that are spaces."""
+    return edition.category(c)[0].translate({ord(x): None for x in "CMPS"})
+
+
+def _class(chars: list[str]) -> str:
+    """Ascending characters as ranges of a pattern's class."""
     out, i = [], 0
-    while i < len(same):
+    while i < len(chars):
         j = i
-        while j + 1 < len(same) and ord(same[j + 1]) == ord(same[j]) + 1:
+        while j + 1 < len(chars) and ord(chars[j + 1]) == ord(chars[j]) + 1:
             j += 1
-        out.append(f"\\u{ord(same[i]):04x}-\\u{ord(same[j]):04x}")
+        out.append(f"\\u{ord(chars[i]):04x}-\\u{ord(chars[j]):04x}")
         i = j + 1
     return "".join(out)
 
 
+#: Characters of the basic plane that are of the same kind in the oldest edition of Unicode at hand and in this one.
+_SETTLED = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))) if unicodedata.ucd_3_2_0.category(c) != "Cn" and _kind(c, unicodedata) == _kind(c, unicodedata.ucd_3_2_0)]
+
+
+def _pattern() -> str:
+    """The pattern over settled characters, its classes written out."""
+    letters, numbers = (_class([c for c in _SETTLED if _kind(c, unicodedata) == k]) for k in "LN")
+    spaces = _class([c for c in _SETTLED if _kind(c, unicodedata) == "Z" or c in "\t\n\v\f\r\x85"])
+    return PATTERN.replace("[^\\s\\p{L}\\p{N}]", f"[^{spaces}{letters}{numbers}]").replace("\\p{L}", f"[{letters}]").replace("\\p{N}", f"[{numbers}]").replace("\\s", f"[{spaces}]").replace("\\S", f"[^{spaces}]")
+
+
 class Encoder:
     """ids of texts as little-endian 32-bit bytes, as the tokenizer gives them without adding special tokens."""
 
@@ -90,22 +107,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(definition)
         parsed = json.loads(definition)
         ranks = ranks_of(parsed)
-        self.vocabulary = ranks and Vocabulary.of(ranks, PATTERN)
+        self.vocabulary = None if ranks is None else Vocabulary.of(ranks, PATTERN)
         # A longer special token goes first where two begin alike, as the tokenizer takes the longest.
         self.special = {t["content"]: np.asarray([t["id"]], "<i4").tobytes() for t in parsed.get("added_tokens") or []}
         cut = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.cut = re.compile(f"({cut})").split if cut else None
-        self.aside = re.compile(f"[^{_settled()}]").search
+        self.aside = re.compile(f"[^{_class(_SETTLED)}]").search
+        self.split, self.between = re.compile(_pattern()).findall, re.compile("[A-Za-z] (?=[A-Za-z])").search
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
+    def plain(self, text: str) -> bytes:
+        """The ids of settled characters. A long text is cut where one word ends and a space and the next word begin, as
+        pre-tokens always are."""
+        ids, of, at = [], self.vocabulary.__getitem__, 0
+        while at < len(text):
+            cut = self.between(text, at + LONG) if len(text) - at > LONG else None
+            end = cut.start() + 1 if cut else len(text)
+            ids.append(b"".join(map(of, self.split(text[at:end]))))
+            at = end
+        return b"".join(ids)
+
     def encode(self, text: str) -> bytes:
-        if not self.vocabulary or self.aside(text):
+        if self.vocabulary is None or self.aside(text):  # a vocabulary that remembers nothing yet is an empty dict
             return self.whole(text)
         if not self.cut:
-            return self.vocabulary.encode(text)
-        return b"".join(self.special.get(x) or self.vocabulary.encode(x) for x in self.cut(text))
+            return self.plain(text)
+        return b"".join(self.special.get(x) or self.plain(x) for x in self.cut(text))
 
     @classmethod
     def of(cls, definition: bytes) -> Encoder:
