@@ -1,8 +1,6 @@
 """Rules that depend on the order of a key's events, as deterministic batch queries over an event time.
 
-Anchored windows and lockouts need a key's times in order only to tell where windows open: that is a jump from opening to
-opening over distinct times. The events of a window are then numbered on their own, so a key of very many events is in as
-many tasks as it has windows. Memberships and receivers are folds over a key's events: they run over sorted partitions
+Rate limits and lockouts number the events of anchored windows (``anchors``). Memberships and receivers are folds over a key's events: they run over sorted partitions
 with a state of a few numbers, batch by batch. The step functions serve the streaming forms. What has a closed form is a
 plain aggregate.
 """
@@ -13,13 +11,14 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..limits import HTTP_LIMITS, LIMITS
 from ..shipping import ship
+from .anchors import anchored
+from .sessions import Membership, membership  # noqa: F401 - known here too
 
 
 @dataclass
@@ -60,37 +59,6 @@ class Lockout:
         return False, self.count
 
 
-def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """All rows of a key in one task and in order, to be read as a stream: a key of any size needs little memory."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-
-
-def _fold(events: DataFrame, keys: list[str], order: list[str], inputs: list[str], schema: str, make, record) -> DataFrame:
-    """Runs a state over each key's events in order; ``record(state, *inputs)`` gives the values of the new columns."""
-    added = [x.split(" ")[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = state = None
-        for pdf in batches:
-            values = []
-            for row in pdf[[*keys, *inputs]].itertuples(index=False, name=None):
-                here = tuple(None if pd.isna(k) else k for k in row[: len(keys)])
-                if state is None or here != key:
-                    key, state = here, make()
-                values.append(record(state, *row[len(keys) :]))
-            for i, name in enumerate(added):
-                pdf[name] = [v[i] for v in values]
-            yield pdf.drop(columns="_ms")
-
-    ship(events.sparkSession)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema if f.name != "_ms")
-    return _in_order(events, keys, order).mapInPandas(run, f"{out}, {schema}")
-
-
-def _timed(events: DataFrame, at: str) -> DataFrame:
-    return events.withColumn("_ms", F.unix_millis(F.col(at).cast("timestamp")))
-
-
 def _free(rows: DataFrame, *names: str) -> None:
     """New columns must not hide columns that are there."""
     taken = [n for n in names if n.lower() in {c.lower() for c in rows.columns}]
@@ -98,49 +66,11 @@ def _free(rows: DataFrame, *names: str) -> None:
         raise ValueError(f"columns of the input have names that the result needs: {', '.join(taken)}")
 
 
-def _openings(rows: DataFrame, keys: list[str], length_ms: int) -> DataFrame:
-    """``_opened`` of each distinct time (keys, _ms): when its window opened. From one opening the next is found by bisection."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = opened = None
-        for pdf in batches:
-            times, out = pdf["_ms"].to_numpy(), np.empty(len(pdf), dtype=np.int64)
-            names = list(pdf[keys].itertuples(index=False, name=None)) if len(pdf) else []
-            change = np.flatnonzero((pdf[keys].shift() != pdf[keys]).any(axis=1) & ~(pdf[keys].shift().isna() & pdf[keys].isna()).all(axis=1)) if len(pdf) else []
-            bounds = sorted({0, *change, len(pdf)})
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                key = tuple(None if pd.isna(k) else k for k in names[a])
-                if key != here:
-                    here, opened = key, None
-                while a < b:
-                    if opened is None or times[a] - opened > length_ms:
-                        opened = int(times[a])
-                    end = a + int(np.searchsorted(times[a:b], opened + length_ms, side="right"))
-                    out[a:end], a = opened, end
-            pdf["_opened"] = out
-            yield pdf
-
-    ship(rows.sparkSession)
-    distinct = rows.select(*keys, "_ms").distinct()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
-    return _in_order(distinct, keys, ["_ms"]).mapInPandas(run, f"{kinds}, _opened long")
-
-
-def anchored(events: DataFrame, keys: list[str], *, at: str, order: list[str], length_ms: int) -> DataFrame:
-    """Adds ``_n``: an event's number in its window, which opens at a key's first event and anew at the first event later
-    than its length. ``order`` breaks ties of time totally. A null key is a key; an event without a time is left out."""
-    timed = _timed(events, at).where("_ms IS NOT NULL")
-    opened = _openings(timed, keys, length_ms).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_ms").alias("_at"), "_opened")
-    same = [timed[k].eqNullSafe(opened[f"_key{i}"]) for i, k in enumerate(keys)]
-    placed = timed.join(opened, [*same, timed["_ms"] == opened["_at"]]).drop(*[f"_key{i}" for i in range(len(keys))], "_at")
-    within = Window.partitionBy(*keys, "_opened").orderBy("_ms", *order)
-    return placed.withColumn("_n", F.row_number().over(within).cast("long")).drop("_ms", "_opened")
-
-
-def rate_limit(events: DataFrame, keys: list[str], *, at: str = "ts", order: list[str], most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms) -> DataFrame:
-    """Adds ``n`` (the event's number in its window) and ``over``."""
+def rate_limit(events: DataFrame, keys: list[str], *, at: str = "ts", order: list[str], most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms, connects: DataFrame | None = None) -> DataFrame:
+    """Adds ``n`` (the event's number in its window) and ``over``. ``connects`` (the keys, ``at``) tells when connections open,
+    and with them their first window; without it, or for keys that it lacks, that is at the first event."""
     _free(events, "n", "over")
-    return anchored(events, keys, at=at, order=order, length_ms=length_ms).withColumnRenamed("_n", "n").withColumn("over", F.col("n") > most)
+    return anchored(events, keys, at=at, order=order, length_ms=length_ms, connects=connects).withColumnRenamed("_n", "n").withColumn("over", F.col("n") > most)
 
 
 def http_limits(requests: DataFrame, *, order: list[str], limits: dict[str, int] = HTTP_LIMITS, length_ms: int = LIMITS.http_window_ms) -> DataFrame:
@@ -159,50 +89,6 @@ def lockout(failures: DataFrame, keys: list[str], *, at: str = "ts", order: list
     return out.withColumn("blocked", F.col("_n") > limit).withColumn("failures", F.least("_n", F.lit(limit).cast("long"))).drop("_n")
 
 
-@dataclass
-class Membership:
-    """A live session: one publisher, so many recipients, and what its end does to them."""
-
-    most: int = LIMITS.recipients
-    publisher: str | None = None
-    recipients: list[str] = field(default_factory=list)
-    ended: bool = False
-
-    def step(self, kind: str, role: str, peer: str) -> str:
-        if self.ended:
-            return "session not found"
-        if kind == "join" and role == "publisher":
-            if self.publisher is not None:
-                return "publisher refused"
-            self.publisher = peer
-            return "publisher joined"
-        if kind == "join":
-            if len(self.recipients) >= self.most:
-                return "session full"
-            self.recipients.append(peer)
-            return "recipient joined" if self.publisher is None else "recipient ready"
-        if role == "publisher" and peer == self.publisher:
-            self.ended = True
-            return "session ended"
-        if peer in self.recipients:
-            self.recipients.remove(peer)
-            if self.publisher is None and not self.recipients:
-                self.ended = True
-                return "session ended"
-            return "recipient left"
-        return "ignored"
-
-
-def membership(events: DataFrame, *, key: str = "code", at: str = "ts", order: list[str], most: int = LIMITS.recipients) -> DataFrame:
-    """Adds ``outcome`` and ``n_recipients`` after each event (code, ts, kind join/leave, role, peer)."""
-    _free(events, "outcome", "n_recipients")
-
-    def told(state: Membership, kind: str, role: str, peer: str) -> tuple[str, int]:
-        return state.step(kind, role, peer), len(state.recipients)
-
-    return _fold(_timed(events, at), [key], ["_ms", *order], ["kind", "role", "peer"], "outcome string, n_recipients long", lambda: Membership(most), told)
-
-
 @dataclass
 class Receiver:
     """What a receiver makes of a transfer's messages; what comes before a list of files or after the end is dropped."""

@@ -302,6 +302,21 @@ def rate_limit_anchored(events):
     return folds.rate_limit(events.select("event_id", "event_type", "ts"), ["event_type"], order=["event_id"], most=10, length_ms=6 * 3_600_000).select("event_id", "n", "over")
 
 
+@query("""
+WITH RECURSIVE c AS (SELECT user_id % 7 AS k, min(epoch_us(ts) // 1000) - 5400000 AS opening FROM events WHERE user_id % 7 <> 3 GROUP BY 1),
+e AS (SELECT event_id, user_id % 7 AS k, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS r FROM events),
+f AS (SELECT event_id, k, r, CASE WHEN ms - coalesce(opening, ms) > 10800000 THEN ms ELSE coalesce(opening, ms) END AS opened, CAST(1 AS BIGINT) AS n FROM e LEFT JOIN c USING (k) WHERE r = 1
+      UNION ALL SELECT e.event_id, e.k, e.r, CASE WHEN e.ms - f.opened > 10800000 THEN e.ms ELSE f.opened END, CASE WHEN e.ms - f.opened > 10800000 THEN 1 ELSE f.n + 1 END
+      FROM f JOIN e ON e.k = f.k AND e.r = f.r + 1)
+SELECT event_id, n, n > 4 AS over FROM f
+""")
+def rate_limit_connected(events):
+    """Users by sevens as connections, which open 90 minutes before their first event; of one the opening isn't known."""
+    rows = events.select("event_id", (F.col("user_id") % 7).alias("k"), F.col("ts").cast("timestamp").alias("ts"))
+    connects = rows.where("k <> 3").groupBy("k").agg((F.min("ts") - F.expr("INTERVAL 90 MINUTES")).alias("ts"))
+    return folds.rate_limit(rows, ["k"], order=["event_id"], most=4, length_ms=3 * 3_600_000, connects=connects).select("event_id", "n", "over")
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS k, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error'),
 f AS (SELECT event_id, k, r, ms + 43200000 AS until, CAST(1 AS BIGINT) AS n, false AS blocked FROM e WHERE r = 1
@@ -329,7 +344,7 @@ def gap_sessions(events):
 WITH RECURSIVE e AS (SELECT event_id, user_id AS code, event_type = 'error' AS leaves, event_id % 5 = 0 AS pub, CAST(event_id % 8 AS VARCHAR) AS peer, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
 s AS (SELECT code, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, false AS p, CAST([] AS VARCHAR[]) AS r, false AS ended, '' AS outcome FROM (SELECT DISTINCT code FROM e)
   UNION ALL
-  SELECT code, k, event_id, p OR outcome = 'publisher joined', CASE WHEN starts_with(outcome, 'recipient j') OR outcome = 'recipient ready' THEN list_append(r, peer) WHEN gone THEN list_concat(r[1:spot - 1], r[spot + 1:]) ELSE r END, ended OR outcome = 'session ended', outcome
+  SELECT code, k, event_id, p OR outcome = 'publisher joined', CASE WHEN starts_with(outcome, 'recipient j') OR outcome = 'recipient ready' THEN CASE WHEN spot > 0 THEN r ELSE list_append(r, peer) END WHEN gone THEN list_concat(r[1:spot - 1], r[spot + 1:]) ELSE r END, ended OR outcome = 'session ended', outcome
   FROM (SELECT *, NOT ended AND leaves AND NOT pub AND spot > 0 AS gone,
                CASE WHEN ended THEN 'session not found' WHEN NOT leaves AND pub THEN CASE WHEN p THEN 'publisher refused' ELSE 'publisher joined' END
                     WHEN NOT leaves THEN CASE WHEN len(r) >= 4 THEN 'session full' WHEN p THEN 'recipient ready' ELSE 'recipient joined' END
@@ -514,4 +529,4 @@ def first_end(events):
     return folds.first_end(events.select("user_id", "event_id", kind.alias("type")), "user_id", seq="event_id").select("user_id", "event_id")
 
 
-from . import service  # noqa: E402, F401 - registers its queries
+from . import live, service  # noqa: E402, F401 - register their queries

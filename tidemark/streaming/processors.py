@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..limits import LIMITS
-from ..operators.folds import AnchoredWindow, Lockout, Membership
+from ..operators.folds import AnchoredWindow, Lockout
+from ..operators.sessions import Membership
 from ..shipping import ship
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,7 +59,8 @@ def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class RateLimiter(_Expiring):
-    """Adds ``n`` and ``over`` to events (key, event_id, ms)."""
+    """Adds ``n`` and ``over`` to events (key, event_id, ms). A row without an event id tells when its key connects, which
+    opens the first window unless the key has had one."""
 
     def __init__(self, most: int = LIMITS.frames_per_window, length_ms: int = LIMITS.frame_window_ms, grace_ms: int = GRACE_MS):
         self.most, self.length_ms, self.grace_ms = most, length_ms, grace_ms
@@ -72,10 +74,14 @@ class RateLimiter(_Expiring):
         if self.state.exists():
             window.opened, window.count = self.state.get()
         pdf = _ordered(rows, ["ms", "event_id"])
+        connects = pdf["event_id"].isna()
+        if window.opened is None and connects.any():
+            window.opened = int(pdf["ms"][connects].min())
+        pdf = pdf[~connects]
         told = [window.step(int(ms)) for ms in pdf["ms"]]
         self.state.update((window.opened, window.count))
         self._renew(timerValues, self.length_ms + self.grace_ms)
-        yield pd.DataFrame({"key": [key[0]] * len(pdf), "event_id": pdf["event_id"].to_numpy(), "n": [n for n, _ in told], "over": [o for _, o in told]})
+        yield pd.DataFrame({"key": [key[0]] * len(pdf), "event_id": pdf["event_id"].astype("int64").to_numpy(), "n": [n for n, _ in told], "over": [o for _, o in told]})
 
 
 class LockoutKeeper(_Expiring):
@@ -120,7 +126,7 @@ class SessionKeeper(StatefulProcessor):
         known = self.state.exists()
         if known:
             member.publisher, member.ended, expires, idle = self.state.get()
-            member.recipients = [p[0] for p in self.peers.get()]
+            member.recipients = dict.fromkeys(p[0] for p in self.peers.get())
         pdf = _ordered(rows, ["ms", "event_id"])
         for event, kind, role, peer in zip(pdf["event_id"], pdf["kind"], pdf["role"], pdf["peer"], strict=True):
             if kind == "create":
