@@ -38,6 +38,15 @@ def test_rate_limit(spark, tmp_path):
     assert sorted((r.event_id, r.n, r.over) for r in got) == sorted((r.event_id, r.n, r.over) for r in want)
 
 
+def test_rate_limit_from_the_moment_of_connection(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    rows = [("k", None, -30), ("k", 0, 0), ("k", 1, 29), ("k", 2, 31), ("k", 3, 91), ("k", 4, 92)]
+    got = run(spark, tmp_path, [rows[:3], rows[3:]], "key string, event_id long, ms long", lambda s: processors.rate_limit_stream(s, most=3, length_ms=60), "connected", 5)
+    make = lambda picked: spark.createDataFrame([(i, "k", t0 + timedelta(milliseconds=ms)) for _, i, ms in picked], "event_id long, key string, ts timestamp")
+    want = folds.rate_limit(make(rows[1:]), ["key"], order=["event_id"], most=3, length_ms=60, connects=make(rows[:1])).collect()
+    assert sorted((r.event_id, r.n, r.over) for r in got) == sorted((r.event_id, r.n, r.over) for r in want) == [(0, 1, False), (1, 2, False), (2, 1, False), (3, 2, False), (4, 1, False)]
+
+
 def test_sessions(spark, tmp_path):
     rows = [("1", 0, 0, "create", "", ""), ("1", 1, 1, "join", "publisher", "publisher"), ("1", 2, 2, "join", "recipient", "a"), ("2", 3, 3, "join", "recipient", "a")]
     got = run(spark, tmp_path, [rows], "code string, event_id long, ms long, kind string, role string, peer string", processors.session_stream, "sessions", 4)

@@ -1,24 +1,20 @@
 """Rules that depend on the order of a key's events, as deterministic batch queries over an event time.
 
-Rate limits and lockouts number the events of anchored windows (``anchors``). Memberships and receivers are folds over a key's events: they run over sorted partitions
-with a state of a few numbers, batch by batch. The step functions serve the streaming forms. What has a closed form is a
-plain aggregate.
+Rate limits and lockouts number the events of anchored windows (``anchors``); the step functions serve the streaming forms.
+Sessions and receivers have modules of their own. What has a closed form is a plain aggregate.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..limits import HTTP_LIMITS, LIMITS
-from ..shipping import ship
 from .anchors import anchored
-from .sessions import Membership, membership  # noqa: F401 - known here too
+from .receiving import receive  # noqa: F401 - known here too
+from .sessions import Membership, membership  # noqa: F401
 
 
 @dataclass
@@ -89,80 +85,6 @@ def lockout(failures: DataFrame, keys: list[str], *, at: str = "ts", order: list
     return out.withColumn("blocked", F.col("_n") > limit).withColumn("failures", F.least("_n", F.lit(limit).cast("long"))).drop("_n")
 
 
-@dataclass
-class Receiver:
-    """What a receiver makes of a transfer's messages; what comes before a list of files or after the end is dropped."""
-
-    sizes: list[int] | None = None
-    declared: int = 0
-    file: int = 0
-    chunks: int = 0
-    bytes: list[int] = field(default_factory=list)
-    finalized: bool = False
-    results: list[tuple[str, int, int, list[int]]] = field(default_factory=list)
-
-    def _close(self, how: str) -> None:
-        if self.sizes is None or self.finalized:
-            return
-        self.finalized = True
-        self.results.append((how, self.chunks, self.declared, self.bytes))
-        self.sizes = None
-
-    def step(self, kind: str, text: str | None, length: int) -> None:
-        if kind == "binary":
-            if self.sizes is None or self.finalized or self.file >= len(self.sizes):
-                return
-            self.bytes[self.file] += length
-            self.chunks += 1
-            if self.bytes[self.file] >= self.sizes[self.file]:
-                self.file += 1
-            return
-        try:
-            message = json.loads(text or "")
-        except ValueError:
-            return
-        if not isinstance(message, dict):
-            return
-        if message.get("type") == "meta":
-            files = message.get("files") or []
-            self.sizes, self.declared = [int(f.get("size") or 0) for f in files], int(message.get("totalChunks") or 0)
-            self.file, self.chunks, self.bytes, self.finalized = 0, 0, [0] * len(files), False
-        elif message.get("type") == "done":
-            self._close("completed")
-        elif message.get("type") == "abort":
-            self._close("aborted")
-
-
-def receive(events: DataFrame, *, key: str = "transfer_id", seq: str = "seq") -> DataFrame:
-    """A row for each list of files that a transfer sent: ``state`` (completed, aborted, stalled: all chunks but no end,
-    or open), ``chunks_done``, ``chunks_total``, ``count_matches`` and the bytes of each file."""
-
-    names = [key, "number", "state", "chunks_done", "chunks_total", "count_matches", "file_bytes"]
-
-    def ended(key_, state: Receiver) -> pd.DataFrame:
-        rows = list(state.results)
-        if state.sizes is not None and not state.finalized:
-            rows.append(("stalled" if state.chunks >= state.declared else "open", state.chunks, state.declared, state.bytes))
-        return pd.DataFrame([(key_, i, how, done, all_, done == all_, sizes) for i, (how, done, all_, sizes) in enumerate(rows)], columns=names)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = state = None
-        for pdf in batches:
-            for k, kind, text, length in pdf[[key, "kind", "json", "byte_len"]].itertuples(index=False, name=None):
-                if state is None or k != here:
-                    if state is not None:
-                        yield ended(here, state)
-                    here, state = k, Receiver()
-                state.step(kind, text, 0 if pd.isna(length) else int(length))
-        if state is not None:
-            yield ended(here, state)
-
-    ship(events.sparkSession)
-    kind = events.schema[key].dataType.simpleString()
-    ordered = _in_order(events.select(key, seq, "kind", "json", "byte_len"), [key], [seq])
-    return ordered.mapInPandas(run, f"{key} {kind}, number long, state string, chunks_done long, chunks_total long, count_matches boolean, file_bytes array<long>")
-
-
 # Rules with a closed form.
 
 

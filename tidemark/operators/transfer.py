@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round
 from ..limits import LIMITS
-from ..shipping import ship
+from .receiving import received_files
 
 #: Places in a key's order, and bytes of its stream, that a task sums or attributes by itself.
 PLACES, SPAN = 1 << 16, 64 << 20
@@ -83,7 +80,7 @@ def attribute(chunks: DataFrame, files: DataFrame, key: str, *, mode: str = "sen
     moves on after a chunk that fills its file, so an empty file takes the chunk that follows it.
     """
     if mode == "receiver":
-        return _received(chunks, files, key, seq, size)
+        return received_files(chunks, files, key, seq=seq, size=size)
     # A chunk's file is the last that begins before it: one window over both, for each span of a transfer's bytes.
     placed = running(chunks, key, seq, {"_end": F.col(size)}).withColumn("_from", F.col("_end") - F.col(size)).drop("_end")
     placed = placed.withColumn("_span", F.floor(F.col("_from") / SPAN)).withColumn("_file", F.lit(None).cast(f"struct<file_index:{files.schema['file_index'].dataType.simpleString()},end:bigint>"))
@@ -96,34 +93,6 @@ def attribute(chunks: DataFrame, files: DataFrame, key: str, *, mode: str = "sen
     return told.withColumn("file_index", F.col("_file.file_index")).drop("_from", "_span", "_file", "_start")
 
 
-def _received(chunks: DataFrame, files: DataFrame, key: str, seq: str, size: str) -> DataFrame:
-    """A transfer's files and then its chunks in order, as a stream: what is held are the sizes of its files."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, sizes, file, done = None, [], 0, 0
-        for pdf in batches:
-            out = []
-            for k, is_chunk, place, n in pdf[["_key", "_chunk", "_place", "_size"]].itertuples(index=False, name=None):
-                if k != here:
-                    here, sizes, file, done = k, [], 0, 0
-                if not is_chunk:
-                    sizes.append(n)
-                elif file < len(sizes):
-                    out.append((k, place, n, file))
-                    done += n
-                    if done >= sizes[file]:
-                        file, done = file + 1, 0
-            yield pd.DataFrame(out, columns=["_key", "_place", "_size", "_file"])
-
-    ship(chunks.sparkSession)
-    listed = files.select(F.col(key).alias("_key"), F.lit(False).alias("_chunk"), F.col("file_index").cast("long").alias("_place"), F.col("size").cast("long").alias("_size"))
-    both = listed.unionByName(chunks.select(F.col(key).alias("_key"), F.lit(True).alias("_chunk"), F.col(seq).cast("long").alias("_place"), F.col(size).cast("long").alias("_size")))
-    kind = chunks.schema[key].dataType.simpleString()
-    ordered = both.where("_key IS NOT NULL").repartition("_key").sortWithinPartitions("_key", "_chunk", "_place")
-    told = ordered.mapInPandas(run, f"_key {kind}, _place long, _size long, _file int")
-    return told.select(F.col("_key").alias(key), F.col("_place").alias(seq), F.col("_size").alias(size), F.col("_file").alias("file_index"))
-
-
 def file_progress(attributed: DataFrame, key: str, *, seq: str = "seq", size: str = "byte_len") -> DataFrame:
     upto = Window.partitionBy(key, "file_index").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     return attributed.withColumn("file_bytes_done", F.sum(size).over(upto))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import sessions
+from ..operators import receiving, sessions
 from .registry import query
 
 #: The first moment of the events, and the milliseconds of a period of six days, in which each code has one session.
@@ -99,3 +99,36 @@ def session_messages(events):
     peer = F.when(k(7) == 0, F.concat(F.lit("p"), k(2))).otherwise(F.concat(F.lit("r"), k(6)))
     heard = rows.select("event_id", "ts", "code", kind.alias("kind"), role.alias("role"), peer.alias("peer"))
     return sessions.session_messages(heard, _sessions(rows), order=["event_id"], most=4, idle_ms=DAY, until=F.timestamp_millis(F.lit(1_706_000_000_000)))
+
+
+@query("""
+WITH RECURSIVE x AS (SELECT event_id, user_id AS k, epoch_us(ts) // 1000 AS ms, event_id % 4 AS q, CASE event_type WHEN 'signup' THEN 's' WHEN 'error' THEN 'e' ELSE 'b' END AS t, event_id % 50 AS b FROM events),
+m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, event_id) AS r,
+    CASE WHEN t = 'b' THEN 'chunk' WHEN t = 's' AND q < 2 THEN 'meta' WHEN t = 's' AND q = 2 THEN 'done' WHEN t = 'e' AND event_id % 3 = 0 THEN 'abort' ELSE 'noise' END AS what, [event_id % 5 * 12, 0, event_id % 3 * 40] AS sizes, event_id % 6 AS total FROM x),
+s AS (SELECT k, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS number, false AS on_, CAST([] AS BIGINT[]) AS sizes, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS chunks, CAST(1 AS BIGINT) AS file, CAST([] AS BIGINT[]) AS got, CAST(0 AS BIGINT) AS last,
+    CAST(NULL AS VARCHAR) AS how, CAST(0 AS BIGINT) AS how_n, CAST(0 AS BIGINT) AS how_c, CAST(0 AS BIGINT) AS how_t, CAST([] AS BIGINT[]) AS how_b FROM (SELECT DISTINCT k FROM m)
+  UNION ALL
+  SELECT k, r, number + CASE WHEN what = 'meta' THEN 1 ELSE 0 END, CASE WHEN what = 'meta' THEN true WHEN late OR what IN ('done', 'abort') THEN false ELSE on_ END, CASE WHEN what = 'meta' THEN new ELSE sizes END, CASE WHEN what = 'meta' THEN new_total ELSE total END,
+    CASE WHEN what = 'meta' THEN 0 WHEN takes THEN chunks + 1 ELSE chunks END, CASE WHEN what = 'meta' THEN 1 WHEN takes AND got[file] + b >= sizes[file] THEN file + 1 ELSE file END,
+    CASE WHEN what = 'meta' THEN [0, 0, 0] WHEN takes THEN list_transform(got, lambda g, i: CASE WHEN i = file THEN g + b ELSE g END) ELSE got END, CASE WHEN what = 'meta' OR takes THEN ms ELSE last END,
+    CASE WHEN late THEN 'timed out' WHEN on_ AND what = 'meta' THEN 'replaced' WHEN on_ AND what = 'done' THEN 'completed' WHEN on_ AND what = 'abort' THEN 'aborted' END, number - 1, chunks, total, got
+  FROM (SELECT *, on_ AND NOT late AND what = 'chunk' AND file <= len(sizes) AS takes
+    FROM (SELECT s.* EXCLUDE (r, k), m.k, m.r, m.ms, m.what, m.b, m.sizes AS new, m.total AS new_total, s.on_ AND m.ms - s.last > 72000000 AND s.chunks < s.total AS late FROM s JOIN m ON m.k = s.k AND m.r = s.r + 1))),
+z AS (SELECT how, k, how_n AS number, how_c AS c, how_t AS t, how_b AS b FROM s WHERE how IS NOT NULL
+  UNION ALL SELECT CASE WHEN chunks >= total THEN 'stalled' WHEN 1706659200000 - last > 72000000 THEN 'timed out' ELSE 'open' END, k, number - 1, chunks, total, got FROM s WHERE on_ AND r = (SELECT max(r) FROM m WHERE m.k = s.k))
+SELECT k AS user_id, number, how AS state, c AS chunks_done, t AS chunks_total, c = t AS count_matches, b[1] AS first, b[2] AS second, b[3] AS third FROM z
+""")
+def receive_lists(events):
+    """Users as transfers of several lists of three files, the second empty: signups are lists, ends and lists that are none,
+    errors aborts and noise, all else chunks. A silence of 20 hours ends a list that lacks chunks."""
+    e = F.col("event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    size = lambda n: F.concat(F.lit('{"size":'), n.cast("string"), F.lit("}"))
+    meta = F.concat(F.lit('{"type":"meta","files":['), F.concat_ws(",", size(e % 5 * 12), size(F.lit(0)), size(e % 3 * 40)), F.lit('],"totalChunks":'), (e % 6).cast("string"), F.lit("}"))
+    broken = F.when(e % 8 == 3, F.lit('{"type":"meta","files":[1],"totalChunks":1}')).otherwise(F.lit('{"type":"meta","files":[{"size":"x"}],"totalChunks":1}'))
+    signup = F.when(e % 4 < 2, meta).when(e % 4 == 2, F.lit('{"type":"done"}')).otherwise(broken)
+    text = F.when(F.col("event_type") == "signup", signup).when(e % 3 == 0, F.lit('{"type":"abort"}')).otherwise(F.lit("no json"))
+    kind = F.when(F.col("event_type").isin("signup", "error"), F.lit("json")).otherwise(F.lit("binary"))
+    rows = events.select("user_id", ((ms - T0) * 100_000 + e % 100_000).alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.when(kind == "json", text).alias("json"), (e % 50).alias("byte_len"))
+    told = receiving.receive(rows, key="user_id", at="ts", gap_ms=20 * HOUR, until=F.timestamp_millis(F.lit(1_706_659_200_000)))
+    return told.select("user_id", "number", "state", "chunks_done", "chunks_total", "count_matches", *[F.col("file_bytes")[i].alias(n) for i, n in enumerate(("first", "second", "third"))])
