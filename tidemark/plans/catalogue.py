@@ -529,4 +529,4 @@ def first_end(events):
     return folds.first_end(events.select("user_id", "event_id", kind.alias("type")), "user_id", seq="event_id").select("user_id", "event_id")
 
 
-from . import live, service  # noqa: E402, F401 - register their queries
+from . import live, service, store  # noqa: E402, F401 - register their queries
