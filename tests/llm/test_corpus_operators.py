@@ -25,7 +25,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import archives, byte_bpe, decontaminate, imatch, licences, near_dedup, quality, sharding, sstable, text, toxicity
+from tidemark.llm import archives, byte_bpe, decontaminate, imatch, levenshtein, licences, near_dedup, quality, sharding, sstable, text, toxicity
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -701,3 +701,86 @@ def test_words_of_very_long_texts_tell():
     present, stats = quality.features(part)
     x = quality.Machine.matrix(present, stats, stats.mean(axis=0), stats.std(axis=0) + 1e-3)[:, : quality.BUCKETS]
     assert (x > 0).all() and np.abs(x[0] - x[1]).max() > 1e-3
+
+
+def test_buckets_of_long_texts_and_hot_centres_give_the_same_groups(spark, monkeypatch):
+    """Texts that repeat one line have few shingles and many bytes; a centre of many members is dealt out."""
+    rnd = random.Random(21)
+    base = prose(rnd, 60).split()
+    rows = [(i, "one line of many words that is there again\n" * (200 + i)) for i in range(6)]
+    for i in range(120):
+        w = list(base)
+        w[rnd.randrange(60)] = prose(rnd, 1)
+        rows.append((100 + i, " ".join(w)))
+    other = prose(rnd, 60).split()
+    for i in range(40):
+        w = list(other)
+        for _ in range(rnd.randint(1, 4)):
+            w[rnd.randrange(60)] = prose(rnd, 1)
+        rows.append((400 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows, 3, 85, 100)
+    for block, few in ((1 << 26, 1000), (500, 7)):
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
+        monkeypatch.setattr(near_dedup, "FEW_ROWS", few)
+        got = near_dedup.near_duplicates(docs, shingle=3, num=85, den=100).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(want)
+
+
+def test_near_duplicates_of_ids_of_any_type(spark, odd):
+    rnd = random.Random(22)
+    texts = [prose(rnd, 30) for _ in range(5)]
+    rows = [(f"id {9 - i % 10}{'x' * (i // 10)}", texts[i % 5]) for i in range(20)] + [(None, texts[0]), ("alone", "nothing like it here"), ("alone", "nothing like it here"), ("empty", None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    least = {t: min(i for i, u in rows if i is not None and u == t) for t in texts}
+    want = [(i, i if t not in least else least[t] if i is not None else None) for i, t in rows]
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    as_text = near_dedup.near_duplicates(odd.selectExpr("lpad(doc_id, 3, '0') AS doc_id", "text")).collect()
+    as_long = near_dedup.near_duplicates(odd).collect()
+    name = lambda i: None if i is None else f"{i:03d}"
+    assert sorted(map(tuple, as_text), key=str) == sorted(((name(r.doc_id), r.n_shingles, name(r.component_id), r.kept) for r in as_long), key=str)
+
+
+def plain_toxicity(lexicon, value):
+    """The score of a text, each word held against each term by its edit distance."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    value = (value or "").lower()
+    words = [(m[0], m.start(), m.end()) for m in re.finditer("[a-z0-9\u00aa\u00b5\u00ba\u00c0-\u1fff\u2070-\u2fff\u3040-\U0010ffff]+", value)]
+    exact, near, quoted, addressed = [], [], 0, 0
+    for i, (w, a, b) in enumerate(words):
+        found = min(((edits(w, t), k) for k, t in enumerate(lexicon.terms) if edits(w, t) <= levenshtein.edits(t)), default=None)
+        if not found or (found[0] and w in lexicon.spared):
+            continue
+        around = {x for j, (x, _, _) in enumerate(words) if j != i and abs(j - i) <= toxicity.WINDOW}
+        left, right = value[:a].encode()[-lexicon.marks :], value[b:].encode()[: lexicon.marks]
+        marked = (left.count(b'"') % 2 == 1 and b'"' in right) or any(left.rfind(o.encode()) > left.rfind(c.encode()) and c.encode() in right for o, c in zip("“„«‹", "”“»›", strict=True))
+        to = bool(around & lexicon.addressing)
+        if marked or (around & lexicon.reporting and not to):
+            quoted += 1
+            continue
+        addressed += to
+        (near if found[0] else exact).append(lexicon.weights[found[1]] / (1 + found[0]))
+    x = [max(exact, default=0) / 5, math.log1p(len(exact)), max(near, default=0) / 5, math.log1p(len(near)), math.log1p(quoted), math.log1p(addressed), 10 * (len(exact) + len(near) + quoted) / max(len(words), 1)]
+    return 1 / (1 + math.exp(-(lexicon.intercept + sum(p * q for p, q in zip(x, lexicon.coefficients, strict=True)))))
+
+
+def test_toxicity_scores_are_those_of_a_plain_version(spark, odd, clashing):
+    rnd = random.Random(31)
+    terms = ["idiot", "scoundrel", "worthless"]
+    lexicon = toxicity.Lexicon(terms, [3.0, 2.0, 4.0], frozenset({"idiom"}), intercept=-2.0, coefficients=[1.5, 0.7, 0.9, 0.4, -0.8, 0.6, 0.2], marks=12)
+    vocabulary = [*terms, "idiott", "idoit", "idiom", "scoundrl", "worthles", "you", "said", "«", "»", '"', "“", "”", "word", "plain", "text", "of", "more", "words"]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30)))) for i in range(150)]
+    tables = [spark.createDataFrame(rows, "doc_id long, text string"), odd, clashing]
+    for docs in tables:
+        told = sorted(((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.score(docs, lexicon).collect()), key=str)
+        want = [(r.doc_id, plain_toxicity(lexicon, r.text)) for r in docs.collect()]
+        assert told == sorted(((i, round(x, 9), int(x >= 0.3)) for i, x in want), key=str)

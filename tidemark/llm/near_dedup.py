@@ -10,9 +10,9 @@
 4. Where a bucket still holds members of different components, the links that a star can't see are looked for by
    their rare shingles: of a linked pair, the least frequent common shingle is among the rarest few of both (prefix
    filtering), so no link is lost, and texts that share frequent shingles only make no pair. A bucket of up to so many
-   shingles is searched within a task; the members of larger ones are joined on their rare shingles.
+   shingles and bytes is searched within a task; the members of larger ones are joined on their rare shingles.
 
-Buckets and groups of copies are joined with their hot keys dealt out over tasks.
+Buckets, centres and groups of copies are joined with their hot keys dealt out over tasks.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import minhash, text
 from .components import components
-from .shared import Workspace, join_by_key, ship
+from .shared import FEW_ROWS, HOT, Workspace, join_by_key, ship
 
-#: Shingles of a bucket's members, in all, that are searched within one task.
-BLOCK_SHINGLES = 1 << 21
+#: Shingles of a bucket's members, in all, and bytes of their texts, that are searched within one task.
+BLOCK_SHINGLES, BLOCK_BYTES = 1 << 21, 1 << 26
 
 
 def _sign(size: int, rows: int, bands: int):
@@ -42,8 +43,8 @@ def _sign(size: int, rows: int, bands: int):
                 keys = minhash.band_keys(minhash.signatures(sets, bounds, rows * bands), rows, bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists],
-                    names=["id", "n", "low", "high", "keys"],
+                    [batch.column(0).slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(np.diff(part.offsets).astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists],
+                    names=["id", "n", "bytes", "low", "high", "keys"],
                 )
 
     return run
@@ -183,17 +184,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     - A text of fewer words than a shingle has one shingle, its whole word sequence.
     - Rows that repeat an id are one document: each gets a row, in the same component, with the size of its own text.
     - A null id can't be linked: component null, kept true.
+    - Ids of any type that has an order: those that aren't whole numbers are numbered in their order, and named again.
     - Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark, "near")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        return _named(docs, work, id_col, text_col, {"shingle": shingle, "num": num, "den": den})
     rows, bands = minhash.banding(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = work.save(texts.mapInArrow(_sign(shingle, rows, bands), "id long, n long, low long, high long, keys array<long>"), "signed")
+    signed = work.save(texts.mapInArrow(_sign(shingle, rows, bands), "id long, n long, bytes long, low long, high long, keys array<long>"), "signed")
     named = signed.where("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("low", "high").agg(F.min(F.struct("id", "keys")).alias("r"), F.first("n").alias("size"), F.count(F.lit(1)).alias("members"))
-    classes = work.save(classes.select("low", "high", "size", "members", F.col("r.id").alias("doc"), F.col("r.keys").alias("keys")), "classes")
+    classes = named.groupBy("low", "high").agg(F.min(F.struct("id", "keys", "bytes")).alias("r"), F.first("n").alias("size"), F.count(F.lit(1)).alias("members"))
+    classes = work.save(classes.select("low", "high", "size", "members", F.col("r.id").alias("doc"), F.col("r.bytes").alias("bytes"), F.col("r.keys").alias("keys")), "classes")
 
     bucketed = classes.select("doc", F.explode("keys").alias("bucket"))
     shared = work.save(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("rows", F.col("n")), "shared")
@@ -206,9 +210,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = starred.select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        # A document is in few pairs as a, but a centre in as many as it has members: those are dealt out, and the centre's text goes to each part.
+        pairs = work.save(pairs, "pairs")
+        times = work.save(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("times")), "times")
+        share = max(FEW_ROWS, (times.agg(F.sum("times")).first()[0] or 0) // HOT)
+        hot = F.broadcast(times.where(F.col("times") > share).select("b", F.ceil(F.col("times") / share).cast("int").alias("salts")))
+        salted = pairs.join(hot, "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+        right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(hot, "b", "left")
+        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        both = salted.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "salt"]).select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_verify(shingle, num, den), "a long, b long")
 
     links = work.save(confirmed(pairs), "links").distinct()
@@ -219,11 +230,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(same.where("id <> doc").select(F.col("id").alias("a"), F.col("doc").alias("b")))
     grouped = components(links, work)
 
-    rooted = classes.select("doc", "size").join(grouped.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    rooted = classes.select("doc", "size", "bytes").join(grouped.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     found = work.save(starred.select("bucket", "doc").join(rooted.dropDuplicates(["doc"]), "doc"), "found")
-    mixed = found.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")).where("c0 <> c1")
-    mixed = work.save(mixed.select("bucket", "n", (F.col("sizes") <= BLOCK_SHINGLES).alias("bounded")), "mixed")
-    open_ = join_by_key(found.drop("size"), mixed, ["bucket"], "doc")
+    mixed = found.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), F.sum("bytes").alias("bytes")).where("c0 <> c1")
+    mixed = work.save(mixed.select("bucket", "n", ((F.col("sizes") <= BLOCK_SHINGLES) & (F.col("bytes") <= BLOCK_BYTES)).alias("bounded")), "mixed")
+    open_ = join_by_key(found.drop("size", "bytes"), mixed, ["bucket"], "doc")
     open_ = work.save(open_, "open")
     spoken = texts.select(F.col("id").alias("doc"), "text").hint("merge")
     within = open_.where("bounded").join(spoken, "doc").groupBy("bucket").applyInArrow(_search(shingle, num, den), "a long, b long")
@@ -246,6 +257,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return work.finish(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
+def _named(docs: DataFrame, work: Workspace, id_col: str, text_col: str, how: dict[str, int]) -> DataFrame:
+    """``near_duplicates`` of ids that aren't whole numbers."""
+    rows = work.save(docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")), "rows")
+    times = rows.where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    names = times.repartitionByRange("name").sortWithinPartitions("name").withColumn("number", F.monotonically_increasing_id())
+    names = work.save(names, "names")
+    numbered = join_by_key(rows, names, ["name"], "text", how="left").select("number", "text")
+    told = near_duplicates(numbered, id_col="number", text_col="text", **how)
+    back = join_by_key(told, names.withColumnRenamed("name", "_id"), ["number"], "n_shingles", how="left")
+    groups = work.save(told.where("component_id IS NOT NULL").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).join(names.select(F.col("number").alias("component_id"), F.col("name").alias("_component")), "component_id"), "groups")
+    back = join_by_key(back, groups, ["component_id"], "number", how="left")
+    return work.finish(back.select(F.col("_id").alias(id_col), "n_shingles", F.col("_component").alias("component_id"), "kept"))
+
+
 def _members(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Each row with the representative of its class; a class of one row needs no lookup."""
     copies = classes.where("members > 1").select("low", "high", "doc", "members")

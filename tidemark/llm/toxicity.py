@@ -30,7 +30,8 @@ from .shared import ship
 AT_MOST = 40_000
 #: Sample texts alike in this share of their shingles are near copies, edited ones too, and have one vote together.
 COPY_SHINGLE, COPY_NUM, COPY_DEN = 3, 1, 2
-#: Words on either side of a hit that make its window, and the bytes on either side searched for quotation marks.
+#: Words on either side of a hit that make its window, and the bytes on either side searched for quotation marks: marks
+#: farther away don't quote a word, as they rarely belong to it. ``train`` takes another number.
 WINDOW, MARKS = 8, 80
 #: Words whose verdict a worker remembers.
 REMEMBERED = 400_000
@@ -53,6 +54,7 @@ class Lexicon:
     spared: frozenset[str] = frozenset()
     reporting: frozenset[str] = REPORTING
     addressing: frozenset[str] = ADDRESSING
+    marks: int = MARKS
     intercept: float = -2.0
     coefficients: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
 
@@ -107,8 +109,8 @@ class Reader:
     def _context(self, raw: bytes, texts: text.Texts, w: text.Words, p: int, doc: int) -> tuple[bool, bool]:
         a, b = max(w.first[doc], p - WINDOW), min(w.first[doc + 1], p + WINDOW + 1)
         around = {raw[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in range(a, b) if i != p}
-        left = raw[max(texts.offsets[doc], w.start[p] - MARKS) : w.start[p]]
-        right = raw[w.end[p] : min(texts.offsets[doc + 1], w.end[p] + MARKS)]
+        left = raw[max(texts.offsets[doc], w.start[p] - self.lexicon.marks) : w.start[p]]
+        right = raw[w.end[p] : min(texts.offsets[doc + 1], w.end[p] + self.lexicon.marks)]
         marked = (left.count(b'"') % 2 == 1 and b'"' in right) or any(left.rfind(o) > left.rfind(c) and c in right for o, c in zip(_OPEN, _CLOSE, strict=True))
         addressed = bool(around & self.lexicon.addressing)
         return marked or (bool(around & self.lexicon.reporting) and not addressed), addressed
@@ -165,7 +167,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(beta[0]), beta[1:].tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int = 2, at_most: int = AT_MOST, id_col: str = "doc_id", text_col: str = "text", reporting: frozenset[str] = REPORTING, addressing: frozenset[str] = ADDRESSING) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int = 2, at_most: int = AT_MOST, id_col: str = "doc_id", text_col: str = "text", reporting: frozenset[str] = REPORTING, addressing: frozenset[str] = ADDRESSING, marks: int = MARKS) -> Lexicon:
     """Learns a lexicon and the weights of hits on about ``at_most`` labelled rows at most, without held-out ones."""
     spark = docs.sparkSession
     ship(spark)
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int
     votes, classes = _votes(drawn)
     tried = votes.where("n1 + n0 >= 3").count()
     table = votes.where("n1 >= 3 AND n1 > n0").withColumn("tried", F.lit(tried).cast("long")).toArrow()
-    lexicon = Lexicon(*choose_terms(table, *classes), reporting=reporting, addressing=addressing)
+    lexicon = Lexicon(*choose_terms(table, *classes), reporting=reporting, addressing=addressing, marks=marks)
     if lexicon.terms:
         shared = spark.sparkContext.broadcast(lexicon)  # bounded by the sample
 
