@@ -56,12 +56,14 @@ STAGES = [
     ("token ids", to_token_ids),
 ]
 
-#: Learnt scores and LSH can't be put in SQL; the tests hold each stage against a brute-force version.
+#: Learnt scores and LSH can't be put in SQL. Tests hold near duplicates, leaks and token ids against brute force or the
+#: library, and the two classifiers' decisions against plain versions of their scores.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and reread; what is written before the last stage's rows is removed."""
+    """All stages, each written to the shared folder and reread. The stages' tables are removed at the end; the results of
+    operators within stages (folders named tidemark-...-result) stay until the checkpoint folder is cleared."""
     docs = _table(spark, sf_dir, "documents")
     work = Workspace(spark, "pipeline")
     for name, stage in STAGES[:-1]:
