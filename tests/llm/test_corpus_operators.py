@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import archives, byte_bpe, decontaminate, imatch, levenshtein, licences, near_dedup, quality, sharding, sstable, text, toxicity
+from tidemark.llm.shared import Workspace, drop
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -784,3 +785,16 @@ def test_toxicity_scores_are_those_of_a_plain_version(spark, odd, clashing):
         told = sorted(((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.score(docs, lexicon).collect()), key=str)
         want = [(r.doc_id, plain_toxicity(lexicon, r.text)) for r in docs.collect()]
         assert told == sorted(((i, round(x, 9), int(x >= 0.3)) for i, x in want), key=str)
+
+
+def test_lexicon_is_bounded_and_no_column(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"common{i % 3} shared{i % 5} own{i}") for i in range(60)], "doc_id long, text string")
+    work = Workspace(spark, "lexicon-test")
+    held = imatch.lexicon(rows, work, low=0.05, high=0.3)
+    assert len(held.first()["hashes"]) == 5  # "shared" words are in a fifth, "common" ones in a third, own words in one
+    plan = imatch.fingerprint(rows, F.col("text"), held, "print")._jdf.queryExecution().executedPlan().toString()
+    assert "_lexicon" not in plan and "Subquery" in plan
+    monkeypatch.setattr(imatch, "MOST", 4)
+    with pytest.raises(ValueError, match="raise low"):
+        imatch.lexicon(rows, work, low=0.05, high=0.3)
+    drop(spark, work.root)

@@ -9,7 +9,8 @@ the hash of all its terms, and is like equal texts only.
 
 The lexicon is held as the exact 64-bit hashes of its terms, dealt into buckets behind a bitmap of fixed size that most
 other terms fail at once. By the band's lower end it has at most (mean number of distinct terms) / LOW terms, however
-many documents there are.
+many documents there are; more than MOST of them are refused. It is written as a table of one row, which plans refer to
+as a scalar subquery, so it never stands in a plan.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .shared import Workspace
 LOW, HIGH = 0.0005, 0.05
 #: A lexicon term is in so many documents at least, however few there are: a word of one document tells nothing of others.
 LEAST = 2
+#: A lexicon of more terms isn't sent to tasks: 64 MiB of hashes, which texts of 4,194 distinct terms in the mean can't exceed.
+MOST = 1 << 23
 #: Bits of the lexicon's bitmap, as a power of two; 64 share a bucket of exact hashes.
 SLOTS = 21
 #: Hashes of a term, each of which draws for several subsets with as many bits; the sparsest level that a fingerprint
@@ -43,39 +47,44 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _constant(values: list[int]) -> Column:
-    """An array of 64-bit integers that is folded to one packed array."""
-    array = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
-    return F.concat(array, F.array().cast("array<bigint>"))
+def lexicon(docs: DataFrame, work: Workspace, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """One row of a size that doesn't depend on the number of documents: ``bits``, the bitmap as 64-bit words, ``first``, where
+    each word's bucket begins, and ``hashes``, those of the lexicon's terms by bucket.
 
-
-def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> tuple[Column, Column, Column]:
-    """Constants whose size doesn't depend on the number of documents: the bitmap as 64-bit words, where each word's
-    bucket begins, and the hashes of the lexicon's terms by bucket."""
+    Terms of LEAST documents are in it however high their share is, which tells below LEAST / high documents only. Raises
+    ValueError if there are more than MOST terms; a larger ``low`` leaves fewer."""
     n = docs.count()
     terms = docs.select(F.explode(term_hashes(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
     band = terms.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= max(LEAST, low * n)) & (F.col("df") <= max(LEAST, high * n)))
-    hashes = np.sort(band.select("h").toArrow()["h"].to_numpy())  # bounded by the band's lower end
+    hashes = np.sort(band.select("h").limit(MOST + 1).toArrow()["h"].to_numpy())
+    if len(hashes) > MOST:
+        raise ValueError(f"the band holds more than {MOST} terms; raise low above {low}")
     slot = hashes & ((1 << SLOTS) - 1)
     hashes, slot = (x[np.argsort(slot, kind="stable")] for x in (hashes, slot))
     bits = np.zeros(1 << (SLOTS - 6), dtype=np.uint64)
     np.bitwise_or.at(bits, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
     first = np.searchsorted(slot >> 6, np.arange(len(bits) + 1))
-    return tuple(_constant(x.tolist()) for x in (bits.view(np.int64), first, hashes))
+    parts = {"bits": bits.view(np.int64), "first": first, "hashes": hashes}
+    row = pa.table({k: pa.array([x], pa.list_(pa.int64())) for k, x in parts.items()})
+    return work.save(docs.sparkSession.createDataFrame(row), "lexicon")
 
 
-def fingerprint(df: DataFrame, text: Column, lexicon: tuple[Column, Column, Column], name: str) -> DataFrame:
+def fingerprint(df: DataFrame, text: Column, lexicon: DataFrame, name: str) -> DataFrame:
     """Adds a fingerprint column: level, hash of all terms, and LEVELS x SUBSETS hashes of 16 bits, joined by dots."""
-    bits, first, hashes = lexicon
     word = lambda t: F.shiftright(t.bitwiseAND(F.lit((1 << SLOTS) - 1)), 6).cast("int") + 1
-    marked = lambda t: F.call_function("getbit", F.element_at(bits, word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
-    start = lambda t, k: F.element_at(first, word(t) + k).cast("int")
-    bucket = lambda t: F.slice(hashes, start(t, 0) + 1, start(t, 1) - start(t, 0))
-    known = lambda t: marked(t) & F.array_contains(bucket(t), t)
-    df = df.withColumn("_all", term_hashes(text))
-    df = df.withColumn("_terms", F.sort_array(F.filter("_all", known)))
-    whole = F.xxhash64(F.when(F.size("_terms") > 0, F.col("_terms")).otherwise(F.sort_array("_all")))
-    df = df.withColumn("_whole", F.lpad(F.lower(F.hex(whole)), 16, "0")).drop("_all")
+    marked = lambda x, t: F.call_function("getbit", F.element_at(x["bits"], word(t)), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+    start = lambda x, t, k: F.element_at(x["first"], word(t) + k).cast("int")
+    bucket = lambda x, t: F.slice(x["hashes"], start(x, t, 0) + 1, start(x, t, 1) - start(x, t, 0))
+    known = lambda x, t: marked(x, t) & F.array_contains(bucket(x, t), t)
+    # The subquery can't stand in a lambda, but a column that is used once moves into the expression that uses it: there the
+    # lexicon is handed on by reference, and no row has it as a column.
+    df = df.withColumn("_lexicon", lexicon.select(F.struct("bits", "first", "hashes")).scalar())
+    pair = F.struct(F.col("_lexicon").alias("lexicon"), term_hashes(text).alias("all"))
+    told = lambda p: F.struct(p["all"].alias("all"), F.filter(p["all"], lambda t: known(p["lexicon"], t)).alias("terms"))
+    df = df.withColumn("_told", F.transform(F.array(pair), told)[0]).drop("_lexicon")
+    df = df.withColumn("_terms", F.sort_array("_told.terms"))
+    whole = F.xxhash64(F.when(F.size("_terms") > 0, F.col("_terms")).otherwise(F.sort_array("_told.all")))
+    df = df.withColumn("_whole", F.lpad(F.lower(F.hex(whole)), 16, "0")).drop("_told")
     df = df.withColumn("_level", F.least(F.floor(F.log2(F.greatest(F.size("_terms"), F.lit(1)))), F.lit(DEEPEST)).cast("int"))
     # A subset of a level has the terms whose hash has, in the bits of its draw, as many zeros at the end. What is in any
     # subset of the first level is kept as a column, so that the rest is worked out on a few terms only.
@@ -135,7 +144,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     is like equal fingerprints only. Other columns are not read; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "imatch")
-    terms = lexicon(docs, text_col=text_col, low=low, high=high)
+    terms = lexicon(docs, work, text_col=text_col, low=low, high=high)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # A row is known by 128 bits of its id and text, the same whenever and wherever it is read.
     rows = rows.withColumn("row", F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64("text", F.lit(1), "id").alias("b")))
