@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import textwrap
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -169,15 +170,26 @@ def _known() -> dict[str, tuple[str, ...]]:
 KNOWN = _known()
 
 
-def known_digests(known: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
-    """Digest to licence; the first licence in order where two have the same canonical text."""
+def _canonical(known: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """Canonical text to licence; the first licence in order where two have the same canonical text."""
     out: dict[str, str] = {}
-    for name, texts in sorted((known or KNOWN).items()):
+    for name, texts in sorted(known.items()):
         for t in texts:
-            out.setdefault(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name)
+            out.setdefault(canonical_text(t), name)
     return out
 
 
+@cache
+def _canonical_known() -> dict[str, str]:
+    return _canonical(KNOWN)
+
+
+def known_digests(known: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
+    """Digest to licence. Those of KNOWN are worked out from texts that are made canonical once."""
+    texts = _canonical(known) if known else _canonical_known()
+    return {hashlib.sha256(t.encode()).hexdigest(): name for t, name in texts.items()}
+
+
 def scan(docs: DataFrame, *, known: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row with ``canonical_sha256``, ``license`` (of the whole text, else null), ``notices`` (licences of
     its lines, sorted, joined by commas), ``n_notices`` (lines that are notices) and ``n_copyright`` (copyright lines).
@@ -187,7 +199,7 @@ def scan(docs: DataFrame, *, known: dict[str, tuple[str, ...]] | None = None, id
     """
     spark = docs.sparkSession
     digests = known_digests(known)
-    lengths = sorted({len(canonical_text(t)) for ts in (known or KNOWN).values() for t in ts})
+    lengths = sorted({len(t) for t in (_canonical(known) if known else _canonical_known())})
     table = spark.createDataFrame(sorted(digests.items()), "canonical_sha256 string, license string")
     lookup = F.from_json(F.lit(_json(digests)), "map<string,string>")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -217,7 +229,7 @@ def oracle() -> str:
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
 
     table = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known_digests().items()))
-    longest = max(len(canonical_text(t)) for ts in KNOWN.values() for t in ts)
+    longest = max(map(len, _canonical_known()))
     return f"""
 WITH known(digest, name) AS (VALUES {table}),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
