@@ -592,6 +592,18 @@ def test_decontamination(spark, odd, none, clashing):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(clashing, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_tables_with_clashing_names(spark, clashing):
+    items = [(7, "text number 3 of a small set of texts"), (9, "nothing of this kind is in there at all")]
+    bench = spark.createDataFrame([(*x, 1, 2.0, "h", 3, 4) for x in items], "item_id long, text string, doc_id long, score double, hash string, row long, n long")
+    docs = [(r.doc_id, r.text) for r in clashing.collect()]
+    brute = set(brute_contaminated(docs, items))
+    assert (3, 7) in brute
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(clashing, bench).collect()} == brute
+    kept = decontaminate.keep_uncontaminated(clashing, bench)
+    assert kept.columns == clashing.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in brute}
+
+
 def test_indexes_of_many_items_come_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"item number {i} " * 20) for i in range(40)], "item_id long, text string")
     blocks = list(decontaminate.indexes(bench, block_bytes=4000))
